@@ -12,7 +12,7 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,3 +68,42 @@ def _partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def partial_ratio(a, b) -> Column:
     """Similarity of two name columns; call it on candidate pairs only."""
     return _partial_ratio(a, b)
+
+
+def similar_names(left: DataFrame, right: DataFrame, group: str, least: float) -> DataFrame:
+    """Rows ``(group, left, right, score)`` of names with ``partial_ratio`` of at least ``least``.
+
+    Both frames have the columns ``group`` and ``name``. Only pairs that share a rare letter
+    are compared, and none that is similar is missed. With a similarity of ``r`` or more to
+    a window no longer than itself, the shorter name, of length m, has at least
+    ``need = ceil(r m / (2 - r))`` letters in common with that window. So one of its
+    ``m - need + 1`` rarest letters is in the longer name. A letter's second occurrence
+    counts as another letter than its first.
+    """
+    ratio = least / 100
+    left, right = left.select(group, "name").distinct(), right.select(group, "name").distinct()
+    both = left.unionByName(right).distinct()
+    size = F.length("name")
+    letters = both.select(
+        group, "name", F.posexplode(F.split("name", "(?!$)")).alias("place", "letter")
+    )
+    # The window lies inside one name.
+    nth = F.row_number().over(Window.partitionBy(group, "name", "letter").orderBy("place"))
+    letters = letters.select(group, "name", F.concat("letter", nth.cast("string")).alias("token"))
+    uses = letters.groupBy(group, "token").agg(F.count(F.lit(1)).alias("uses"))
+    by_rarity = Window.partitionBy(group, "name").orderBy("uses", "token")
+    ranked = letters.join(uses, [group, "token"]).withColumn("rank", F.row_number().over(by_rarity))
+    need = F.ceil(F.round(F.lit(ratio / (2 - ratio)) * size, 6))
+    prefix = ranked.filter(F.col("rank") <= size - need + 1).select(group, "name", "token")
+    letters = ranked.select(group, "name", "token")
+
+    def pairs(short: DataFrame, long: DataFrame, strictly: bool) -> DataFrame:
+        a = prefix.join(short, [group, "name"], "left_semi").withColumnRenamed("name", "short")
+        b = letters.join(long, [group, "name"], "left_semi").withColumnRenamed("name", "long")
+        lengths = F.length("short") < F.length("long") if strictly else F.length("short") <= F.length("long")
+        return a.join(b, [group, "token"]).filter(lengths).select(group, "short", "long").distinct()
+
+    one_way = pairs(left, right, False).withColumnsRenamed({"short": "left", "long": "right"})
+    other_way = pairs(right, left, True).withColumnsRenamed({"short": "right", "long": "left"})
+    candidates = one_way.unionByName(other_way)
+    return candidates.withColumn("score", partial_ratio("left", "right")).filter(F.col("score") >= least)

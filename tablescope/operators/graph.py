@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tablescope.workspace import new_path, written
@@ -23,6 +23,9 @@ UPSTREAM, DOWNSTREAM, BOTH_WAYS = "upstream", "downstream", "both"
 HUB_SEARCH_EDGES = 5_000_000
 # A node with more than 1/2000 of all edges is split, so there are at most 2000 hubs.
 MAX_HUBS = 2_000
+# A partition of edges is not made for fewer than the first and holds about at most the second.
+EDGES_IN_SMALL_PARTITION = 50_000
+EDGES_IN_LARGE_PARTITION = 5_000_000
 # Level tables read together before they are merged into one.
 MERGE_LEVELS = 24
 
@@ -48,7 +51,7 @@ class LineageGraph:
     """An edge table prepared for walks; use it as a context manager.
 
     The distinct edges are written once. Each direction that is walked keeps a copy
-    partitioned by its join key, so a level shuffles its frontier and not the edges.
+    partitioned by its join key, so a level moves its frontier and not the edges.
     """
 
     def __init__(self, edges: DataFrame, hub_search_edges: int = HUB_SEARCH_EDGES):
@@ -88,7 +91,7 @@ class LineageGraph:
         frame = {DOWNSTREAM: forward, UPSTREAM: backward}.get(direction)
         if frame is None:
             frame = forward.unionByName(backward)
-        hubs, salt = None, F.lit(0)
+        hubs, keys = None, ["here"]
         if self.edge_count > self._hub_search_edges:
             limit = max(1, self.edge_count // MAX_HUBS)
             hubs = written(
@@ -101,12 +104,18 @@ class LineageGraph:
             # At most 2 * MAX_HUBS rows: the degrees of a direction add up to at most 2 * edges.
             frame = frame.join(F.broadcast(hubs), "here", "left")
             spread = F.pmod(F.xxhash64("there"), F.col("parts")).cast("int")
-            salt = F.coalesce(spread, F.lit(0))
-        frame = frame.withColumn("salt", salt).drop("parts")
-        partitions = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        frame = frame.repartition(partitions, "here", "salt")
+            frame = frame.withColumn("salt", F.coalesce(spread, F.lit(0))).drop("parts")
+            keys = ["here", "salt"]
+        frame = frame.repartition(self._partitions(), *keys)
         return _Steps(frame.persist(StorageLevel.MEMORY_AND_DISK), hubs)
 
+    def _partitions(self) -> int:
+        """Few partitions for a small graph; beyond the session's number only by size."""
+        usual = int(self.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        small = -(-self.edge_count // EDGES_IN_SMALL_PARTITION)
+        large = -(-self.edge_count // EDGES_IN_LARGE_PARTITION)
+        return max(1, min(small, usual), large)
+
     def walk(
         self,
         roots: DataFrame,
@@ -133,28 +142,17 @@ class LineageGraph:
         )
         schema, paths, depth = level.schema, [f"{path}/level-0"], 0
         while max_depth is None or depth < max_depth:
-            frontier = level
-            if steps.hubs is not None:
-                frontier = frontier.join(
-                    F.broadcast(steps.hubs.withColumnRenamed("here", "node")), "node", "left"
-                )
-                frontier = frontier.withColumn(
-                    "salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
-                ).drop("parts")
-            else:
-                frontier = frontier.withColumn("salt", F.lit(0))
-            reached = frontier.join(
-                steps.frame,
-                (frontier["node"] == steps.frame["here"]) & (frontier["salt"] == steps.frame["salt"]),
-            ).select(
+            # The distance comes from the rows and not from a literal, so that every level
+            # runs the same generated code.
+            reached = self._advance(level, steps).select(
                 "root",
                 F.col("there").alias("node"),
+                (F.col("dist") + 1).alias("dist"),
                 *(c.step.alias(n) for n, c in carry.items()),
             )
+            keys = ["root", "node", "dist"]
             if carry:
-                reached = reached.groupBy("root", "node").agg(
-                    *(c.fold(n).alias(n) for n, c in carry.items())
-                )
+                reached = reached.groupBy(*keys).agg(*(c.fold(n).alias(n) for n, c in carry.items()))
             else:
                 reached = reached.distinct()
             visited = spark.read.schema(schema).parquet(*paths).select("root", "node")
@@ -163,10 +161,10 @@ class LineageGraph:
                 reached = reached.join(blocked.select("node"), "node", "left_anti")
             depth += 1
             level_path = f"{path}/level-{depth}"
-            level = written(
-                reached.select("root", "node", F.lit(depth).alias("dist"), *carry), "level", level_path
-            )
-            if level.isEmpty():
+            seen = Observation()
+            reached = reached.select(*keys, *carry).observe(seen, F.count(F.lit(1)).alias("rows"))
+            level = written(reached, "level", level_path, schema)
+            if not seen.get["rows"]:
                 depth -= 1
                 break
             paths.append(level_path)
@@ -176,6 +174,16 @@ class LineageGraph:
                 paths = [merged]
         return Walk(spark.read.schema(schema).parquet(*paths), depth)
 
+    def _advance(self, frontier: DataFrame, steps: _Steps) -> DataFrame:
+        """The frontier joined with its edges; a hub's rows meet each part of its edges."""
+        edges = steps.frame
+        if steps.hubs is None:
+            return frontier.join(edges, F.col("node") == F.col("here"))
+        hubs = F.broadcast(steps.hubs.withColumnRenamed("here", "node"))
+        salts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+        frontier = frontier.join(hubs, "node", "left").withColumn("at_salt", salts)
+        return frontier.join(edges, (F.col("node") == F.col("here")) & (F.col("at_salt") == F.col("salt")))
+
 
 @dataclass(frozen=True)
 class Walk:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.functions.names import NAME_PARTS, last_part
-from tablescope.functions.similarity import partial_ratio
+from tablescope.functions.similarity import partial_ratio, similar_names
 from tablescope.functions.types import is_numeric_name
 from tablescope.operators.graph import LineageGraph
 from tablescope.operators.paths import lineage_distances
@@ -54,9 +54,9 @@ def keys_with_profile(keys: DataFrame, profile: DataFrame, tables: DataFrame | N
 def fk_candidates(profile: DataFrame, keys: DataFrame, families: DataFrame) -> DataFrame:
     """Column pairs that may be a foreign key and the primary key it refers to.
 
-    Column side and key side meet through the family of the column's table, rows
-    ``(root, member)``, and on the data type. The cheap conditions come first; names are
-    compared once per distinct pair of names.
+    Similar names are found first, among the distinct names of each data type. Columns and
+    keys then meet on name, type and family, rows ``(root, member)``, so pairs of columns
+    with unlike names are never made.
     """
     columns = profile.filter(F.col("null_ratio") <= FK_MAX_NULLS).select(
         F.col("full_name").alias("target_table"),
@@ -75,18 +75,19 @@ def fk_candidates(profile: DataFrame, keys: DataFrame, families: DataFrame) -> D
     relatives = families.filter(F.col("root") != F.col("member")).select(
         F.col("root").alias("target_table"), F.col("member").alias("dimension_table")
     )
-    pairs = (
-        relatives.join(key_side, "dimension_table")
-        .join(columns, ["target_table", "data_type"])
+    similar = similar_names(
+        columns.select("data_type", F.col("fk_column").alias("name")),
+        key_side.select("data_type", F.col("pk_column").alias("name")),
+        "data_type",
+        FK_MIN_NAME_SCORE,
+    ).withColumnsRenamed({"left": "fk_column", "right": "pk_column", "score": "name_score"})
+    return (
+        key_side.join(similar, ["data_type", "pk_column"])
+        .join(relatives, "dimension_table")
+        .join(columns, ["target_table", "data_type", "fk_column"])
         .filter(F.col("fk_distinct") <= F.col("pk_distinct"))
         .drop("fk_distinct", "pk_distinct")
     )
-    pairs = written(pairs, "fk-pairs")
-    names = pairs.select("fk_column", "pk_column").distinct()
-    similar = names.withColumn("name_score", partial_ratio("fk_column", "pk_column")).filter(
-        F.col("name_score") >= FK_MIN_NAME_SCORE
-    )
-    return pairs.join(similar, ["fk_column", "pk_column"])
 
 
 def contained(candidates: DataFrame, counts: DataFrame, sample: int | None = CONTAINMENT_SAMPLE) -> DataFrame:
@@ -153,7 +154,8 @@ def detect_foreign_keys(
 ) -> DataFrame:
     """Foreign keys of every table at once: family, candidates, containment."""
     keys = detect_primary_keys(profile) if keys is None else keys
-    found = contained(fk_candidates(profile, keys, families), counts, sample)
+    candidates = written(fk_candidates(profile, keys, families), "fk-candidates")
+    found = contained(candidates, counts, sample)
     return found.select("target_table", "fk_column", "dimension_table", "pk_column", "name_score")
 
 

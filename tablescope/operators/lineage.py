@@ -96,17 +96,22 @@ def table_lineage(graph: LineageGraph, root: str, direction: str = UPSTREAM) ->
 
 def descendants(graph: LineageGraph, root: str, max_depth: int | None = None) -> DataFrame:
     """Distinct tables downstream by one step or more; the root too if it is on a cycle."""
-    return _beyond_root(graph, root, DOWNSTREAM, max_depth)
+    walk = graph.walk(one_root(graph, root), DOWNSTREAM, max_depth)
+    return beyond_root(graph, walk, root, DOWNSTREAM, max_depth)
 
 
 def ancestors(graph: LineageGraph, root: str, max_depth: int | None = None) -> DataFrame:
     """Distinct tables upstream by one step or more; the root too if it is on a cycle."""
-    return _beyond_root(graph, root, UPSTREAM, max_depth)
+    walk = graph.walk(one_root(graph, root), UPSTREAM, max_depth)
+    return beyond_root(graph, walk, root, UPSTREAM, max_depth)
 
 
-def _beyond_root(graph: LineageGraph, root: str, direction: str, max_depth: int | None) -> DataFrame:
-    reached = graph.walk(one_root(graph, root), direction, max_depth).reached
+def beyond_root(
+    graph: LineageGraph, walk: Walk, root: str, direction: str, max_depth: int | None = None
+) -> DataFrame:
+    """Tables of a finished walk from ``root`` that one step or more leads to."""
     near, far = ("target", "source") if direction == UPSTREAM else ("source", "target")
+    reached = walk.reached
     inside = reached if max_depth is None else reached.filter(F.col("dist") < max_depth)
     back = (
         graph.edges.filter(F.col(far) == root)
@@ -130,11 +135,16 @@ def family(graph: LineageGraph, table: str) -> DataFrame:
     return families(graph, one_root(graph, table)).select(F.col("member").alias("table"))
 
 
-def bounded_lineage(graph: LineageGraph, table: str, depth: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct nodes and edges on paths of at most ``depth`` steps up or down."""
+def bounded_lineage(
+    graph: LineageGraph, table: str, depth: int, down: Walk | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Distinct nodes and edges on paths of at most ``depth`` steps up or down.
+
+    A caller that has already walked downstream from the table passes that walk.
+    """
     root = one_root(graph, table)
     up = graph.walk(root, UPSTREAM, depth).reached
-    down = graph.walk(root, DOWNSTREAM, depth).reached
+    down = (down or graph.walk(root, DOWNSTREAM, depth)).reached.filter(F.col("dist") <= depth)
     nodes = up.unionByName(down).select(F.col("node").alias("id")).distinct()
     return nodes, _path_edges(graph, up, down, depth).select("source", "target").distinct()
 
@@ -230,24 +240,21 @@ def column_lineage(
 
 def _column_totals(stats: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: columns with lineage on each side, summed and distinct counts."""
-    per_root = stats.select(
-        F.count(F.lit(1)).alias("root_column_count"),
-        F.count_if(F.col("upstream_node_count") > 0).alias("columns_with_upstream"),
-        F.count_if(F.col("downstream_node_count") > 0).alias("columns_with_downstream"),
-        F.coalesce(F.sum("node_count"), F.lit(0)).alias("aggregate_node_count"),
-        F.coalesce(F.sum("edge_count"), F.lit(0)).alias("aggregate_edge_count"),
-    )
-    unique_nodes = nodes.select("id").distinct().select(F.count(F.lit(1)).alias("unique_node_count"))
-    unique_edges = (
-        edges.select("source", "target").distinct().select(F.count(F.lit(1)).alias("unique_edge_count"))
-    )
-    one = F.lit(1).alias("one")
-    return (
-        per_root.select("*", one)
-        .join(unique_nodes.select("*", one), "one")
-        .join(unique_edges.select("*", one), "one")
-        .drop("one")
-    )
+    one = F.lit(1)
+    parts = [
+        stats.select(
+            one.alias("root_column_count"),
+            (F.col("upstream_node_count") > 0).cast("int").alias("columns_with_upstream"),
+            (F.col("downstream_node_count") > 0).cast("int").alias("columns_with_downstream"),
+            F.col("node_count").alias("aggregate_node_count"),
+            F.col("edge_count").alias("aggregate_edge_count"),
+        ),
+        nodes.select("id").distinct().select(one.alias("unique_node_count")),
+        edges.select("source", "target").distinct().select(one.alias("unique_edge_count")),
+    ]
+    # Each part fills its own columns of the sums; the others stay null there.
+    rows = parts[0].unionByName(parts[1], True).unionByName(parts[2], True)
+    return rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in rows.columns))
 
 
 def lineage_of_table(
@@ -268,6 +275,3 @@ def lineage_of_column(
     with LineageGraph(column_graph_edges(column_edges)) as graph:
         return column_lineage(graph, columns, one_root(graph, f"{table}.{column}"), max_depth)
 
-
-def walk_from(graph: LineageGraph, root: str, direction: str, max_depth: int | None = None) -> Walk:
-    return graph.walk(one_root(graph, root), direction, max_depth)

@@ -15,6 +15,7 @@ from tablescope.operators.profile import (
     data_profile,
     value_counts,
 )
+from tablescope.workspace import written
 
 # Limits of the health state and of the bands.
 OLD_AFTER_HOURS = 24
@@ -173,22 +174,29 @@ def with_neighbour(
 ) -> DataFrame:
     """Each row with the given columns of the row before (or after) it, as struct ``name``.
 
-    A key with a third of all rows is split by day: neighbours inside a day come from a
-    window over that day, and only a day's edge row asks the nearest other day of the key.
+    The rows are written in ranges of key and time, so a key with a third of all rows is
+    spread over many tasks. Neighbours inside a range come from a window over that range;
+    the row at its edge asks the nearest other range of the key.
     """
-    keys = list(keys)
+    keys, part = list(keys), "_part"
     picked = F.struct(*columns)
     edge, shift = (F.max, F.lag) if earlier else (F.min, F.lead)
-    days = df.withColumn("_day", F.col(at).cast("date"))
-    edges = days.groupBy(*keys, "_day").agg(edge(F.struct(F.col(at).alias("_at"), picked.alias("_row"))).alias("_end"))
-    across = Window.partitionBy(*keys).orderBy("_day")
-    edges = edges.select(*keys, "_day", shift(F.col("_end._row")).over(across).alias("_next_day"))
-    within = Window.partitionBy(*keys, "_day").orderBy(at)
-    inner = days.withColumn("_same_day", shift(picked).over(within))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(
+        df.repartitionByRange(parts, *keys, at).withColumn(part, F.spark_partition_id()), "history"
+    )
+    # One row per key and range: at most the number of keys plus the number of ranges.
+    edges = ranged.groupBy(*keys, part).agg(
+        edge(F.struct(F.col(at).alias("at"), picked.alias("row"))).alias("_end")
+    )
+    across = Window.partitionBy(*keys).orderBy(part)
+    edges = edges.select(*keys, part, shift(F.col("_end.row")).over(across).alias("_beyond"))
+    within = Window.partitionBy(*keys, part).orderBy(at)
     return (
-        inner.join(edges, [*keys, "_day"])
-        .withColumn(name, F.coalesce("_same_day", "_next_day"))
-        .drop("_day", "_same_day", "_next_day")
+        ranged.withColumn("_inside", shift(picked).over(within))
+        .join(edges, [*keys, part])
+        .withColumn(name, F.coalesce("_inside", "_beyond"))
+        .drop(part, "_inside", "_beyond")
     )
 
 

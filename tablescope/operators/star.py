@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.names import last_part
-from tablescope.operators.graph import LineageGraph
+from tablescope.operators.graph import DOWNSTREAM, LineageGraph, one_root
 from tablescope.operators.keys import relation_owners
-from tablescope.operators.lineage import bounded_lineage, descendants
+from tablescope.operators.lineage import beyond_root, bounded_lineage
 
 REPORT_DEPTH = 3
 
@@ -81,7 +81,8 @@ def table_report(
     graph: LineageGraph, star: DataFrame, table_types: DataFrame, table: str, depth: int = REPORT_DEPTH
 ) -> TableReport:
     """Lineage within ``depth`` with table types, star neighbours, downstream impact."""
-    nodes, edges = bounded_lineage(graph, table, depth)
+    down = graph.walk(one_root(graph, table), DOWNSTREAM)
+    nodes, edges = bounded_lineage(graph, table, depth, down)
     types = table_types.select(F.col("full_name").alias("id"), F.col("table_type").alias("type"))
     nodes = nodes.join(types, "id", "left").fillna("TABLE", "type")
     return TableReport(
@@ -90,7 +91,7 @@ def table_report(
         nodes,
         edges,
         star_tables(star, table_types, table),
-        descendants(graph, table),
+        beyond_root(graph, down, table, DOWNSTREAM),
     )
 
 

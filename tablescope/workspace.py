@@ -34,8 +34,8 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tablescope/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+def written(df: DataFrame, label: str, path: str | None = None, schema=None) -> DataFrame:
     """Write ``df`` as a new table in the shared folder and read it back."""
     path = path or new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
