@@ -35,7 +35,8 @@ def documentation_records(documents: DataFrame, document: str = "document", text
 
     A node is a table record if it has columns, and a catalog, schema and name of its own
     or inherited. The name comes from ``table_name``, the table block, ``full_table_name``,
-    a three-part key, or ``name``.
+    a three-part key, or ``name``. A table block may be a record by itself as well as
+    through its parent, so equal rows are merged.
     """
     spark = documents.sparkSession
     level = documents.select(
@@ -53,7 +54,7 @@ def documentation_records(documents: DataFrame, document: str = "document", text
         found = _records(spark, level)
         records = found if records is None else records.unionByName(found)
         level = _children(spark, level)
-    return _records(spark, level) if records is None else records
+    return (_records(spark, level) if records is None else records).distinct()
 
 
 def _children(spark: SparkSession, level: DataFrame) -> DataFrame:
