@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from tablescope.functions.similarity import partial_ratio, similar_names
 from tablescope.functions.types import is_numeric_name
 from tablescope.operators.graph import LineageGraph
 from tablescope.operators.paths import lineage_distances
-from tablescope.operators.profile import COLUMN_KEY, LANE_NAMES
+from tablescope.operators.profile import COLUMN_KEY, LANE_NAMES, value_counts
 from tablescope.operators.quantiles import weighted_quantiles
 from tablescope.workspace import written
 
@@ -90,39 +92,45 @@ def fk_candidates(profile: DataFrame, keys: DataFrame, families: DataFrame) -> D
     )
 
 
-def contained(candidates: DataFrame, counts: DataFrame, sample: int | None = CONTAINMENT_SAMPLE) -> DataFrame:
+def contained(
+    candidates: DataFrame, tables: Mapping[str, DataFrame], sample: int | None = CONTAINMENT_SAMPLE
+) -> DataFrame:
     """Candidates whose foreign-key values all occur in the key column.
 
-    ``counts`` is the value counts of all tables, so every candidate is tested in one
-    anti join of distinct values. With ``sample`` only that many values per column are
-    looked at, those with the least hashes; a null always is, and counts as unmatched.
+    All candidates are tested in one anti join of distinct values, read from the
+    candidates' columns only. With ``sample`` only that many values per column are looked
+    at, those with the least hashes; a null always is, and counts as unmatched.
     """
-    fk_columns = candidates.select(
-        F.col("target_table").alias("full_name"), F.col("fk_position").alias("ordinal_position")
+    fk, pk = ["target_table", "fk_position"], ["dimension_table", "pk_position"]
+    pairs = candidates.select(*fk, *pk, "fk_column", "pk_column").distinct()
+    # Column names only: at most as many as the given tables have columns.
+    named = pairs.select(
+        F.inline(
+            F.array(
+                F.struct(F.col("target_table").alias("table"), F.col("fk_column").alias("column")),
+                F.struct(F.col("dimension_table").alias("table"), F.col("pk_column").alias("column")),
+            )
+        )
     ).distinct()
+    only: dict[str, set[str]] = {}
+    for row in named.collect():
+        only.setdefault(row["table"], set()).add(row["column"])
+    if not only:
+        return candidates
+    counts = value_counts(tables, only)
+    fk_columns = pairs.select(*(F.col(a).alias(b) for a, b in zip(fk, COLUMN_KEY))).distinct()
     values = counts.join(fk_columns, COLUMN_KEY, "left_semi").select(*COLUMN_KEY, *LANE_NAMES)
     if sample is not None:
         values = _least_hashes(values, sample)
-    pk_columns = candidates.select(
-        F.col("dimension_table").alias("full_name"), F.col("pk_position").alias("ordinal_position")
-    ).distinct()
-    held = counts.join(pk_columns, COLUMN_KEY, "left_semi").select(
-        F.col("full_name").alias("dimension_table"), F.col("ordinal_position").alias("pk_position"), *LANE_NAMES
-    )
-    wanted = values.withColumnsRenamed({"full_name": "target_table", "ordinal_position": "fk_position"}).join(
-        candidates.select("target_table", "fk_position", "dimension_table", "pk_position").distinct(),
-        ["target_table", "fk_position"],
-    )
-    # Equal types share one lane. Null-safe equality lets the empty lanes match; a null
-    # value has all lanes empty and must stay unmatched.
-    key_names = ["dimension_table", "pk_position"]
-    value_key = F.struct(*LANE_NAMES)
-    held = held.filter(_some_lane()).select(*key_names, value_key.alias("value"))
-    unmatched = wanted.select("target_table", "fk_position", *key_names, value_key.alias("value")).join(
-        held, [*key_names, "value"], "left_anti"
-    )
-    pair = ["target_table", "fk_position", *key_names]
-    return candidates.join(unmatched.select(*pair).distinct(), pair, "left_anti")
+    # Equal types share one lane. A null value has all lanes empty and must stay unmatched.
+    value = F.struct(*LANE_NAMES).alias("value")
+    pk_columns = pairs.select(*(F.col(a).alias(b) for a, b in zip(pk, COLUMN_KEY))).distinct()
+    held = counts.filter(_some_lane()).join(pk_columns, COLUMN_KEY, "left_semi")
+    held = held.select(*COLUMN_KEY, value).withColumnsRenamed(dict(zip(COLUMN_KEY, pk)))
+    wanted = values.select(*COLUMN_KEY, value).withColumnsRenamed(dict(zip(COLUMN_KEY, fk)))
+    wanted = wanted.join(pairs.select(*fk, *pk), fk)
+    unmatched = wanted.join(held, [*pk, "value"], "left_anti").select(*fk, *pk).distinct()
+    return candidates.join(unmatched, [*fk, *pk], "left_anti")
 
 
 def _some_lane() -> Column:
@@ -147,7 +155,7 @@ def _least_hashes(values: DataFrame, size: int) -> DataFrame:
 
 def detect_foreign_keys(
     profile: DataFrame,
-    counts: DataFrame,
+    tables: Mapping[str, DataFrame],
     families: DataFrame,
     keys: DataFrame | None = None,
     sample: int | None = CONTAINMENT_SAMPLE,
@@ -155,13 +163,16 @@ def detect_foreign_keys(
     """Foreign keys of every table at once: family, candidates, containment."""
     keys = detect_primary_keys(profile) if keys is None else keys
     candidates = written(fk_candidates(profile, keys, families), "fk-candidates")
-    found = contained(candidates, counts, sample)
+    found = contained(candidates, tables, sample)
     return found.select("target_table", "fk_column", "dimension_table", "pk_column", "name_score")
 
 
 def relation_owners(relations: DataFrame, columns: DataFrame) -> DataFrame:
-    """Relations next to the tables that own their two columns; both must be known."""
-    owner = columns.select("id", "full_name").distinct()
+    """Relations next to the tables that own their two columns; both must be known.
+
+    ``columns`` holds each ``id`` once.
+    """
+    owner = columns.select("id", "full_name")
     return relations.join(owner.withColumnsRenamed({"id": "fk", "full_name": "fact"}), "fk").join(
         owner.withColumnsRenamed({"id": "pk", "full_name": "dimension"}), "pk"
     )

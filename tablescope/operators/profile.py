@@ -7,7 +7,7 @@ shuffle, combined before it moves, so a value in a third of all rows costs one r
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,17 +39,30 @@ def columns_of(tables: Mapping[str, DataFrame]) -> DataFrame:
     return SparkSession.active().createDataFrame(rows, COLUMN_SCHEMA)
 
 
-def value_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Rows ``(full_name, ordinal_position, lanes…, n)`` over all columns of all tables."""
+def value_counts(
+    tables: Mapping[str, DataFrame], only: Mapping[str, Collection[str]] | None = None
+) -> DataFrame:
+    """Rows ``(full_name, ordinal_position, lanes…, n)`` over the columns of all tables.
+
+    ``only`` names the columns to look at, by table; the scan reads no others.
+    """
 
-    def long_form(name: str, df: DataFrame) -> DataFrame:
+    def long_form(name: str, df: DataFrame) -> DataFrame | None:
         cells = [
-            F.struct(F.lit(position).alias("ordinal_position"), *lanes(field))
+            cell
             for position, field in enumerate(df.schema.fields, start=1)
+            if only is None or field.name in only.get(name, ())
+            for cell in (F.lit(position), *lanes(field))
         ]
-        return df.select(F.inline(F.array(*cells))).withColumn("full_name", F.lit(name))
+        if not cells:
+            return None
+        rows = F.lit(len(cells) // (1 + len(LANE_NAMES)))
+        return df.select(
+            F.lit(name).alias("full_name"), F.stack(rows, *cells).alias("ordinal_position", *LANE_NAMES)
+        )
 
-    cells = reduce(DataFrame.unionByName, (long_form(name, df) for name, df in tables.items()))
+    parts = [part for name, df in tables.items() if (part := long_form(name, df)) is not None]
+    cells = reduce(DataFrame.unionByName, parts)
     return cells.groupBy(*COLUMN_KEY, *LANE_NAMES).agg(F.count(F.lit(1)).alias("n"))
 
 

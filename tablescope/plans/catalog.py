@@ -94,19 +94,22 @@ def f8(t: Tables) -> DataFrame:
     return catalog.catalog_metadata(catalogs(t), schemata(t), "economy")
 
 
+# Part 2 names a table, and so a schema, that every scale has.
 @query(
     "f9_schema_metadata",
     SCHEMATA
     + """ SELECT catalog_name, schema_name, schema_owner, created_at, last_altered_at, last_altered_by,
       count(*) OVER () AS table_count, table_name, table_type, comment, data_source_format, storage_path
     FROM schemata JOIN info_tables USING (catalog_name, schema_name)
-    WHERE catalog_name = 'economy' AND schema_name = 'brand_1'""",
+    WHERE (catalog_name, schema_name) = (SELECT (catalog_name, schema_name) FROM info_tables WHERE table_name = 't2')""",
 )
 def f9(t: Tables) -> DataFrame:
-    return catalog.schema_metadata(schemata(t), inputs.info_tables(t), "economy", "brand_1")
+    name = inputs.info_tables(t).filter("table_name = 't2'").first()
+    return catalog.schema_metadata(
+        schemata(t), inputs.info_tables(t), name["catalog_name"], name["schema_name"]
+    )
 
 
-# A table that every scale has: the one of part 2.
 _PART = "(SELECT * FROM info_tables WHERE table_name = 't2')"
 
 

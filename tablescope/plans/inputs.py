@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.operators.graph import LineageGraph
-from tablescope.operators.profile import value_counts
 from tablescope.operators.upsert import column_nodes, table_nodes
 from tablescope.plans.registry import Tables
 from tablescope.sources.lineage import column_lineage, graph_edges, parse_graphs, table_lineage
@@ -363,10 +362,6 @@ def star_tables(t: Tables) -> dict[str, DataFrame]:
     return found
 
 
-def star_counts(t: Tables) -> DataFrame:
-    return written(value_counts(star_tables(t)), "value-counts")
-
-
 def star_edges(t: Tables) -> DataFrame:
     rows = [(star_name(a), star_name(b)) for a, b in STAR_LINEAGE]
     return t.spark.createDataFrame(rows, "source string, target string")
@@ -457,14 +452,11 @@ def relations(t: Tables) -> DataFrame:
     return parts.unionByName(suppliers).groupBy("fk", "pk").agg(F.max("confidence").alias("confidence"))
 
 
-def relation_columns(t: Tables) -> DataFrame:
-    """The columns that the relations run between, with their tables."""
-    return (
-        relations(t)
-        .select(F.explode(F.array("fk", "pk")).alias("id"))
-        .distinct()
-        .withColumn("full_name", F.regexp_replace("id", r"\.[^.]*$", ""))
-    )
+def relations_and_columns(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The relations as a kept table, and the columns they run between with their tables."""
+    kept = written(relations(t), "relations")
+    ids = kept.select(F.explode(F.array("fk", "pk")).alias("id")).distinct()
+    return kept, ids.withColumn("full_name", F.regexp_replace("id", r"\.[^.]*$", ""))
 
 
 def table_types(t: Tables) -> DataFrame:

@@ -141,17 +141,17 @@ class Star:
 
     def __init__(self, t: Tables):
         self.t = t
-        self.counts = inputs.star_counts(t)
-        self.profile = written(data_profile(inputs.star_tables(t), self.counts), "profile")
+        self.star = inputs.star_tables(t)
+        self.profile = written(data_profile(self.star), "profile")
         self.keys = keys.detect_primary_keys(self.profile)
         with LineageGraph(inputs.star_edges(t)) as graph:
             self.families = lineage.families(graph, inputs.star_roots(t))
 
     def candidates(self) -> DataFrame:
-        return keys.fk_candidates(self.profile, self.keys, self.families)
+        return written(keys.fk_candidates(self.profile, self.keys, self.families), "candidates")
 
     def foreign_keys(self) -> DataFrame:
-        return keys.detect_foreign_keys(self.profile, self.counts, self.families, self.keys, sample=None)
+        return keys.detect_foreign_keys(self.profile, self.star, self.families, self.keys, sample=None)
 
     def nodes(self) -> tuple[DataFrame, DataFrame]:
         return inputs.star_nodes(self.t, self.profile)
@@ -206,14 +206,14 @@ def j2(t: Tables) -> DataFrame:
 @query("j3_containment", FOREIGN_KEYS_SQL + " SELECT target_table, fk_column, dimension_table, pk_column FROM foreign_keys")
 def j3(t: Tables) -> DataFrame:
     found = Star(t)
-    return keys.contained(found.candidates(), found.counts, sample=None).select(*PAIR)
+    return keys.contained(found.candidates(), found.star, sample=None).select(*PAIR)
 
 
 @query("l5_containment_by_sample")
 def l5(t: Tables) -> DataFrame:
     """The containment test on each column's 1,000 values of least hash."""
     found = Star(t)
-    return keys.contained(found.candidates(), found.counts).select(*PAIR)
+    return keys.contained(found.candidates(), found.star).select(*PAIR)
 
 
 @query("i2_foreign_keys", FOREIGN_KEYS_SQL + " SELECT * FROM foreign_keys")
@@ -377,7 +377,7 @@ CONNECTED_SQL = (
 
 @query("a2_fk_connectivity", CONNECTED_SQL + " SELECT full_name, fk_columns, dim_connections FROM connected")
 def a2(t: Tables) -> DataFrame:
-    return keys.fk_connectivity(inputs.relations(t), inputs.relation_columns(t))
+    return keys.fk_connectivity(*inputs.relations_and_columns(t))
 
 
 @query(
@@ -413,9 +413,7 @@ def j4(t: Tables) -> DataFrame:
     short = F.array(column("amount", "double"), column("note", "string"))
     long = F.array(column("amount", "double"), column("note", "string"), column("item", "bigint"))
     listed = F.inline(F.when(F.col("o_orderstatus") == "F", short).otherwise(long))
-    scored = keys.fact_scores(
-        t["orders"].select(table, listed), inputs.relations(t), inputs.relation_columns(t)
-    )
+    scored = keys.fact_scores(t["orders"].select(table, listed), *inputs.relations_and_columns(t))
     return scored.withColumn("fact_score", F.round("fact_score", 6)).drop("numeric_density")
 
 
@@ -426,12 +424,12 @@ RELATION_COLUMNS = "fact, dimension, fact_column, dimension_column, confidence"
 
 
 def _star(t: Tables) -> DataFrame:
-    return star.fact_dimensions(inputs.relations(t), inputs.relation_columns(t))
+    return star.fact_dimensions(*inputs.relations_and_columns(t))
 
 
 @query("j5_relation_owners", STAR_SQL + " SELECT fk, pk, fact, dimension, confidence FROM relations")
 def j5(t: Tables) -> DataFrame:
-    return keys.relation_owners(inputs.relations(t), inputs.relation_columns(t)).select(
+    return keys.relation_owners(*inputs.relations_and_columns(t)).select(
         "fk", "pk", "fact", "dimension", "confidence"
     )
 

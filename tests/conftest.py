@@ -11,7 +11,9 @@ import check  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = check.session("8")
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    # Tiny inputs: few partitions, and no time spent on generating code.
+    session.conf.set("spark.sql.shuffle.partitions", "3")
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
     yield session
 
 

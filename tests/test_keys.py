@@ -43,7 +43,7 @@ def test_foreign_keys(lake):
     assert (FACT, "f_custkey", DIM, "d_custkey") in pairs and (FACT, "g_custkey", OTHER, "e_custkey") in pairs
     assert not [p for p in pairs if p[0] == p[2]]
     for sample in (None, 1000, 3):
-        held = keys.contained(candidates, counts, sample)
+        held = keys.contained(candidates, tables, sample)
         names = rows(held, "target_table", "fk_column", "dimension_table", "pk_column")
         assert (FACT, "f_custkey", DIM, "d_custkey") in names
         # A null among the values counts as unmatched, in any sample.
