@@ -38,16 +38,18 @@ def all_columns(columns: DataFrame) -> DataFrame:
 
 
 def _children(parent: DataFrame, children: DataFrame, keys: list[str], count: str, what: str) -> DataFrame:
-    """Parent attributes, the number of children, and one row per child (one without any)."""
+    """Parent attributes, the number of children, and one row per child (one without any).
+
+    All children share one key, so the single parent row goes to them.
+    """
+    parent = parent.limit(1)
     if parent.isEmpty():
         raise EntityNotFound(f"{what} not found")
-    counted = children.groupBy(*keys).agg(F.count(F.lit(1)).alias(count))
-    return (
-        parent.limit(1)
-        .join(counted, keys, "left")
-        .fillna(0, count)
-        .join(children, keys, "left")
-    )
+    number = children.count()
+    parent = parent.withColumn(count, F.lit(number).cast("bigint"))
+    # The parent is one row.
+    found = children.join(F.broadcast(parent), keys)
+    return found if number else found.unionByName(parent, allowMissingColumns=True)
 
 
 def catalog_metadata(catalogs: DataFrame, schemata: DataFrame, catalog: str) -> DataFrame:
@@ -118,7 +120,10 @@ def tables_with_columns(tables: DataFrame, columns: DataFrame) -> DataFrame:
         "data_source_format",
         "storage_path",
     )
-    return table_rows.join(column_rows, "full_name", "left")
+    # A table may hold a large share of all columns. Spark can split the larger side of an
+    # inner join but not the right side of a left one.
+    bare = table_rows.join(column_rows.select("full_name").distinct(), "full_name", "left_anti")
+    return column_rows.join(table_rows, "full_name").unionByName(bare, allowMissingColumns=True)
 
 
 def catalog_snapshot(tables: DataFrame, columns: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from tablescope.functions.similarity import partial_ratio, similar_names
 from tablescope.functions.types import is_numeric_name
 from tablescope.operators.graph import LineageGraph
 from tablescope.operators.paths import lineage_distances
-from tablescope.operators.profile import COLUMN_KEY, LANE_NAMES, value_counts
+from tablescope.operators.profile import COLUMN_KEY, LANE_NAMES, long_values, value_counts
 from tablescope.operators.quantiles import weighted_quantiles
 from tablescope.workspace import written
 
@@ -28,8 +28,8 @@ SCORE_BASE, NAMING_WEIGHT, SEMANTIC_SCORE, LINEAGE_SCORE, SCORE_CAP = 0.5, 0.2,
 NEAR_LINEAGE = 2
 FK_WEIGHT, DIM_WEIGHT, NUMERIC_WEIGHT = 0.5, 0.3, 0.2
 
-# Salts for the first of the two rounds that pick a column's sample.
-SAMPLE_SALTS = 64
+# How many times the sample's size is ranked to find its values of least hash.
+SAMPLE_MARGIN = 4
 
 
 def detect_primary_keys(profile: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def fk_candidates(profile: DataFrame, keys: DataFrame, families: DataFrame) -> D
         .join(relatives, "dimension_table")
         .join(columns, ["target_table", "data_type", "fk_column"])
         .filter(F.col("fk_distinct") <= F.col("pk_distinct"))
-        .drop("fk_distinct", "pk_distinct")
+        .drop("pk_distinct")
     )
 
 
@@ -102,37 +102,38 @@ def contained(
     at, those with the least hashes; a null always is, and counts as unmatched.
     """
     fk, pk = ["target_table", "fk_position"], ["dimension_table", "pk_position"]
-    pairs = candidates.select(*fk, *pk, "fk_column", "pk_column").distinct()
+    pairs = candidates.select(*fk, *pk).distinct()
     # Column names only: at most as many as the given tables have columns.
-    named = pairs.select(
-        F.inline(
-            F.array(
-                F.struct(F.col("target_table").alias("table"), F.col("fk_column").alias("column")),
-                F.struct(F.col("dimension_table").alias("table"), F.col("pk_column").alias("column")),
-            )
-        )
-    ).distinct()
-    only: dict[str, set[str]] = {}
-    for row in named.collect():
-        only.setdefault(row["table"], set()).add(row["column"])
-    if not only:
+    fk_names = _named(candidates, "target_table", "fk_column")
+    pk_names = _named(candidates, "dimension_table", "pk_column")
+    if not fk_names:
         return candidates
-    counts = value_counts(tables, only)
-    fk_columns = pairs.select(*(F.col(a).alias(b) for a, b in zip(fk, COLUMN_KEY))).distinct()
-    values = counts.join(fk_columns, COLUMN_KEY, "left_semi").select(*COLUMN_KEY, *LANE_NAMES)
+    value = F.struct(*LANE_NAMES).alias("value")
+    fk_columns = candidates.select(
+        F.col("target_table").alias("full_name"), F.col("fk_position").alias("ordinal_position"), "fk_distinct"
+    ).distinct()
+    values = value_counts(tables, fk_names).join(fk_columns, COLUMN_KEY)
     if sample is not None:
         values = _least_hashes(values, sample)
-    # Equal types share one lane. A null value has all lanes empty and must stay unmatched.
-    value = F.struct(*LANE_NAMES).alias("value")
+    values = values.select(*COLUMN_KEY, value).withColumnsRenamed(dict(zip(COLUMN_KEY, fk)))
+    # Written, so that its real size decides whether a sample is sent to the key values.
+    wanted = written(values.join(pairs, fk), "fk-values")
     pk_columns = pairs.select(*(F.col(a).alias(b) for a, b in zip(pk, COLUMN_KEY))).distinct()
-    held = counts.filter(_some_lane()).join(pk_columns, COLUMN_KEY, "left_semi")
+    held = long_values(tables, pk_names).filter(_some_lane()).join(pk_columns, COLUMN_KEY, "left_semi")
     held = held.select(*COLUMN_KEY, value).withColumnsRenamed(dict(zip(COLUMN_KEY, pk)))
-    wanted = values.select(*COLUMN_KEY, value).withColumnsRenamed(dict(zip(COLUMN_KEY, fk)))
-    wanted = wanted.join(pairs.select(*fk, *pk), fk)
-    unmatched = wanted.join(held, [*pk, "value"], "left_anti").select(*fk, *pk).distinct()
+    # Equal types share one lane. A null value has all lanes empty and stays unmatched.
+    matched = held.join(wanted, [*pk, "value"]).select(*fk, *pk, "value").distinct()
+    unmatched = wanted.join(matched, [*fk, *pk, "value"], "left_anti").select(*fk, *pk).distinct()
     return candidates.join(unmatched, [*fk, *pk], "left_anti")
 
 
+def _named(candidates: DataFrame, table: str, column: str) -> dict[str, set[str]]:
+    names: dict[str, set[str]] = {}
+    for row in candidates.select(table, column).distinct().collect():
+        names.setdefault(row[table], set()).add(row[column])
+    return names
+
+
 def _some_lane() -> Column:
     some = F.lit(False)
     for lane in LANE_NAMES:
@@ -141,16 +142,19 @@ def _some_lane() -> Column:
 
 
 def _least_hashes(values: DataFrame, size: int) -> DataFrame:
-    """Per column the ``size`` values with the least hashes, nulls first, in two rounds:
-    within salted shares of the column, and then among the winners of its shares."""
+    """Per column the ``size`` values with the least hashes, nulls first.
+
+    Hashes are spread evenly, so of ``fk_distinct`` values about four times ``size`` lie
+    below the cut; only those are ranked.
+    """
     hashed = values.withColumn(
         "order", F.struct(_some_lane().alias("not_null"), F.xxhash64(*LANE_NAMES).alias("hash"), *LANE_NAMES)
-    ).withColumn("salt", F.pmod("order.hash", F.lit(SAMPLE_SALTS)))
-    shares = Window.partitionBy(*COLUMN_KEY, "salt").orderBy("order")
-    first = hashed.withColumn("rank", F.row_number().over(shares)).filter(F.col("rank") <= size)
-    whole = Window.partitionBy(*COLUMN_KEY).orderBy("order")
-    second = first.withColumn("rank", F.row_number().over(whole)).filter(F.col("rank") <= size)
-    return second.select(*COLUMN_KEY, *LANE_NAMES)
+    )
+    place = F.col("order.hash") / F.lit(2.0**64) + 0.5
+    low = place <= F.lit(float(SAMPLE_MARGIN * size)) / F.greatest(F.col("fk_distinct"), F.lit(1))
+    ranks = Window.partitionBy(*COLUMN_KEY).orderBy("order")
+    ranked = hashed.filter(low | ~F.col("order.not_null")).withColumn("rank", F.row_number().over(ranks))
+    return ranked.filter(F.col("rank") <= size).select(*COLUMN_KEY, *LANE_NAMES)
 
 
 def detect_foreign_keys(

@@ -39,10 +39,10 @@ def columns_of(tables: Mapping[str, DataFrame]) -> DataFrame:
     return SparkSession.active().createDataFrame(rows, COLUMN_SCHEMA)
 
 
-def value_counts(
+def long_values(
     tables: Mapping[str, DataFrame], only: Mapping[str, Collection[str]] | None = None
 ) -> DataFrame:
-    """Rows ``(full_name, ordinal_position, lanes…, n)`` over the columns of all tables.
+    """Rows ``(full_name, ordinal_position, lanes…)``, one per cell of all tables.
 
     ``only`` names the columns to look at, by table; the scan reads no others.
     """
@@ -62,8 +62,14 @@ def value_counts(
         )
 
     parts = [part for name, df in tables.items() if (part := long_form(name, df)) is not None]
-    cells = reduce(DataFrame.unionByName, parts)
-    return cells.groupBy(*COLUMN_KEY, *LANE_NAMES).agg(F.count(F.lit(1)).alias("n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def value_counts(
+    tables: Mapping[str, DataFrame], only: Mapping[str, Collection[str]] | None = None
+) -> DataFrame:
+    """Rows ``(full_name, ordinal_position, lanes…, n)``: each distinct value of each column."""
+    return long_values(tables, only).groupBy(*COLUMN_KEY, *LANE_NAMES).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _has_value() -> Column:
@@ -130,7 +136,8 @@ def quality_stats(tables: Mapping[str, DataFrame], counts: DataFrame | None = No
     """
     counts = value_counts(tables) if counts is None else counts
     bits = F.conv(F.substring(F.md5(_as_text()), 1, 15), 16, 10).cast("decimal(38,0)")
-    zero = (F.col("number") == 0) | (F.col("real") == 0)
+    # Decimals are in the words lane; zeros of columns that are not numeric are dropped below.
+    zero = F.coalesce(F.col("number").cast("double"), "real", F.col("words").try_cast("double")) == 0
     stats = counts.groupBy(*COLUMN_KEY).agg(
         F.sum("n").alias("total_rows"),
         F.count_if(_has_value()).alias("distinct_count"),
@@ -138,7 +145,7 @@ def quality_stats(tables: Mapping[str, DataFrame], counts: DataFrame | None = No
         F.coalesce(F.sum(F.when(zero, F.col("n"))), F.lit(0)).alias("zero_rows"),
         F.sum(bits * F.col("n")).cast("string").alias("fingerprint"),
     )
-    numeric = F.col("data_type").isin("LONG", "INTEGER", "DOUBLE", "FLOAT", "SMALLINT", "TINYINT")
+    numeric = F.col("data_type").rlike("^(LONG|INTEGER|DOUBLE|FLOAT|SMALLINT|TINYINT|DECIMAL.*)$")
     return (
         _with_columns(tables, stats)
         .fillna(0, ["total_rows", "distinct_count", "null_count", "zero_rows"])
@@ -157,27 +164,26 @@ def quality_stats(tables: Mapping[str, DataFrame], counts: DataFrame | None = No
     )
 
 
-def distribution_stats(tables: Mapping[str, DataFrame], counts: DataFrame | None = None) -> DataFrame:
+def distribution_stats(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per numeric column: mean, exact quartiles, extremes, distinct values, rows."""
     numeric = {
-        name: df.select(*(f"`{f.name}`" for f in df.schema.fields if isinstance(f.dataType, T.NumericType)))
+        name: {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
         for name, df in tables.items()
     }
-    numeric = {
-        name: df.select(*(F.col(f"`{c}`").cast("double").alias(c) for c in df.columns))
-        for name, df in numeric.items()
-        if df.columns
-    }
-    counts = written(value_counts(numeric), "value-counts")
-    value = F.col("real")
+    counts = written(value_counts(tables, numeric), "value-counts")
+    # A decimal is in the words lane.
+    counts = counts.withColumn(
+        "value", F.coalesce(F.col("number").cast("double"), "real", F.col("words").try_cast("double"))
+    )
+    value = F.col("value")
     stats = counts.groupBy(*COLUMN_KEY).agg(
         F.sum("n").alias("row_count"),
-        F.count("real").alias("distinct_count"),
+        F.count_if(_has_value()).alias("distinct_count"),
         F.try_divide(F.sum(value * F.col("n")), F.sum(F.when(value.isNotNull(), F.col("n")))).alias("mean"),
         F.min(value).alias("min_val"),
         F.max(value).alias("max_val"),
     )
-    values = counts.filter(value.isNotNull()).select(*COLUMN_KEY, value.alias("value"), "n")
+    values = counts.filter(value.isNotNull()).select(*COLUMN_KEY, "value", "n")
     quartiles = (
         weighted_quantiles(values, COLUMN_KEY, [0.25, 0.5, 0.75])
         .groupBy(*COLUMN_KEY)
@@ -185,10 +191,12 @@ def distribution_stats(tables: Mapping[str, DataFrame], counts: DataFrame | None
         .agg(F.first("value"))
         .withColumnsRenamed({"0.25": "p25", "0.5": "median", "0.75": "p75"})
     )
-    types = columns_of(tables).select(full_name().alias("full_name"), "column_name", "data_type")
-    columns = columns_of(numeric).withColumn("full_name", full_name()).drop("data_type")
+    names = F.concat_ws("\u001f", "full_name", "column_name")
+    wanted = [f"{name}\u001f{column}" for name, columns in numeric.items() for column in columns]
     return (
-        columns.join(types, ["full_name", "column_name"])
+        columns_of(tables)
+        .withColumn("full_name", full_name())
+        .filter(names.isin(wanted))
         .join(stats, COLUMN_KEY, "left")
         .join(quartiles, COLUMN_KEY, "left")
         .fillna(0, ["row_count", "distinct_count"])

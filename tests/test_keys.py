@@ -52,13 +52,16 @@ def test_foreign_keys(lake):
             assert (FACT, "f_custkey", OTHER, "e_custkey") not in names
 
 
-def test_sample_takes_the_least_hashes(spark, lake):
-    _, counts, _, _ = lake
-    picked = keys._least_hashes(counts, 10)
-    assert {r["count"] for r in picked.groupBy("full_name", "ordinal_position").count().collect()} == {10}
-    hashed = counts.filter(F.col("full_name") == DIM).filter("ordinal_position = 1")
-    least = hashed.orderBy(F.xxhash64("number", "real", "moment", "words")).limit(10)
-    assert rows(picked.filter(F.col("full_name") == DIM).filter("ordinal_position = 1"), "number") == rows(least, "number")
+def test_sample_takes_the_least_hashes(spark):
+    from tablescope.operators.profile import value_counts
+
+    many = spark.range(5000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"))
+    counts = value_counts({DIM: many}).withColumn("fk_distinct", F.lit(4999))
+    picked = {r.number for r in keys._least_hashes(counts, 10).collect()}
+    by_hash = counts.filter("number is not null").orderBy(F.xxhash64("number", "real", "moment", "words"))
+    assert picked == {r.number for r in by_hash.limit(9).collect()} | {None}
+    few = value_counts({DIM: many.limit(7)}).withColumn("fk_distinct", F.lit(6))
+    assert keys._least_hashes(few, 10).count() == few.count()
 
 
 def relations(spark):
