@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tablescope.workspace import new_path, written
+from tablescope.workspace import new_path, partitions_for, written
 
 UPSTREAM, DOWNSTREAM, BOTH_WAYS = "upstream", "downstream", "both"
 
@@ -23,9 +23,8 @@ UPSTREAM, DOWNSTREAM, BOTH_WAYS = "upstream", "downstream", "both"
 HUB_SEARCH_EDGES = 5_000_000
 # A node with more than 1/2000 of all edges is split, so there are at most 2000 hubs.
 MAX_HUBS = 2_000
-# A partition of edges is not made for fewer than the first and holds about at most the second.
+# A partition of edges is not made for fewer.
 EDGES_IN_SMALL_PARTITION = 50_000
-EDGES_IN_LARGE_PARTITION = 5_000_000
 # Level tables read together before they are merged into one.
 MERGE_LEVELS = 24
 
@@ -111,10 +110,8 @@ class LineageGraph:
 
     def _partitions(self) -> int:
         """Few partitions for a small graph; beyond the session's number only by size."""
-        usual = int(self.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        small = -(-self.edge_count // EDGES_IN_SMALL_PARTITION)
-        large = -(-self.edge_count // EDGES_IN_LARGE_PARTITION)
-        return max(1, min(small, usual), large)
+        few = -(-self.edge_count // EDGES_IN_SMALL_PARTITION)
+        return max(1, min(few, partitions_for(self.edges.sparkSession, self.edge_count)))
 
     def walk(
         self,

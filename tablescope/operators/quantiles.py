@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescope.workspace import written
+from tablescope.workspace import partitions_for, written
 
 # Up to this many distinct values of one key fit in one task's memory.
 VALUES_IN_ONE_TASK = 1_000_000
@@ -29,19 +29,18 @@ def weighted_quantiles(
     aggregate; with more, ranks are located in a range-partitioned copy.
     """
     keys = list(keys)
-    largest = values.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= values_in_one_task:
+    sizes = values.groupBy(*keys).count().agg(F.max("count").alias("largest"), F.sum("count").alias("total"))
+    largest, total = sizes.first()
+    if (largest or 0) <= values_in_one_task:
         points = F.array(*(F.lit(float(q)) for q in quantiles))
         found = values.groupBy(*keys).agg(F.percentile("value", points, F.col("n")).alias("found"))
         pairs = F.arrays_zip(points.alias("quantile"), F.col("found").alias("value"))
         return found.select(*keys, F.inline(pairs).alias("quantile", "value"))
-    return _by_ranges(values, keys, quantiles)
+    return _by_ranges(values, keys, quantiles, partitions_for(values.sparkSession, total))
 
 
-def _by_ranges(values: DataFrame, keys: list[str], quantiles: Sequence[float]) -> DataFrame:
+def _by_ranges(values: DataFrame, keys: list[str], quantiles: Sequence[float], parts: int) -> DataFrame:
     """Every key's values spread over ranges; only the ranges that hold a rank are numbered."""
-    spark = values.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = written(
         values.repartitionByRange(parts, *keys, "value").withColumn("part", F.spark_partition_id()),
         "ranges",

@@ -15,7 +15,7 @@ from tablescope.operators.profile import (
     data_profile,
     value_counts,
 )
-from tablescope.workspace import written
+from tablescope.workspace import partitions_for, written
 
 # Limits of the health state and of the bands.
 OLD_AFTER_HOURS = 24
@@ -181,7 +181,7 @@ def with_neighbour(
     keys, part = list(keys), "_part"
     picked = F.struct(*columns)
     edge, shift = (F.max, F.lag) if earlier else (F.min, F.lead)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions_for(df.sparkSession, df.count())
     ranged = written(
         df.repartitionByRange(parts, *keys, at).withColumn(part, F.spark_partition_id()), "history"
     )

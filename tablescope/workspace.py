@@ -13,6 +13,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# About the most rows that one partition of a range or hash partitioning should hold.
+ROWS_IN_PARTITION = 5_000_000
+
+
+def partitions_for(spark: SparkSession, rows: int) -> int:
+    """The session's number of shuffle partitions, or more where the rows need more."""
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(usual, -(-rows // ROWS_IN_PARTITION))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; in local mode a new folder if unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
