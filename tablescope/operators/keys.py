@@ -116,15 +116,19 @@ def contained(
     if sample is not None:
         values = _least_hashes(values, sample)
     values = values.select(*COLUMN_KEY, value).withColumnsRenamed(dict(zip(COLUMN_KEY, fk)))
-    # Written, so that its real size decides whether a sample is sent to the key values.
-    wanted = written(values.join(pairs, fk), "fk-values")
+    wanted = values.join(pairs, fk)
     pk_columns = pairs.select(*(F.col(a).alias(b) for a, b in zip(pk, COLUMN_KEY))).distinct()
     held = long_values(tables, pk_names).filter(_some_lane()).join(pk_columns, COLUMN_KEY, "left_semi")
     held = held.select(*COLUMN_KEY, value).withColumnsRenamed(dict(zip(COLUMN_KEY, pk)))
     # Equal types share one lane. A null value has all lanes empty and stays unmatched.
-    matched = held.join(wanted, [*pk, "value"]).select(*fk, *pk, "value").distinct()
-    unmatched = wanted.join(matched, [*fk, *pk, "value"], "left_anti").select(*fk, *pk).distinct()
-    return candidates.join(unmatched, [*fk, *pk], "left_anti")
+    if sample is None:
+        unmatched = wanted.join(held, [*pk, "value"], "left_anti")
+    else:
+        # Written, so that its real size decides whether the sample is sent to the key values.
+        wanted = written(wanted, "fk-values")
+        matched = held.join(wanted, [*pk, "value"]).select(*fk, *pk, "value").distinct()
+        unmatched = wanted.join(matched, [*fk, *pk, "value"], "left_anti")
+    return candidates.join(unmatched.select(*fk, *pk).distinct(), [*fk, *pk], "left_anti")
 
 
 def _named(candidates: DataFrame, table: str, column: str) -> dict[str, set[str]]:
