@@ -7,7 +7,6 @@ by, and survives the loss of an executor.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,24 +23,26 @@ def partitions_for(spark: SparkSession, rows: int) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; in local mode a new folder if unset."""
+    """``spark.checkpoint.dir``; where it is unset, a folder in the session's warehouse.
+
+    Both are shared by the driver and all executors of a cluster.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return context.getCheckpointDir()
-    if not context.master.startswith("local"):
-        raise RuntimeError(
-            "set spark.checkpoint.dir to a folder that every executor can reach"
-        )
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="tablescope-"))
-    return context.getCheckpointDir()
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_folder(spark).rstrip('/')}/tablescope/{label}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other run uses; it goes when the session's JVM ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/tablescope/{label}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def written(df: DataFrame, label: str, path: str | None = None, schema=None) -> DataFrame:
