@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablescope.workspace import new_path, removed
@@ -25,6 +27,11 @@ def free(spark: SparkSession, *paths: str) -> None:
         removed(spark, path)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def in_order(df: DataFrame, order: list, weight=None, label: str = "ordered") -> DataFrame:
     """``df`` with ``position``: how many rows (or how much ``weight``) come before each row.
 

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm import byte_pairs, sharding, topk, url_filter
+import corpus_pipeline
+from tablescope.llm import byte_pairs, licenses, merkle, packing, private_data, quality, sharding, simhash, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +36,11 @@ def op1_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), "page_id", "url", url_filter.RULES)
 
 
+@query()
+def op2_private_data(spark, sf_dir):
+    return private_data.digests(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @query(topk.ORACLE)
 def op3_top_k(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
@@ -42,6 +48,22 @@ def op3_top_k(spark, sf_dir):
     return found.withColumnRenamed("id", "vec_id")
 
 
+@query()
+def op4_simhash(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    found = simhash.near_duplicates(documents, "doc_id", "text", simhash.THREE_BITS)
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query()
+def op5_packing(spark, sf_dir):
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    pieces = packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer, length=2048, end_id=1)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 @query()
 def op6_byte_pairs(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -55,3 +77,27 @@ def op7_sharding(spark, sf_dir):
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "row_number",
     )
+
+
+@query()
+def op8_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"), "doc_id", "text").drop("spans")
+
+
+@query(merkle.oracle())
+def op9_merkle(spark, sf_dir):
+    return merkle.half_replaced(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query()
+def op10_quality(spark, sf_dir):
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(quality.training_rows(documents, labels, "doc_id", "text", "quality"), "text", "label")
+    scores = quality.score(documents, "doc_id", "text", model)
+    return scores.select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
