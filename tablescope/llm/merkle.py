@@ -102,17 +102,18 @@ def fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def followers(keys: DataFrame) -> DataFrame:
-    """For rows (id, mark, half) with unique (id, mark): whom each row follows in descending order.
+    """For rows (id, name, mark, half) with unique (id, mark): whom each follows in descending order.
 
-    Gives id, mark and (before_id, before_mark, need): the row before it in the order of id
+    Gives name, mark and (before_name, before_mark, need): the row before it in the order of id
     descending, then mark; the first row follows the last one. ``need`` is that row's ``half``.
+    ``name`` spells the id and is never null.
     Only these narrow rows are sorted; of each range partition one row is looked at in one place.
     """
     order = [F.col("id").desc_nulls_last(), F.col("mark")]
     numbered = keys.repartitionByRange(*order).sortWithinPartitions(*order)
     numbered = numbered.withColumn("at", F.monotonically_increasing_id())
     rows, _ = stored(numbered.withColumn("part", F.shiftright("at", 33).cast("int")), "ids")
-    own = F.struct("id", "mark", "half")
+    own = F.struct("name", "mark", "half")
     inside = Window.partitionBy("part").orderBy("at")
     linked = rows.withColumn("before", F.lag(own).over(inside))
     ends = rows.groupBy("part").agg(F.max_by(own, "at").alias("end"))
@@ -122,7 +123,7 @@ def followers(keys: DataFrame) -> DataFrame:
     # One row per partition of the range partitioning, so its size does not follow the data's.
     linked = linked.join(F.broadcast(ends), "part").withColumn("before", F.coalesce("before", "end"))
     return linked.select(
-        "id", "mark", F.col("before.id").alias("before_id"), F.col("before.mark").alias("before_mark"),
+        "name", "mark", F.col("before.name").alias("before_name"), F.col("before.mark").alias("before_mark"),
         F.col("before.half").alias("need"),
     )
 
@@ -132,8 +133,8 @@ def half_replaced(df: DataFrame, key: str, text: str) -> DataFrame:
 
     The edit replaces the last floor(n/2) code points by the first as many (or all) of the
     next document's, in the order of descending key, null last; the last row is followed by
-    the first. Gives key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited
-    and near_next. Rows that repeat key and text stand in one place of the order and all have
+    the first. Gives key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
+    near_next and next_key. Rows that repeat key and text stand in one place of the order and all have
     the same result; rows with equal keys and other texts follow each other by a hash of the
     text. A null text counts as empty; further columns are not read.
 
@@ -141,22 +142,25 @@ def half_replaced(df: DataFrame, key: str, text: str) -> DataFrame:
     for, and its fingerprint, to the one it follows.
     """
     docs = df.select(df[key].alias("id"), F.coalesce(df[text], F.lit("")).alias("text"))
-    docs = docs.withColumn("mark", F.xxhash64("text"))
+    # Joins and groups all go by the same columns without nulls, so each side is dealt out once.
+    name = F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit("null"))
+    docs = docs.withColumn("name", name).withColumn("mark", F.xxhash64("text"))
     half = F.floor(F.char_length("text") / 2).cast("int").alias("half")
-    order = followers(docs.select("id", "mark", half).distinct())
-    same = lambda a, b, left, right: left[a].eqNullSafe(right["id"]) & (left[b] == right["mark"])
-    sent = docs.join(order.hint("merge"), order["id"].eqNullSafe(docs["id"]) & (order["mark"] == docs["mark"]))
-    sent = sent.groupBy("before_id", "before_mark").agg(  # repeated rows send once
+    order = followers(docs.select("id", "name", "mark", half).distinct())
+    sent = docs.join(order.hint("merge"), ["name", "mark"])
+    sent = sent.groupBy("before_name", "before_mark").agg(  # repeated rows send once
         F.first(F.expr("left(text, need)")).alias("start"),
-        F.first(fingerprint(docs["text"])).alias("next"),
+        F.first(fingerprint(F.col("text"))).alias("next"),
+        F.first("id").alias("next_key"),
     )
-    both = docs.join(sent.hint("merge"), same("before_id", "before_mark", sent, docs))
+    sent = sent.withColumnsRenamed({"before_name": "name", "before_mark": "mark"})
+    both = docs.join(sent.hint("merge"), ["name", "mark"])
     kept = F.expr("left(text, char_length(text) - cast(floor(char_length(text) / 2) AS int))")
     edited = both.select(
-        "id", "text", "next", F.concat(kept, F.col("start")).alias("edited")
+        "id", "text", "next", "next_key", F.concat(kept, F.col("start")).alias("edited")
     )
     trees = edited.select(
-        "id", "next",
+        "id", "next", "next_key",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("text")).alias("fingerprint"),
@@ -166,6 +170,7 @@ def half_replaced(df: DataFrame, key: str, text: str) -> DataFrame:
         F.col("id").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next")).alias("near_next"),
+        "next_key",
     )
 
 
@@ -191,10 +196,11 @@ def oracle() -> str:
     return f"""
     WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
     linked AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC),
-      first_value(text) OVER (ORDER BY doc_id DESC)) AS next_text FROM docs),
-    edits AS (SELECT doc_id, text, n, next_text, left(text, n - n // 2) || left(next_text, n // 2) AS edited FROM linked),
-    trees AS (SELECT doc_id, n, sha256(edited) AS edited_sha256, {tree('text')} AS fingerprint,
+      first_value(text) OVER (ORDER BY doc_id DESC)) AS next_text, coalesce(lead(doc_id) OVER (ORDER BY doc_id DESC),
+      first_value(doc_id) OVER (ORDER BY doc_id DESC)) AS next_key FROM docs),
+    edits AS (SELECT doc_id, text, n, next_text, next_key, left(text, n - n // 2) || left(next_text, n // 2) AS edited FROM linked),
+    trees AS (SELECT doc_id, n, next_key, sha256(edited) AS edited_sha256, {tree('text')} AS fingerprint,
       {tree('edited')} AS edited_fingerprint, {tree('next_text')} AS next FROM edits)
     SELECT doc_id, n::BIGINT AS n_chars, edited_sha256, fingerprint, edited_fingerprint,
-      {near('fingerprint', 'edited_fingerprint')} AS near_edited, {near('fingerprint', 'next')} AS near_next FROM trees
+      {near('fingerprint', 'edited_fingerprint')} AS near_edited, {near('fingerprint', 'next')} AS near_next, next_key FROM trees
     """
