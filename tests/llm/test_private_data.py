@@ -71,7 +71,7 @@ def test_all_rows_and_clashing_columns(spark):
 
 
 def corpus():
-    texts = {i: f"Some words here. reach me at user{i}@host{i}.example.com today" for i in range(12)}
+    texts = {i: f"Some words here. reach me at user{i}@host{i}.example.com today" for i in range(20)}
     texts |= {100 + i: f"nothing of note but the year {1900 + i} came" for i in range(12)}
     texts |= {200 + i: f"both of them at 10.0.0.{i} and the rest" for i in range(4)}
     texts |= {300: "you can reach me at user99[at]host99 instead", 301: "Reach  ME at user98#host98, yes"}
