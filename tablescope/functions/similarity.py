@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,54 +57,76 @@ def partial_ratio_of(a: str | None, b: str | None) -> float | None:
     return max(best, _best_window(long, short)) if len(a) == len(b) else best
 
 
+# Names up to this length fit the bits of one machine word.
+WORD = 64
+# Windows that are worked on together.
+WINDOWS = 200_000
+
+
+def _codes(names: list[str], fill: int) -> np.ndarray:
+    """Code points of names as rows, filled up on the right."""
+    wide = np.full((len(names), max(map(len, names))), fill, dtype=np.int64)
+    for row, name in enumerate(names):
+        wide[row, : len(name)] = [ord(letter) for letter in name]
+    return wide
+
+
+def _best_windows(short: list[str], long: list[str]) -> np.ndarray:
+    """``_best_window`` of many pairs at once; all windows advance letter by letter together."""
+    m, n = (np.array([len(x) for x in names]) for names in (short, long))
+    patterns, texts = _codes(short, -1), _codes(long, -2)
+    powers = np.left_shift(np.uint64(1), np.arange(patterns.shape[1], dtype=np.uint64))
+    places = np.zeros(texts.shape, dtype=np.uint64)  # where each letter of the longer name stands in the shorter
+    for k, power in enumerate(powers):
+        places |= np.where(patterns[:, k : k + 1] == texts, power, np.uint64(0))
+    pair = np.repeat(np.arange(len(n)), n)
+    start = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+    every = np.uint64(2**64 - 1) >> (WORD - m[pair]).astype(np.uint64)
+    size = np.minimum(m[pair], n[pair] - start)
+    row, best = every.copy(), np.zeros(len(n))
+    for step in range(int(size.max())):
+        at = np.flatnonzero(step < size)
+        hits = row[at] & places[pair[at], start[at] + step]
+        row[at] = ((row[at] + hits) | (row[at] - hits)) & every[at]
+        ends = at[(start[at] == 0) | (size[at] == step + 1)]
+        common = m[pair[ends]] - np.bitwise_count(row[ends]).astype(np.int64)
+        np.maximum.at(best, pair[ends], 200.0 * common / (m[pair[ends]] + step + 1))
+    return best
+
+
+def partial_ratios(pairs: list[tuple[str | None, str | None]]) -> list[float | None]:
+    """``partial_ratio_of`` of many pairs; only names longer than a machine word go one by one."""
+    scores: list[float | None] = [None] * len(pairs)
+    jobs: list[tuple[int, str, str]] = []
+    for at, (a, b) in enumerate(pairs):
+        if not a or not b or min(len(a), len(b)) > WORD:
+            scores[at] = partial_ratio_of(a, b)
+            continue
+        short, long = sorted((a, b), key=len)
+        scores[at] = 0.0
+        jobs.append((at, short, long))
+        if len(a) == len(b):
+            jobs.append((at, long, short))
+    begin = 0
+    while begin < len(jobs):
+        end, windows = begin, 0
+        while end < len(jobs) and (end == begin or windows + len(jobs[end][2]) <= WINDOWS):
+            windows += len(jobs[end][2])
+            end += 1
+        best = _best_windows([j[1] for j in jobs[begin:end]], [j[2] for j in jobs[begin:end]])
+        for (at, _, _), score in zip(jobs[begin:end], best.tolist()):
+            scores[at] = max(scores[at], score)
+        begin = end
+    return scores
+
+
 @F.pandas_udf(T.DoubleType())
 def _partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    scores: dict[tuple, float | None] = {}
-    for pair in zip(a, b):
-        if pair not in scores:
-            scores[pair] = partial_ratio_of(*pair)
+    pairs = list(dict.fromkeys(zip(a, b)))
+    scores = dict(zip(pairs, partial_ratios(pairs)))
     return pd.Series([scores[pair] for pair in zip(a, b)], dtype="float64")
 
 
 def partial_ratio(a, b) -> Column:
     """Similarity of two name columns; call it on candidate pairs only."""
     return _partial_ratio(a, b)
-
-
-def similar_names(left: DataFrame, right: DataFrame, group: str, least: float) -> DataFrame:
-    """Rows ``(group, left, right, score)`` of names with ``partial_ratio`` of at least ``least``.
-
-    Both frames have the columns ``group`` and ``name``. Only pairs that share a rare letter
-    are compared, and none that is similar is missed. With a similarity of ``r`` or more to
-    a window no longer than itself, the shorter name, of length m, has at least
-    ``need = ceil(r m / (2 - r))`` letters in common with that window. So one of its
-    ``m - need + 1`` rarest letters is in the longer name. A letter's second occurrence
-    counts as another letter than its first.
-    """
-    ratio = least / 100
-    left, right = left.select(group, "name").distinct(), right.select(group, "name").distinct()
-    both = left.unionByName(right).distinct()
-    size = F.length("name")
-    letters = both.select(
-        group, "name", F.posexplode(F.split("name", "(?!$)")).alias("place", "letter")
-    )
-    # The window lies inside one name.
-    nth = F.row_number().over(Window.partitionBy(group, "name", "letter").orderBy("place"))
-    letters = letters.select(group, "name", F.concat("letter", nth.cast("string")).alias("token"))
-    uses = letters.groupBy(group, "token").agg(F.count(F.lit(1)).alias("uses"))
-    by_rarity = Window.partitionBy(group, "name").orderBy("uses", "token")
-    ranked = letters.join(uses, [group, "token"]).withColumn("rank", F.row_number().over(by_rarity))
-    need = F.ceil(F.round(F.lit(ratio / (2 - ratio)) * size, 6))
-    prefix = ranked.filter(F.col("rank") <= size - need + 1).select(group, "name", "token")
-    letters = ranked.select(group, "name", "token")
-
-    def pairs(short: DataFrame, long: DataFrame, strictly: bool) -> DataFrame:
-        a = prefix.join(short, [group, "name"], "left_semi").withColumnRenamed("name", "short")
-        b = letters.join(long, [group, "name"], "left_semi").withColumnRenamed("name", "long")
-        lengths = F.length("short") < F.length("long") if strictly else F.length("short") <= F.length("long")
-        return a.join(b, [group, "token"]).filter(lengths).select(group, "short", "long").distinct()
-
-    one_way = pairs(left, right, False).withColumnsRenamed({"short": "left", "long": "right"})
-    other_way = pairs(right, left, True).withColumnsRenamed({"short": "right", "long": "left"})
-    candidates = one_way.unionByName(other_way)
-    return candidates.withColumn("score", partial_ratio("left", "right")).filter(F.col("score") >= least)

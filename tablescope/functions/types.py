@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +44,24 @@ def is_numeric_name(name) -> Column:
     return F.coalesce(name.rlike(_NUMERIC_PATTERN) & ~F.lower(name).startswith("interval"), F.lit(False))
 
 
+def clean_scalars(df: DataFrame) -> DataFrame:
+    """All columns as plain values: NaN becomes null, dates and times become ISO 8601 text."""
+
+    def clean(field: T.StructField) -> Column:
+        value = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+            value = F.when(~F.isnan(value), value)
+        elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
+            # Fractions are written with six digits, and only where there are any.
+            micros = F.date_format(value, ".SSSSSS")
+            value = F.concat(F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros == ".000000", "").otherwise(micros))
+        elif isinstance(field.dataType, T.DateType):
+            value = F.date_format(value, "yyyy-MM-dd")
+        return value.alias(field.name)
+
+    return df.select(*(clean(field) for field in df.schema.fields))
+
+
 LANES = "number bigint, real double, moment timestamp_ntz, words string"
 
 

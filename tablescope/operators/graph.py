@@ -2,31 +2,27 @@
 
 Edges are rows ``(source, target)`` in data-flow order. A walk keeps rows
 ``(root, node, dist)``, so one loop serves many roots. Each level joins the frontier
-with the edges, drops what was already reached and writes the rest as a table; the
+with the edges, drops what was already reached and adds the rest to a bucketed table; the
 driver only learns how many rows a level has.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablescope.workspace import new_path, partitions_for, written
+from tablescope.workspace import ROWS_IN_PARTITION, new_path, partitions_for, written
 
 UPSTREAM, DOWNSTREAM, BOTH_WAYS = "upstream", "downstream", "both"
 
-# Below this many edges no node can hold enough of them to slow one task down.
-HUB_SEARCH_EDGES = 5_000_000
-# A node with more than 1/2000 of all edges is split, so there are at most 2000 hubs.
-MAX_HUBS = 2_000
 # A partition of edges is not made for fewer.
 EDGES_IN_SMALL_PARTITION = 50_000
-# Level tables read together before they are merged into one.
-MERGE_LEVELS = 24
 
 
 @dataclass(frozen=True)
@@ -50,10 +46,11 @@ class LineageGraph:
     """An edge table prepared for walks; use it as a context manager.
 
     The distinct edges are written once. Each direction that is walked keeps a copy
-    partitioned by its join key, so a level moves its frontier and not the edges.
+    partitioned by its join key, so a level moves its frontier and not the edges. A node
+    with more than ``hub_edges`` edges is split over several partitions.
     """
 
-    def __init__(self, edges: DataFrame, hub_search_edges: int = HUB_SEARCH_EDGES):
+    def __init__(self, edges: DataFrame, hub_edges: int = ROWS_IN_PARTITION):
         keys = ["source", "target"]
         extra = [c for c in edges.columns if c not in keys]
         edges = edges.dropna(subset=keys)
@@ -64,7 +61,7 @@ class LineageGraph:
         self.extra = extra
         self.edges = written(edges, "edges")
         self.edge_count = self.edges.count()
-        self._hub_search_edges = hub_search_edges
+        self._hub_edges = hub_edges
         self._steps: dict[str, _Steps] = {}
 
     def __enter__(self) -> LineageGraph:
@@ -90,18 +87,18 @@ class LineageGraph:
         frame = {DOWNSTREAM: forward, UPSTREAM: backward}.get(direction)
         if frame is None:
             frame = forward.unionByName(backward)
-        hubs, keys = None, ["here"]
-        if self.edge_count > self._hub_search_edges:
-            limit = max(1, self.edge_count // MAX_HUBS)
-            hubs = written(
-                frame.groupBy("here")
-                .agg(F.count(F.lit(1)).alias("degree"))
-                .filter(F.col("degree") > limit)
-                .select("here", F.ceil(F.col("degree") / limit).cast("int").alias("parts")),
-                "hubs",
-            )
-            # At most 2 * MAX_HUBS rows: the degrees of a direction add up to at most 2 * edges.
-            frame = frame.join(F.broadcast(hubs), "here", "left")
+        keys = ["here"]
+        hubs = written(
+            frame.groupBy("here")
+            .agg(F.count(F.lit(1)).alias("degree"))
+            .filter(F.col("degree") > self._hub_edges)
+            .select("here", F.ceil(F.col("degree") / self._hub_edges).cast("int").alias("parts")),
+            "hubs",
+        )
+        if hubs.isEmpty():
+            hubs = None
+        else:
+            frame = frame.join(hubs, "here", "left")
             spread = F.pmod(F.xxhash64("there"), F.col("parts")).cast("int")
             frame = frame.withColumn("salt", F.coalesce(spread, F.lit(0))).drop("parts")
             keys = ["here", "salt"]
@@ -129,59 +126,98 @@ class LineageGraph:
         carry = dict(carry or {})
         steps = self.steps(direction)
         spark = roots.sparkSession
-        path = new_path(spark, "walk")
         start = roots if "node" in roots.columns else roots.withColumn("node", F.col("root"))
-        level = written(
-            start.select("root", "node", F.lit(0).alias("dist"), *(c.start.alias(n) for n, c in carry.items()))
-            .distinct(),
-            "level",
-            f"{path}/level-0",
-        )
-        schema, paths, depth = level.schema, [f"{path}/level-0"], 0
-        while max_depth is None or depth < max_depth:
-            # The distance comes from the rows and not from a literal, so that every level
-            # runs the same generated code.
-            reached = self._advance(level, steps).select(
-                "root",
-                F.col("there").alias("node"),
-                (F.col("dist") + 1).alias("dist"),
-                *(c.step.alias(n) for n, c in carry.items()),
+        start = start.select("root", "node", F.lit(0).alias("dist"), *(c.start.alias(n) for n, c in carry.items()))
+        depth, table = 0, _Reached(spark)
+        try:
+            rows = table.add(start.distinct())
+            while rows and (max_depth is None or depth < max_depth):
+                # The distance comes from the rows and not from a literal, so that every level
+                # runs the same generated code. All rows of a level have one distance.
+                reached = self._advance(table.level(depth), steps, rows).select(
+                    "root",
+                    F.col("there").alias("node"),
+                    (F.col("dist") + 1).alias("dist"),
+                    *(c.step.alias(n) for n, c in carry.items()),
+                )
+                folds = [c.fold(n).alias(n) for n, c in carry.items()]
+                reached = reached.groupBy("root", "node").agg(F.max("dist").alias("dist"), *folds)
+                reached = reached.join(table.read().select("root", "node"), ["root", "node"], "left_anti")
+                if blocked is not None:
+                    reached = reached.join(blocked.select("node"), "node", "left_anti")
+                rows = table.add(reached.select("root", "node", "dist", *carry))
+                depth += bool(rows)
+            return Walk(table.files(start.schema), depth)
+        finally:
+            table.forget()
+
+    def _advance(self, frontier: DataFrame, steps: _Steps, rows: int) -> DataFrame:
+        """The frontier joined with its edges.
+
+        A hub's rows meet each part of its edges. A node that more roots stand at than one
+        partition should hold is split by root, and its edges go to each part.
+        """
+        if rows > self._hub_edges:
+            crowds = written(
+                frontier.groupBy("node")
+                .agg(F.count(F.lit(1)).alias("roots"))
+                .filter(F.col("roots") > self._hub_edges)
+                .select("node", F.ceil(F.col("roots") / self._hub_edges).cast("int").alias("crowd")),
+                "crowds",
             )
-            keys = ["root", "node", "dist"]
-            if carry:
-                reached = reached.groupBy(*keys).agg(*(c.fold(n).alias(n) for n, c in carry.items()))
-            else:
-                reached = reached.distinct()
-            visited = spark.read.schema(schema).parquet(*paths).select("root", "node")
-            reached = reached.join(visited, ["root", "node"], "left_anti")
-            if blocked is not None:
-                reached = reached.join(blocked.select("node"), "node", "left_anti")
-            depth += 1
-            level_path = f"{path}/level-{depth}"
-            seen = Observation()
-            reached = reached.select(*keys, *carry).observe(seen, F.count(F.lit(1)).alias("rows"))
-            level = written(reached, "level", level_path, schema)
-            if not seen.get["rows"]:
-                depth -= 1
-                break
-            paths.append(level_path)
-            if len(paths) >= MERGE_LEVELS:
-                merged = f"{path}/merged-{depth}"
-                written(spark.read.schema(schema).parquet(*paths), "merged", merged)
-                paths = [merged]
-        return Walk(spark.read.schema(schema).parquet(*paths), depth)
-
-    def _advance(self, frontier: DataFrame, steps: _Steps) -> DataFrame:
-        """The frontier joined with its edges; a hub's rows meet each part of its edges."""
+            if not crowds.isEmpty():
+                calm = frontier.join(crowds, "node", "left_anti")
+                part = F.pmod(F.xxhash64("root"), F.col("crowd")).cast("int")
+                split = frontier.join(crowds, "node").withColumn("part", part).drop("crowd")
+                every = F.explode(F.sequence(F.lit(0), F.col("crowd") - 1))
+                copies = crowds.withColumn("copy", every).withColumnRenamed("node", "here").drop("crowd")
+                edges = steps.frame.join(copies, "here").drop("salt")
+                met = split.join(edges, (F.col("node") == F.col("here")) & (F.col("part") == F.col("copy")))
+                return self._meet(calm, steps).drop("salt", "at_salt", "parts").unionByName(met.drop("part", "copy"))
+        return self._meet(frontier, steps)
+
+    def _meet(self, frontier: DataFrame, steps: _Steps) -> DataFrame:
         edges = steps.frame
         if steps.hubs is None:
             return frontier.join(edges, F.col("node") == F.col("here"))
-        hubs = F.broadcast(steps.hubs.withColumnRenamed("here", "node"))
+        hubs = steps.hubs.withColumnRenamed("here", "node")
         salts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
         frontier = frontier.join(hubs, "node", "left").withColumn("at_salt", salts)
         return frontier.join(edges, (F.col("node") == F.col("here")) & (F.col("at_salt") == F.col("salt")))
 
 
+class _Reached:
+    """What a walk has reached, as a table in buckets of (root, node) with a folder per distance.
+
+    New rows are compared with those of their own bucket, so only the new level is shuffled.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.name = spark, f"tablescope_walk_{uuid.uuid4().hex}"
+        self.path = new_path(spark, "walk")
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def add(self, rows: DataFrame) -> int:
+        """Append rows and say how many they are."""
+        seen = Observation()
+        writer = rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append").option("path", self.path)
+        writer.partitionBy("dist").bucketBy(self.buckets, "root", "node").saveAsTable(self.name)
+        return seen.get["rows"]
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def level(self, depth: int) -> DataFrame:
+        return self.read().filter(F.col("dist") == depth)
+
+    def files(self, schema: T.StructType) -> DataFrame:
+        """The rows without the table, which is forgotten at the end of the walk."""
+        return self.spark.read.schema(schema).parquet(self.path)
+
+    def forget(self):
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
 @dataclass(frozen=True)
 class Walk:
     """What a walk reached, and the greatest distance it met."""

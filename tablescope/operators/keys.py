@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.names import NAME_PARTS, last_part
-from tablescope.functions.similarity import partial_ratio, similar_names
+from tablescope.functions.similarity import partial_ratio
 from tablescope.functions.types import is_numeric_name
 from tablescope.operators.graph import LineageGraph
 from tablescope.operators.paths import lineage_distances
@@ -22,15 +22,11 @@ PK_MAX_NULLS = 0.05
 FK_MAX_NULLS = 0.5
 FK_MIN_NAME_SCORE = 70
 FK_FIRST_CONFIDENCE = 0.8
-CONTAINMENT_SAMPLE = 1_000
 CONNECTED_CONFIDENCE = 0.5
 SCORE_BASE, NAMING_WEIGHT, SEMANTIC_SCORE, LINEAGE_SCORE, SCORE_CAP = 0.5, 0.2, 0.2, 0.1, 0.99
 NEAR_LINEAGE = 2
 FK_WEIGHT, DIM_WEIGHT, NUMERIC_WEIGHT = 0.5, 0.3, 0.2
 
-# How many times the sample's size is ranked to find its values of least hash.
-SAMPLE_MARGIN = 4
-
 
 def detect_primary_keys(profile: DataFrame) -> DataFrame:
     """Columns that are nearly unique and hardly ever null; a null ratio fails."""
@@ -56,9 +52,9 @@ def keys_with_profile(keys: DataFrame, profile: DataFrame, tables: DataFrame | N
 def fk_candidates(profile: DataFrame, keys: DataFrame, families: DataFrame) -> DataFrame:
     """Column pairs that may be a foreign key and the primary key it refers to.
 
-    Similar names are found first, among the distinct names of each data type. Columns and
-    keys then meet on name, type and family, rows ``(root, member)``, so pairs of columns
-    with unlike names are never made.
+    Columns meet the keys of their own family, rows ``(root, member)``, by type; columns with
+    more values than the key go before names are compared, and each distinct pair of names is
+    compared once. ``families`` need only hold the roots that are asked for.
     """
     columns = profile.filter(F.col("null_ratio") <= FK_MAX_NULLS).select(
         F.col("full_name").alias("target_table"),
@@ -77,65 +73,49 @@ def fk_candidates(profile: DataFrame, keys: DataFrame, families: DataFrame) -> D
     relatives = families.filter(F.col("root") != F.col("member")).select(
         F.col("root").alias("target_table"), F.col("member").alias("dimension_table")
     )
-    similar = similar_names(
-        columns.select("data_type", F.col("fk_column").alias("name")),
-        key_side.select("data_type", F.col("pk_column").alias("name")),
-        "data_type",
-        FK_MIN_NAME_SCORE,
-    ).withColumnsRenamed({"left": "fk_column", "right": "pk_column", "score": "name_score"})
-    return (
-        key_side.join(similar, ["data_type", "pk_column"])
-        .join(relatives, "dimension_table")
-        .join(columns, ["target_table", "data_type", "fk_column"])
+    pairs = (
+        relatives.join(key_side, "dimension_table")
+        .join(columns, ["target_table", "data_type"])
         .filter(F.col("fk_distinct") <= F.col("pk_distinct"))
         .drop("pk_distinct")
     )
+    pairs = written(pairs, "fk-pairs")
+    names = pairs.select("fk_column", "pk_column").distinct()
+    names = names.withColumn("name_score", partial_ratio("fk_column", "pk_column"))
+    return pairs.join(names.filter(F.col("name_score") >= FK_MIN_NAME_SCORE), ["fk_column", "pk_column"])
 
 
-def contained(
-    candidates: DataFrame, tables: Mapping[str, DataFrame], sample: int | None = CONTAINMENT_SAMPLE
-) -> DataFrame:
+def contained(candidates: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
     """Candidates whose foreign-key values all occur in the key column.
 
-    All candidates are tested in one anti join of distinct values, read from the
-    candidates' columns only. With ``sample`` only that many values per column are looked
-    at, those with the least hashes; a null always is, and counts as unmatched.
+    All candidates are tested in one anti join of all distinct values, read from the
+    candidates' columns only. A null among the values counts as unmatched.
     """
     fk, pk = ["target_table", "fk_position"], ["dimension_table", "pk_position"]
     pairs = candidates.select(*fk, *pk).distinct()
-    # Column names only: at most as many as the given tables have columns.
     fk_names = _named(candidates, "target_table", "fk_column")
     pk_names = _named(candidates, "dimension_table", "pk_column")
     if not fk_names:
         return candidates
     value = F.struct(*LANE_NAMES).alias("value")
     fk_columns = candidates.select(
-        F.col("target_table").alias("full_name"), F.col("fk_position").alias("ordinal_position"), "fk_distinct"
+        F.col("target_table").alias("full_name"), F.col("fk_position").alias("ordinal_position")
     ).distinct()
-    values = value_counts(tables, fk_names).join(fk_columns, COLUMN_KEY)
-    if sample is not None:
-        values = _least_hashes(values, sample)
+    values = value_counts(tables, fk_names).join(fk_columns, COLUMN_KEY, "left_semi")
     values = values.select(*COLUMN_KEY, value).withColumnsRenamed(dict(zip(COLUMN_KEY, fk)))
     wanted = values.join(pairs, fk)
     pk_columns = pairs.select(*(F.col(a).alias(b) for a, b in zip(pk, COLUMN_KEY))).distinct()
     held = long_values(tables, pk_names).filter(_some_lane()).join(pk_columns, COLUMN_KEY, "left_semi")
     held = held.select(*COLUMN_KEY, value).withColumnsRenamed(dict(zip(COLUMN_KEY, pk)))
     # Equal types share one lane. A null value has all lanes empty and stays unmatched.
-    if sample is None:
-        unmatched = wanted.join(held, [*pk, "value"], "left_anti")
-    else:
-        # Written, so that its real size decides whether the sample is sent to the key values.
-        wanted = written(wanted, "fk-values")
-        matched = held.join(wanted, [*pk, "value"]).select(*fk, *pk, "value").distinct()
-        unmatched = wanted.join(matched, [*fk, *pk, "value"], "left_anti")
+    unmatched = wanted.join(held, [*pk, "value"], "left_anti")
     return candidates.join(unmatched.select(*fk, *pk).distinct(), [*fk, *pk], "left_anti")
 
 
 def _named(candidates: DataFrame, table: str, column: str) -> dict[str, set[str]]:
-    names: dict[str, set[str]] = {}
-    for row in candidates.select(table, column).distinct().collect():
-        names.setdefault(row[table], set()).add(row[column])
-    return names
+    """The candidates' columns by table: one row per table, no longer than its list of columns."""
+    lists = candidates.groupBy(F.col(table).alias("table")).agg(F.collect_set(column).alias("names"))
+    return {row["table"]: set(row["names"]) for row in lists.collect()}
 
 
 def _some_lane() -> Column:
@@ -145,42 +125,26 @@ def _some_lane() -> Column:
     return some
 
 
-def _least_hashes(values: DataFrame, size: int) -> DataFrame:
-    """Per column the ``size`` values with the least hashes, nulls first.
-
-    Hashes are spread evenly, so of ``fk_distinct`` values about four times ``size`` lie
-    below the cut; only those are ranked.
-    """
-    hashed = values.withColumn(
-        "order", F.struct(_some_lane().alias("not_null"), F.xxhash64(*LANE_NAMES).alias("hash"), *LANE_NAMES)
-    )
-    place = F.col("order.hash") / F.lit(2.0**64) + 0.5
-    low = place <= F.lit(float(SAMPLE_MARGIN * size)) / F.greatest(F.col("fk_distinct"), F.lit(1))
-    ranks = Window.partitionBy(*COLUMN_KEY).orderBy("order")
-    ranked = hashed.filter(low | ~F.col("order.not_null")).withColumn("rank", F.row_number().over(ranks))
-    return ranked.filter(F.col("rank") <= size).select(*COLUMN_KEY, *LANE_NAMES)
-
-
 def detect_foreign_keys(
     profile: DataFrame,
     tables: Mapping[str, DataFrame],
     families: DataFrame,
     keys: DataFrame | None = None,
-    sample: int | None = CONTAINMENT_SAMPLE,
 ) -> DataFrame:
-    """Foreign keys of every table at once: family, candidates, containment."""
+    """Foreign keys of all roots of ``families`` at once: family, candidates, containment."""
     keys = detect_primary_keys(profile) if keys is None else keys
     candidates = written(fk_candidates(profile, keys, families), "fk-candidates")
-    found = contained(candidates, tables, sample)
+    found = contained(candidates, tables)
     return found.select("target_table", "fk_column", "dimension_table", "pk_column", "name_score")
 
 
 def relation_owners(relations: DataFrame, columns: DataFrame) -> DataFrame:
     """Relations next to the tables that own their two columns; both must be known.
 
-    ``columns`` holds each ``id`` once.
+    ``columns`` holds each ``id`` once. The owners are written first: both sides of each join
+    then come straight from a shuffle, and a key column with a third of all relations is split.
     """
-    owner = columns.select("id", "full_name")
+    owner = written(columns.select("id", "full_name"), "owners")
     return relations.join(owner.withColumnsRenamed({"id": "fk", "full_name": "fact"}), "fk").join(
         owner.withColumnsRenamed({"id": "pk", "full_name": "dimension"}), "pk"
     )

@@ -11,9 +11,6 @@ from tablescope.functions.names import column_id
 from tablescope.operators.graph import DOWNSTREAM, UPSTREAM, LineageGraph, Walk, one_root
 from tablescope.workspace import written
 
-MAX_COLUMN_DEPTH = 50
-DEFAULT_COLUMN_DEPTH = 20
-
 
 @dataclass(frozen=True)
 class TableLineage:
@@ -88,9 +85,11 @@ def table_lineage(graph: LineageGraph, root: str, direction: str = UPSTREAM) ->
     edges = graph.edges.select("source", "target").join(
         reached.withColumnRenamed("id", near), near, "left_semi"
     )
-    edges = edges.join(
-        upstream_counts(graph.edges).withColumnRenamed("id", "target"), "target"
-    ).select("source", "target", (F.col("upstream_count") > 1).alias("is_join"))
+    # Counted for the edges' own targets and written, so that a busy target can be split.
+    targets = edges.select("target").distinct()
+    counts = upstream_counts(graph.edges.join(targets, "target", "left_semi"))
+    counts = written(counts.withColumnRenamed("id", "target"), "upstream-counts")
+    edges = edges.join(counts, "target").select("source", "target", (F.col("upstream_count") > 1).alias("is_join"))
     return TableLineage(nodes, edges, downstream)
 
 
@@ -122,13 +121,22 @@ def beyond_root(
     return others.unionByName(back).distinct()
 
 
-def families(graph: LineageGraph, roots: DataFrame) -> DataFrame:
-    """Rows ``(root, member)``: ancestors, descendants, children of direct parents, self."""
+def families(graph: LineageGraph, roots: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """Rows ``(root, member)``: ancestors, descendants, children of direct parents, self.
+
+    With ``members`` (column ``member``) only those are listed: children of other kinds are
+    dropped before parents and children meet.
+    """
     up = graph.walk(roots, UPSTREAM).reached.select("root", F.col("node").alias("member"))
     down = graph.walk(roots, DOWNSTREAM).reached.select("root", F.col("node").alias("member"))
     parents = roots.join(graph.edges, F.col("root") == F.col("target")).select("root", "source")
-    siblings = parents.join(graph.edges, "source").select("root", F.col("target").alias("member"))
-    return up.unionByName(down).unionByName(siblings).distinct()
+    children = graph.edges.select("source", F.col("target").alias("member"))
+    lines = up.unionByName(down)
+    if members is not None:
+        children = children.join(members.select("member"), "member", "left_semi")
+        lines = lines.join(members.select("member"), "member", "left_semi")
+    siblings = parents.join(children, "source").select("root", "member")
+    return lines.unionByName(siblings).distinct()
 
 
 def family(graph: LineageGraph, table: str) -> DataFrame:
@@ -149,12 +157,13 @@ def bounded_lineage(
     return nodes, _path_edges(graph, up, down, depth).select("source", "target").distinct()
 
 
-def _path_edges(graph: LineageGraph, up: DataFrame, down: DataFrame, depth: int) -> DataFrame:
+def _path_edges(graph: LineageGraph, up: DataFrame, down: DataFrame, depth: int | None) -> DataFrame:
     """Edges on paths within ``depth``, per root: an edge that starts at a node at distance
     ``depth - 1`` or less lies on such a path, so no paths need to be listed."""
     sides = []
     for reached, near in ((up, "target"), (down, "source")):
-        inside = reached.filter(F.col("dist") < depth).select("root", F.col("node").alias(near))
+        inside = reached if depth is None else reached.filter(F.col("dist") < depth)
+        inside = inside.select("root", F.col("node").alias(near))
         sides.append(graph.edges.join(inside, near).select("root", "source", "target"))
     return sides[0].unionByName(sides[1]).distinct()
 
@@ -189,22 +198,20 @@ def table_columns(column_edges: DataFrame, table: str) -> DataFrame:
     )
 
 
-def clamp_depth(max_depth: int) -> int:
-    return max(1, min(int(max_depth), MAX_COLUMN_DEPTH))
-
-
 def column_lineage(
-    graph: LineageGraph, columns: DataFrame, roots: DataFrame, max_depth: int = DEFAULT_COLUMN_DEPTH
+    graph: LineageGraph, columns: DataFrame, roots: DataFrame, max_depth: int | None = None
 ) -> ColumnLineage:
     """Lineage of every root column within a depth, in two walks for all roots together.
 
     ``graph`` runs between column ids, ``columns`` is ``column_nodes``, ``roots`` has a
-    column ``root``. Roots that the lineage does not know have no rows.
+    column ``root``. Roots that the lineage does not know have no rows. Without ``max_depth``
+    there is no limit.
     """
-    depth = clamp_depth(max_depth)
+    if max_depth is not None and max_depth < 1:
+        raise ValueError("the depth must be at least 1")
     known = roots.select("root").join(columns.select(F.col("id").alias("root")), "root", "left_semi").distinct()
-    up = graph.walk(known, UPSTREAM, depth).reached
-    down = graph.walk(known, DOWNSTREAM, depth).reached
+    up = graph.walk(known, UPSTREAM, max_depth).reached
+    down = graph.walk(known, DOWNSTREAM, max_depth).reached
     sides = up.withColumn("side", F.lit(1)).unionByName(down.withColumn("side", F.lit(2)))
     position = (
         F.when(F.col("node") == F.col("root"), "root")
@@ -219,7 +226,7 @@ def column_lineage(
         .join(columns, "id")
         .select("root", "id", "table", "column", "position")
     )
-    edges = _path_edges(graph, up, down, depth)
+    edges = _path_edges(graph, up, down, max_depth)
     nodes, edges = written(nodes, "column-nodes"), written(edges, "column-edges")
     is_up = F.col("position").isin("upstream", "both")
     is_down = F.col("position").isin("downstream", "both")
@@ -258,7 +265,7 @@ def _column_totals(stats: DataFrame, nodes: DataFrame, edges: DataFrame) -> Data
 
 
 def lineage_of_table(
-    column_edges: DataFrame, table: str, max_depth: int = DEFAULT_COLUMN_DEPTH
+    column_edges: DataFrame, table: str, max_depth: int | None = None
 ) -> ColumnLineage:
     """Column lineage of every column of a table."""
     columns = written(column_nodes(column_edges), "columns")
@@ -268,7 +275,7 @@ def lineage_of_table(
 
 
 def lineage_of_column(
-    column_edges: DataFrame, table: str, column: str, max_depth: int = DEFAULT_COLUMN_DEPTH
+    column_edges: DataFrame, table: str, column: str, max_depth: int | None = None
 ) -> ColumnLineage:
     """Column lineage of one column."""
     columns = written(column_nodes(column_edges), "columns")

@@ -1,13 +1,13 @@
 """Data profiles, quality and distribution statistics, freshness, signals.
 
-Everything per column is derived from one frame, the value counts: for each column,
-each distinct value (null included) with the number of rows that hold it. It takes one
-shuffle, combined before it moves, so a value in a third of all rows costs one row per task.
+Rows, nulls, zeros, extremes, means and fingerprints come from one aggregation per table that
+sends one row per task. Only distinct values take a long form, one row per cell, combined
+before it moves, so a value in a third of all rows costs one row per task; texts go as digests.
 """
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from tablescope.functions.names import NAME_PARTS, full_name
 from tablescope.functions.types import lanes, rule_type
 from tablescope.operators.quantiles import weighted_quantiles
-from tablescope.workspace import written
+from tablescope.workspace import new_path, written
 
 COLUMN_SCHEMA = (
     "catalog_name string, schema_name string, table_name string, column_name string, "
@@ -72,22 +72,40 @@ def value_counts(
     return long_values(tables, only).groupBy(*COLUMN_KEY, *LANE_NAMES).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _has_value() -> Column:
-    return (
-        F.col("number").isNotNull()
-        | F.col("real").isNotNull()
-        | F.col("moment").isNotNull()
-        | F.col("words").isNotNull()
-    )
+def _as_text(lanes_of_value: Sequence[Column]) -> Column:
+    return F.coalesce(*(lane.cast("string") for lane in lanes_of_value))
 
 
-def _as_text() -> Column:
-    return F.coalesce(
-        F.col("number").cast("string"),
-        F.col("real").cast("string"),
-        F.col("moment").cast("string"),
-        F.col("words"),
-    )
+def wide_stats(tables: Mapping[str, DataFrame], measures: Callable[[T.StructField], list[Column]]) -> DataFrame:
+    """Rows ``(full_name, ordinal_position, measures…)`` from one aggregation per table.
+
+    ``measures`` gives the named aggregates of one column. One row per task leaves the scan,
+    however many cells a table has.
+    """
+    parts = []
+    for name, df in tables.items():
+        cells = [
+            F.struct(F.lit(position).alias("ordinal_position"), *measures(field))
+            for position, field in enumerate(df.schema.fields, start=1)
+        ]
+        if cells:
+            one_row = df.agg(F.array(*cells).alias("cells"))
+            parts.append(one_row.select(F.lit(name).alias("full_name"), F.inline("cells")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def distinct_counts(
+    tables: Mapping[str, DataFrame], only: Mapping[str, Collection[str]] | None = None
+) -> DataFrame:
+    """Rows ``(full_name, ordinal_position, distinct_count)``; nulls are not counted.
+
+    Texts go as 128-bit digests, so what is shuffled does not grow with their length.
+    """
+    short = F.unhex(F.md5(F.col("words")))
+    cells = long_values(tables, only).withColumn("words", short)
+    some = reduce(Column.__or__, (F.col(lane).isNotNull() for lane in LANE_NAMES))
+    distinct = cells.filter(some).select(*COLUMN_KEY, *LANE_NAMES).distinct()
+    return distinct.groupBy(*COLUMN_KEY).agg(F.count(F.lit(1)).alias("distinct_count"))
 
 
 def _with_columns(tables: Mapping[str, DataFrame], stats: DataFrame) -> DataFrame:
@@ -100,19 +118,19 @@ def _ratio(part, whole) -> Column:
     return F.try_divide(F.col(part).cast("double"), F.col(whole))
 
 
-def data_profile(tables: Mapping[str, DataFrame], counts: DataFrame | None = None) -> DataFrame:
+def data_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per column: row and distinct counts, null and uniqueness ratios.
 
     Ratios of an empty table are null.
     """
-    counts = value_counts(tables) if counts is None else counts
-    stats = counts.groupBy(*COLUMN_KEY).agg(
-        F.sum("n").alias("row_count"),
-        F.count_if(_has_value()).alias("distinct_count"),
-        F.coalesce(F.sum(F.when(~_has_value(), F.col("n"))), F.lit(0)).alias("null_count"),
-    )
+
+    def measures(field: T.StructField) -> list[Column]:
+        rows, values = F.count(F.lit(1)), F.count(F.col(f"`{field.name}`"))
+        return [rows.alias("row_count"), (rows - values).alias("null_count")]
+
     return (
-        _with_columns(tables, stats)
+        _with_columns(tables, wide_stats(tables, measures))
+        .join(distinct_counts(tables), COLUMN_KEY, "left")
         .fillna(0, ["row_count", "distinct_count", "null_count"])
         .select(
             "full_name",
@@ -128,27 +146,31 @@ def data_profile(tables: Mapping[str, DataFrame], counts: DataFrame | None = Non
     )
 
 
-def quality_stats(tables: Mapping[str, DataFrame], counts: DataFrame | None = None) -> DataFrame:
+def quality_stats(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per column: nulls, distinct values, zeros, rows and a fingerprint.
 
     The fingerprint does not depend on row order: it adds up, over all rows, 60 bits of
     the MD5 of the value's text. Zeros are counted in numeric columns only.
     """
-    counts = value_counts(tables) if counts is None else counts
-    bits = F.conv(F.substring(F.md5(_as_text()), 1, 15), 16, 10).cast("decimal(38,0)")
-    # Decimals are in the words lane; zeros of columns that are not numeric are dropped below.
-    zero = F.coalesce(F.col("number").cast("double"), "real", F.col("words").try_cast("double")) == 0
-    stats = counts.groupBy(*COLUMN_KEY).agg(
-        F.sum("n").alias("total_rows"),
-        F.count_if(_has_value()).alias("distinct_count"),
-        F.coalesce(F.sum(F.when(~_has_value(), F.col("n"))), F.lit(0)).alias("null_count"),
-        F.coalesce(F.sum(F.when(zero, F.col("n"))), F.lit(0)).alias("zero_rows"),
-        F.sum(bits * F.col("n")).cast("string").alias("fingerprint"),
-    )
-    numeric = F.col("data_type").rlike("^(LONG|INTEGER|DOUBLE|FLOAT|SMALLINT|TINYINT|DECIMAL.*)$")
+
+    def measures(field: T.StructField) -> list[Column]:
+        column = F.col(f"`{field.name}`")
+        rows, values = F.count(F.lit(1)), F.count(column)
+        bits = F.conv(F.substring(F.md5(_as_text(lanes(field))), 1, 15), 16, 10).cast("decimal(38,0)")
+        zeros = F.lit(None).cast("bigint")
+        if isinstance(field.dataType, T.NumericType):
+            zeros = F.count_if(column == 0)
+        return [
+            rows.alias("total_rows"),
+            (rows - values).alias("null_count"),
+            zeros.alias("zero_count"),
+            F.sum(bits).cast("string").alias("fingerprint"),
+        ]
+
     return (
-        _with_columns(tables, stats)
-        .fillna(0, ["total_rows", "distinct_count", "null_count", "zero_rows"])
+        _with_columns(tables, wide_stats(tables, measures))
+        .join(distinct_counts(tables), COLUMN_KEY, "left")
+        .fillna(0, ["total_rows", "distinct_count", "null_count"])
         .select(
             "full_name",
             *NAME_PARTS,
@@ -157,48 +179,69 @@ def quality_stats(tables: Mapping[str, DataFrame], counts: DataFrame | None = No
             "null_count",
             (_ratio("null_count", "total_rows") * 100).alias("null_percentage"),
             "distinct_count",
-            F.when(numeric, F.col("zero_rows")).alias("zero_count"),
+            "zero_count",
             "total_rows",
             "fingerprint",
         )
     )
 
 
-def distribution_stats(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """One row per numeric column: mean, exact quartiles, extremes, distinct values, rows."""
+def distribution_stats(tables: Mapping[str, DataFrame], paths: Mapping[str, str] | None = None) -> DataFrame:
+    """One row per numeric column: mean, exact quartiles, extremes, distinct values, rows.
+
+    ``file_size_bytes`` is the size of the table's files where ``paths`` says where they are,
+    else null.
+    """
     numeric = {
-        name: {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+        name: df.select(*(f"`{f.name}`" for f in df.schema.fields if isinstance(f.dataType, T.NumericType)))
         for name, df in tables.items()
     }
-    counts = written(value_counts(tables, numeric), "value-counts")
-    # A decimal is in the words lane.
-    counts = counts.withColumn(
-        "value", F.coalesce(F.col("number").cast("double"), "real", F.col("words").try_cast("double"))
-    )
-    value = F.col("value")
-    stats = counts.groupBy(*COLUMN_KEY).agg(
-        F.sum("n").alias("row_count"),
-        F.count_if(_has_value()).alias("distinct_count"),
-        F.try_divide(F.sum(value * F.col("n")), F.sum(F.when(value.isNotNull(), F.col("n")))).alias("mean"),
-        F.min(value).alias("min_val"),
-        F.max(value).alias("max_val"),
-    )
-    values = counts.filter(value.isNotNull()).select(*COLUMN_KEY, "value", "n")
+    positions = {
+        name: [p for p, f in enumerate(df.schema.fields, start=1) if isinstance(f.dataType, T.NumericType)]
+        for name, df in tables.items()
+    }
+    numeric = {name: df for name, df in numeric.items() if df.columns}
+
+    def measures(field: T.StructField) -> list[Column]:
+        column = F.col(f"`{field.name}`")
+        value = column.cast("double")
+        return [
+            F.count(F.lit(1)).alias("row_count"),
+            F.avg(value).alias("mean"),
+            F.min(value).alias("min_val"),
+            F.max(value).alias("max_val"),
+        ]
+
+    # Only numeric cells take the long form, and they are counted before they move.
+    counts = written(value_counts(numeric), "value-counts")
+    value = F.coalesce(F.col("number").cast("double"), "real", F.col("words").try_cast("double"))
+    counts = counts.withColumn("value", value).filter(F.col("value").isNotNull())
+    distinct = counts.groupBy(*COLUMN_KEY).agg(F.count(F.lit(1)).alias("distinct_count"))
     quartiles = (
-        weighted_quantiles(values, COLUMN_KEY, [0.25, 0.5, 0.75])
+        weighted_quantiles(counts.select(*COLUMN_KEY, "value", "n"), COLUMN_KEY, [0.25, 0.5, 0.75])
         .groupBy(*COLUMN_KEY)
         .pivot("quantile", [0.25, 0.5, 0.75])
         .agg(F.first("value"))
         .withColumnsRenamed({"0.25": "p25", "0.5": "median", "0.75": "p75"})
     )
-    names = F.concat_ws("\u001f", "full_name", "column_name")
-    wanted = [f"{name}\u001f{column}" for name, columns in numeric.items() for column in columns]
+    stats = (
+        wide_stats(numeric, measures)
+        .join(distinct, COLUMN_KEY, "left")
+        .join(quartiles, COLUMN_KEY, "left")
+        .withColumnRenamed("ordinal_position", "place")
+    )
+    # Positions among the numeric columns, next to those among all.
+    places = SparkSession.active().createDataFrame(
+        [(name, place, position) for name, own in positions.items() for place, position in enumerate(own, start=1)],
+        "full_name string, place int, ordinal_position int",
+    )
+    sizes = file_sizes(paths or {}).select("full_name", "file_size_bytes")
     return (
         columns_of(tables)
         .withColumn("full_name", full_name())
-        .filter(names.isin(wanted))
-        .join(stats, COLUMN_KEY, "left")
-        .join(quartiles, COLUMN_KEY, "left")
+        .join(places, COLUMN_KEY)
+        .join(stats, ["full_name", "place"], "left")
+        .join(sizes, "full_name", "left")
         .fillna(0, ["row_count", "distinct_count"])
         .select(
             "full_name",
@@ -206,6 +249,7 @@ def distribution_stats(tables: Mapping[str, DataFrame]) -> DataFrame:
             "column_name",
             "data_type",
             "row_count",
+            "file_size_bytes",
             "distinct_count",
             "mean",
             "min_val",
@@ -217,20 +261,60 @@ def distribution_stats(tables: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
-def file_sizes(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Total size and number of the files behind each file-based table."""
+def table_files(paths: Mapping[str, str]) -> DataFrame:
+    """Rows ``(full_name, path, length, modified_at, folder)``: the files below each table's path.
 
-    def files(name: str, df: DataFrame) -> DataFrame:
-        return df.select(
-            F.lit(name).alias("full_name"), "_metadata.file_path", "_metadata.file_size"
-        ).distinct()
+    The files are listed and not opened.
+    """
+    spark = SparkSession.active()
+
+    def files(name: str, path: str) -> DataFrame:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        return listed.select(
+            F.lit(name).alias("full_name"),
+            "path",
+            "length",
+            F.col("modificationTime").alias("modified_at"),
+            F.regexp_replace("path", "/[^/]*$", "").alias("folder"),
+        )
 
-    every = reduce(DataFrame.unionByName, (files(name, df) for name, df in tables.items()))
-    return every.groupBy("full_name").agg(
-        F.sum("file_size").alias("file_size_bytes"), F.count(F.lit(1)).alias("file_count")
+    if not paths:
+        schema = "full_name string, path string, length bigint, modified_at timestamp, folder string"
+        return spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, (files(name, path) for name, path in paths.items()))
+
+
+def file_sizes(paths: Mapping[str, str]) -> DataFrame:
+    """Total size and number of the files of each table, given by the path that it lies at."""
+    return table_files(paths).groupBy("full_name").agg(
+        F.sum("length").alias("file_size_bytes"), F.count(F.lit(1)).alias("file_count")
+    )
+
+
+def file_freshness(paths: Mapping[str, str], as_of: Column, versions: Mapping[str, int] | None = None) -> DataFrame:
+    """Per table: last modification of a file, hours since then, folders with files, and version.
+
+    ``versions`` gives the number of kept snapshots by table, where there are any.
+    """
+    hours = F.timestamp_diff("SECOND", F.col("last_modified_at"), as_of) / 3600
+    kept = [F.lit(x) for name, count in (versions or {}).items() for x in (name, count)]
+    version = F.create_map(*kept)[F.col("full_name")] if kept else F.lit(None)
+    return (
+        table_files(paths)
+        .groupBy("full_name")
+        .agg(F.max("modified_at").alias("last_modified_at"), F.count_distinct("folder").alias("partition_count"))
+        .withColumn("latency_hours", hours)
+        .withColumn("current_version", version.cast("bigint"))
     )
 
 
+def kept_stats(stats: DataFrame, label: str) -> DataFrame:
+    """Statistics as a stored table with a folder per table name, so that a lookup reads one."""
+    path = new_path(stats.sparkSession, label)
+    stats.write.partitionBy(*NAME_PARTS).parquet(path)
+    return stats.sparkSession.read.schema(stats.schema).parquet(path)
+
+
 def freshness_stats(
     df: DataFrame,
     keys: Sequence[str],

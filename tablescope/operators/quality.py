@@ -65,23 +65,10 @@ class RuleConfig:
     fresh_days: Mapping[str, int] = field(default_factory=dict)
 
 
-# The bounds that apply by default.
-DEFAULT_CONFIG = RuleConfig(
-    max_length={"MARKET_NAME": 100, "STAGED_FILE_NAME": 1024},
-    ranges={
-        "MARKET_ID": LowerBound("<", 0),
-        "PRODUCT_ID": LowerBound("<=", 0, null_fails=True),
-        "REL_ID": LowerBound("<", 0),
-        "WAC_DOLLARS": LowerBound("<", 0, nan_fails=True),
-        "AWP": LowerBound("<", 0, nan_fails=True),
-        "VOLUME_UNITS": LowerBound("<", 0, nan_fails=True),
-        "PACK_UNITS": LowerBound("<", 1, nan_fails=True),
-        "EXTENDED_UNITS": LowerBound("<", 0, nan_fails=True),
-    },
-    zero_columns=frozenset({"WAC_DOLLARS", "PACK_UNITS"}),
-    coded_dates={"MONTH_ENDING_DATE": YYYYMMDD},
-    fresh_days={"STAGED_FILE_DATE": 7},
-)
+# Bounds and their columns belong to the tables that are checked, so there are none by default.
+DEFAULT_CONFIG = RuleConfig()
+# Milliseconds that a timestamp of microseconds can hold.
+MOST_MILLIS = 9_000_000_000_000_000
 
 
 class NotComparable(ValueError):
@@ -99,8 +86,10 @@ def violation(rule: str, column: str, kind: T.DataType, config: RuleConfig, as_o
     if rule == "no_blank_strings" and type_name == "STRING":
         return F.trim(value) == ""
     if rule == "length_validation" and column in config.max_length:
-        _need(isinstance(kind, (T.StringType, T.BinaryType)), rule, type_name)
-        return F.length(value) > config.max_length[column]
+        _need(isinstance(kind, T.AtomicType), rule, type_name)
+        # Numbers and dates are measured as they are spelled.
+        measured = value if isinstance(kind, T.BinaryType) else value.cast("string")
+        return F.length(measured) > config.max_length[column]
     if rule == "numeric_range_validation" and column in config.ranges:
         _need(isinstance(kind, T.NumericType), rule, type_name)
         limit = config.ranges[column]
@@ -132,7 +121,9 @@ def _need(met: bool, rule: str, type_name: str):
 
 def _coded_date(value: Column, coding: str) -> Column:
     if coding == EPOCH_MS:
-        return F.to_date(F.timestamp_millis(value.try_cast("bigint")))
+        millis = value.try_cast("bigint")
+        # Beyond these the conversion would raise and take all other checks with it.
+        return F.when(millis.between(-MOST_MILLIS, MOST_MILLIS), F.to_date(F.timestamp_millis(millis)))
     return F.try_to_date(value.cast("string"), YYYYMMDD)
 
 
@@ -346,9 +337,11 @@ def proposed_columns(
     """Distinct known ``(key, rule, column_name)`` of proposed rule-to-columns mappings.
 
     ``tree`` is a variant column; the mapping is bare or under ``rule_to_columns``.
-    ``valid_columns`` has a column ``column_name``.
+    ``valid_columns`` has a column ``column_name``; with a column ``key`` as well, each reply
+    is held against the columns of its own table.
     """
     spark = replies.sparkSession
+    known = [name for name in (key, "column_name") if name in valid_columns.columns]
     objects = replies.filter(F.schema_of_variant(tree).startswith("OBJECT"))
     nested = F.try_variant_get(tree, "$.rule_to_columns", "variant")
     mapping = objects.select(F.col(key).alias("_key"), F.coalesce(nested, F.col(tree)).alias("mapping"))
@@ -366,7 +359,7 @@ def proposed_columns(
         columns.select(
             F.col("_key").alias(key), "rule", F.try_variant_get("value", "$", "string").alias("column_name")
         )
-        .join(valid_columns.select("column_name").distinct(), "column_name", "left_semi")
+        .join(valid_columns.select(*known).distinct(), known, "left_semi")
         .select(key, "rule", "column_name")
         .distinct()
     )
@@ -378,10 +371,16 @@ def proposed_columns(
 def find_documentation(records: DataFrame, table: str | None = None) -> DataFrame:
     """Documented columns of one table, by full name and ignoring case.
 
+    Of several records with the name the first one counts, by document and place in it.
     Without a name the records must describe a single table.
     """
     if table is not None:
-        return records.filter(F.lower("full_table_name") == clean_full_name(table).lower())
+        found = records.filter(F.lower("full_table_name") == clean_full_name(table).lower())
+        order = [name for name in ("document", "place") if name in records.columns]
+        if not order:
+            return found
+        first = found.agg(F.min(F.struct(*order)).alias("first"))
+        return found.join(first, F.struct(*(found[name] for name in order)) == F.col("first")).drop("first")
     if len(records.select("full_table_name").distinct().take(2)) > 1:
         raise ValueError("a table name is needed: the records describe several tables")
     return records

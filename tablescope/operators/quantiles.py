@@ -13,34 +13,17 @@ from pyspark.sql import functions as F
 
 from tablescope.workspace import partitions_for, written
 
-# Up to this many distinct values of one key fit in one task's memory.
-VALUES_IN_ONE_TASK = 1_000_000
-
 
 def weighted_quantiles(
-    values: DataFrame,
-    keys: Sequence[str],
-    quantiles: Sequence[float],
-    values_in_one_task: int = VALUES_IN_ONE_TASK,
+    values: DataFrame, keys: Sequence[str], quantiles: Sequence[float], parts: int | None = None
 ) -> DataFrame:
     """Rows ``(keys…, quantile, value)`` from rows ``(keys…, value, n)``.
 
-    Each value occurs once per key. Keys with few distinct values use the built-in
-    aggregate; with more, ranks are located in a range-partitioned copy.
+    Each value occurs once per key. All values are spread over ``parts`` ranges of key and
+    value, however many a key has; only the ranges that hold a wanted rank are numbered.
     """
     keys = list(keys)
-    sizes = values.groupBy(*keys).count().agg(F.max("count").alias("largest"), F.sum("count").alias("total"))
-    largest, total = sizes.first()
-    if (largest or 0) <= values_in_one_task:
-        points = F.array(*(F.lit(float(q)) for q in quantiles))
-        found = values.groupBy(*keys).agg(F.percentile("value", points, F.col("n")).alias("found"))
-        pairs = F.arrays_zip(points.alias("quantile"), F.col("found").alias("value"))
-        return found.select(*keys, F.inline(pairs).alias("quantile", "value"))
-    return _by_ranges(values, keys, quantiles, partitions_for(values.sparkSession, total))
-
-
-def _by_ranges(values: DataFrame, keys: list[str], quantiles: Sequence[float], parts: int) -> DataFrame:
-    """Every key's values spread over ranges; only the ranges that hold a rank are numbered."""
+    parts = parts or partitions_for(values.sparkSession, values.count())
     ranged = written(
         values.repartitionByRange(parts, *keys, "value").withColumn("part", F.spark_partition_id()),
         "ranges",

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescope.functions.names import NAME_PARTS, full_name, has_full_name
 from tablescope.operators.profile import (
     COLUMN_KEY,
     columns_of,
     data_profile,
-    value_counts,
 )
 from tablescope.workspace import partitions_for, written
 
@@ -60,8 +61,7 @@ def quality_of(stats: DataFrame, table: str) -> DataFrame:
 
 def profile_of(stats: DataFrame, table: str) -> DataFrame:
     """The distribution rows of one table, by column name."""
-    names = [c for c in PROFILE if c in stats.columns]
-    return has_full_name(stats, table).select(names).orderBy("column_name")
+    return has_full_name(stats, table).select(PROFILE).orderBy("column_name")
 
 
 def only_current(signals: DataFrame, is_current: bool | None = None) -> DataFrame:
@@ -114,12 +114,10 @@ def schema_hash(df: DataFrame) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def table_signals(
-    tables: Mapping[str, DataFrame], at: Column, counts: DataFrame | None = None
-) -> DataFrame:
+def table_signals(tables: Mapping[str, DataFrame], at: Column) -> DataFrame:
     """One observability row per table: its profile rolled up, schema hash and time."""
     hashes = F.create_map(*(F.lit(x) for name, df in tables.items() for x in (name, schema_hash(df))))
-    rolled = data_profile(tables, counts).groupBy("full_name", *NAME_PARTS).agg(
+    rolled = data_profile(tables).groupBy("full_name", *NAME_PARTS).agg(
         F.max("row_count").alias("row_count"),
         F.count(F.lit(1)).alias("column_count"),
         F.avg("null_ratio").alias("null_ratio"),
@@ -140,19 +138,11 @@ def table_signals(
     )
 
 
-def column_signals(
-    tables: Mapping[str, DataFrame], at: Column, counts: DataFrame | None = None
-) -> DataFrame:
+def column_signals(tables: Mapping[str, DataFrame], at: Column) -> DataFrame:
     """One observability row per column: ratios, least and greatest value as text, type."""
-    counts = value_counts(tables) if counts is None else counts
-
-    def extreme(pick) -> Column:
-        return F.coalesce(*(pick(c).cast("string") for c in ("number", "real", "moment", "words")))
-
-    ends = counts.groupBy(*COLUMN_KEY).agg(extreme(F.min).alias("min_value"), extreme(F.max).alias("max_value"))
     return (
-        data_profile(tables, counts)
-        .join(ends, COLUMN_KEY, "left")
+        data_profile(tables)
+        .join(column_extremes(tables), COLUMN_KEY, "left")
         .select(
             F.concat_ws("@", F.concat_ws(".", "full_name", "column_name"), at.cast("string")).alias("signal_id"),
             F.col("catalog_name").alias("table_catalog"),
@@ -169,6 +159,49 @@ def column_signals(
     )
 
 
+def column_extremes(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Least and greatest value of every column, found in its own type and then spelled.
+
+    One aggregation per table, with one row per task. Binary values are spelled in
+    hexadecimal digits, nested values as JSON; values that have no order (maps, variants)
+    are compared by that spelling. A column without values has nulls.
+    """
+    parts = []
+    for name, df in tables.items():
+        ends = []
+        for position, field in enumerate(df.schema.fields, start=1):
+            kind, value = field.dataType, F.col(f"`{field.name}`")
+            if isinstance(kind, T.BinaryType):
+                spell = F.hex
+            elif isinstance(kind, (T.ArrayType, T.StructType)):
+                spell = F.to_json
+            else:
+                spell = lambda end: end.cast("string")
+            if not _ordered(kind):
+                value, spell = F.to_json(value), lambda end: end
+            ends.append(
+                F.struct(
+                    F.lit(position).alias("ordinal_position"),
+                    spell(F.min(value)).alias("min_value"),
+                    spell(F.max(value)).alias("max_value"),
+                )
+            )
+        if ends:
+            parts.append(df.agg(F.array(*ends).alias("ends")).select(F.lit(name).alias("full_name"), F.inline("ends")))
+    if not parts:
+        schema = "full_name string, ordinal_position int, min_value string, max_value string"
+        return SparkSession.active().createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _ordered(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _ordered(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(_ordered(field.dataType) for field in kind.fields)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def with_neighbour(
     df: DataFrame, keys: Sequence[str], at: str, columns: Sequence[str], name: str, earlier: bool
 ) -> DataFrame:
@@ -181,22 +214,33 @@ def with_neighbour(
     keys, part = list(keys), "_part"
     picked = F.struct(*columns)
     edge, shift = (F.max, F.lag) if earlier else (F.min, F.lead)
+    # Written first, so that counting and finding the ranges do not run the input again.
+    df = written(df, "history")
     parts = partitions_for(df.sparkSession, df.count())
     ranged = written(
-        df.repartitionByRange(parts, *keys, at).withColumn(part, F.spark_partition_id()), "history"
+        df.repartitionByRange(parts, *keys, at).withColumn(part, F.spark_partition_id()), "history-ranges"
     )
     # One row per key and range: at most the number of keys plus the number of ranges.
     edges = ranged.groupBy(*keys, part).agg(
         edge(F.struct(F.col(at).alias("at"), picked.alias("row"))).alias("_end")
     )
     across = Window.partitionBy(*keys).orderBy(part)
-    edges = edges.select(*keys, part, shift(F.col("_end.row")).over(across).alias("_beyond"))
+    ours = [f"_key{n}" for n in range(len(keys))]
+    edges = edges.select(
+        *(F.col(key).alias(own) for key, own in zip(keys, ours)),
+        F.col(part).alias("_edge"),
+        shift(F.col("_end.row")).over(across).alias("_beyond"),
+    )
+    # A null key is a key like any other.
+    same = F.col(part) == F.col("_edge")
+    for key, own in zip(keys, ours):
+        same = same & F.col(key).eqNullSafe(F.col(own))
     within = Window.partitionBy(*keys, part).orderBy(at)
     return (
         ranged.withColumn("_inside", shift(picked).over(within))
-        .join(edges, [*keys, part])
+        .join(edges, same)
         .withColumn(name, F.coalesce("_inside", "_beyond"))
-        .drop(part, "_inside", "_beyond")
+        .drop(part, "_inside", "_beyond", "_edge", *ours)
     )
 
 

@@ -11,6 +11,7 @@ from tablescope.functions.names import last_part
 from tablescope.operators.graph import DOWNSTREAM, LineageGraph, one_root
 from tablescope.operators.keys import relation_owners
 from tablescope.operators.lineage import beyond_root, bounded_lineage
+from tablescope.workspace import written
 
 REPORT_DEPTH = 3
 
@@ -50,35 +51,47 @@ def table_type(table_types: DataFrame, table: str) -> str:
     return (row and row["table_type"]) or "TABLE"
 
 
-def star_tables(star: DataFrame, table_types: DataFrame, table: str) -> DataFrame:
+def star_tables(relations: DataFrame, columns: DataFrame, table_types: DataFrame, table: str) -> DataFrame:
     """Star neighbours as ``(dimension, fact_column, dimension_column, confidence)`` rows.
 
     For a FACT: its dimensions. For a DIM: every related fact, as a row without columns,
-    and all relations of those facts, its own included. Otherwise nothing.
+    and all relations of those facts, its own included. Otherwise nothing. Relations are cut
+    down to the columns of the tables in question before any is joined with its owners.
     """
     kind = table_type(table_types, table)
     names = ["dimension", "fact_column", "dimension_column", "confidence"]
+    own = columns.filter(F.col("full_name") == table).select("id")
+
+    def relations_of(side: str, ids: DataFrame) -> DataFrame:
+        kept = relations.join(ids.withColumnRenamed("id", side), side, "left_semi")
+        return fact_dimensions(kept, columns)
+
     if kind == "FACT":
-        return star.filter(F.col("fact") == table).select(names)
+        return relations_of("fk", own).select(names)
     if kind != "DIM":
-        return star.filter(F.lit(False)).select(names)
-    facts = related_facts(star.filter(F.col("dimension") == table), table_types).select("fact")
-    relations = star.join(facts, "fact", "left_semi").select(names)
+        return fact_dimensions(relations.filter(F.lit(False)), columns).select(names)
+    facts = written(related_facts(relations_of("pk", own), table_types).select("fact"), "facts")
+    ids = columns.join(facts.withColumnRenamed("fact", "full_name"), "full_name", "left_semi").select("id")
     fact_rows = facts.select(
         F.col("fact").alias("dimension"),
         F.lit(None).cast("string").alias("fact_column"),
         F.lit(None).cast("string").alias("dimension_column"),
         F.lit(None).cast("double").alias("confidence"),
     )
-    return fact_rows.unionByName(relations)
+    return fact_rows.unionByName(relations_of("fk", ids).select(names))
 
 
-def star_table_names(star: DataFrame, table_types: DataFrame, table: str) -> DataFrame:
-    return star_tables(star, table_types, table).select("dimension").distinct()
+def star_table_names(relations: DataFrame, columns: DataFrame, table_types: DataFrame, table: str) -> DataFrame:
+    return star_tables(relations, columns, table_types, table).select("dimension").distinct()
 
 
 def table_report(
-    graph: LineageGraph, star: DataFrame, table_types: DataFrame, table: str, depth: int = REPORT_DEPTH
+    graph: LineageGraph,
+    relations: DataFrame,
+    columns: DataFrame,
+    table_types: DataFrame,
+    table: str,
+    depth: int = REPORT_DEPTH,
 ) -> TableReport:
     """Lineage within ``depth`` with table types, star neighbours, downstream impact."""
     down = graph.walk(one_root(graph, table), DOWNSTREAM)
@@ -90,7 +103,7 @@ def table_report(
         table_type(table_types, table),
         nodes,
         edges,
-        star_tables(star, table_types, table),
+        star_tables(relations, columns, table_types, table),
         beyond_root(graph, down, table, DOWNSTREAM),
     )
 

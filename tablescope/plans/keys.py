@@ -151,7 +151,7 @@ class Star:
         return written(keys.fk_candidates(self.profile, self.keys, self.families), "candidates")
 
     def foreign_keys(self) -> DataFrame:
-        return keys.detect_foreign_keys(self.profile, self.star, self.families, self.keys, sample=None)
+        return keys.detect_foreign_keys(self.profile, self.star, self.families, self.keys)
 
     def nodes(self) -> tuple[DataFrame, DataFrame]:
         return inputs.star_nodes(self.t, self.profile)
@@ -203,15 +203,56 @@ def j2(t: Tables) -> DataFrame:
     return Star(t).candidates().select(*PAIR, F.round("name_score", 6).alias("name_score"))
 
 
-@query("j3_containment", FOREIGN_KEYS_SQL + " SELECT target_table, fk_column, dimension_table, pk_column FROM foreign_keys")
-def j3(t: Tables) -> DataFrame:
-    found = Star(t)
-    return keys.contained(found.candidates(), found.star, sample=None).select(*PAIR)
+# A catalog that grows with the data: each part is a table of three columns below the table
+# numbered by a quarter of its key.
+MANY_TABLES_SQL = """WITH RECURSIVE links AS (
+    SELECT p_partkey AS child, p_partkey // 4 AS parent FROM part WHERE p_partkey >= 4),
+  up(root, node) AS (SELECT p_partkey, p_partkey FROM part UNION ALL
+    SELECT root, parent FROM up JOIN links ON child = node),
+  families AS (
+    SELECT root, node AS member FROM up UNION SELECT node, root FROM up UNION
+    SELECT a.child, b.child FROM links a JOIN links b USING (parent)),
+  columns AS (
+    SELECT p_partkey AS k, unnest(['key', 'part_key', 'note']) AS name,
+      unnest([p_size * 10, p_size * 7, 3]) AS n, unnest([1.0, 0.2, 0.1]) AS uniqueness FROM part)
+  SELECT 'lake.parts.t' || f.k AS target_table, f.name AS fk_column, 'lake.parts.t' || p.k AS dimension_table,
+    p.name AS pk_column FROM columns f JOIN families ON root = f.k AND member <> root
+  JOIN columns p ON p.k = member AND p.name = 'key' WHERE f.n <= p.n AND f.name <> 'note'"""
+
+
+@query("j2_candidates_of_many_tables", MANY_TABLES_SQL)
+def j2_many(t: Tables) -> DataFrame:
+    name = lambda key: F.concat(F.lit("lake.parts.t"), key.cast("string"))
+
+    def column(position: int, label: str, distinct, uniqueness: float):
+        return F.struct(
+            F.lit(position).alias("ordinal_position"),
+            F.lit(label).alias("column_name"),
+            F.lit("LONG").alias("data_type"),
+            distinct.cast("bigint").alias("distinct_count"),
+            F.lit(uniqueness).alias("uniqueness_ratio"),
+            F.lit(0.0).alias("null_ratio"),
+        )
+
+    size = F.col("p_size")
+    listed = [column(1, "key", size * 10, 1.0), column(2, "part_key", size * 7, 0.2), column(3, "note", F.lit(3), 0.1)]
+    profile = written(
+        t["part"].select(name(F.col("p_partkey")).alias("full_name"), F.inline(F.array(*listed))), "many-profiles"
+    )
+    child = F.col("p_partkey")
+    links = t["part"].filter(child >= 4).select(
+        name(F.floor(child / 4).cast("bigint")).alias("source"), name(child).alias("target")
+    )
+    marked = keys.detect_primary_keys(profile)
+    with LineageGraph(links) as graph:
+        roots = t["part"].select(name(child).alias("root"))
+        members = marked.select(F.col("full_name").alias("member"))
+        found = lineage.families(graph, roots, members)
+        return written(keys.fk_candidates(profile, marked, found).select(*PAIR), "many-candidates")
 
 
-@query("l5_containment_by_sample")
-def l5(t: Tables) -> DataFrame:
-    """The containment test on each column's 1,000 values of least hash."""
+@query("j3_containment", FOREIGN_KEYS_SQL + " SELECT target_table, fk_column, dimension_table, pk_column FROM foreign_keys")
+def j3(t: Tables) -> DataFrame:
     found = Star(t)
     return keys.contained(found.candidates(), found.star).select(*PAIR)
 
@@ -461,11 +502,10 @@ AROUND_DIMENSION = f""", facts AS (
     + AROUND_DIMENSION
     + """ SELECT fact AS dimension, NULL::VARCHAR AS fact_column, NULL::VARCHAR AS dimension_column,
       NULL::DOUBLE AS confidence FROM facts
-    UNION ALL SELECT dimension, fact_column, dimension_column, confidence FROM relations
-    WHERE fact IN (FROM facts)""",
+    UNION ALL SELECT dimension, fact_column, dimension_column, confidence FROM relations JOIN facts USING (fact)""",
 )
 def j8(t: Tables) -> DataFrame:
-    return star.star_tables(_star(t), inputs.table_types(t), DIMENSION)
+    return star.star_tables(*inputs.relations_and_columns(t), inputs.table_types(t), DIMENSION)
 
 
 @query(
@@ -475,7 +515,7 @@ def j8(t: Tables) -> DataFrame:
     AND EXISTS (SELECT 1 FROM table_types WHERE full_name = '{FACT}' AND table_type = 'FACT')""",
 )
 def j8_fact(t: Tables) -> DataFrame:
-    return star.star_tables(_star(t), inputs.table_types(t), FACT)
+    return star.star_tables(*inputs.relations_and_columns(t), inputs.table_types(t), FACT)
 
 
 @query(
@@ -485,7 +525,7 @@ def j8_fact(t: Tables) -> DataFrame:
     + " SELECT fact AS dimension FROM facts UNION SELECT dimension FROM relations WHERE fact IN (FROM facts)",
 )
 def j8_names(t: Tables) -> DataFrame:
-    return star.star_table_names(_star(t), inputs.table_types(t), DIMENSION)
+    return star.star_table_names(*inputs.relations_and_columns(t), inputs.table_types(t), DIMENSION)
 
 
 # The report joins lineage, types and star of one table: here an order's supplier.
@@ -512,15 +552,17 @@ REPORT = "mart.dim.s3"
   FROM below LEFT JOIN table_types ON full_name = node
   UNION ALL SELECT DISTINCT 'edge', source, target, NULL FROM flows JOIN below ON node = source WHERE dist < 3
   UNION ALL SELECT 'dimension', fact, NULL, NULL FROM facts
-  UNION ALL SELECT 'dimension', dimension, fact_column, dimension_column FROM relations WHERE fact IN (FROM facts)
+  UNION ALL SELECT 'dimension', dimension, fact_column, dimension_column FROM relations JOIN facts USING (fact)
   UNION ALL SELECT 'downstream', node, NULL, NULL FROM below WHERE dist > 0""",
 )
 def g9(t: Tables) -> DataFrame:
-    relations = _star(t)
+    relations, columns = inputs.relations_and_columns(t)
     orders = t["orders"].select(
         F.concat(F.lit("mart.fact.o"), "o_orderkey").alias("source"),
         F.concat(F.lit("mart.report.c"), "o_custkey").alias("target"),
     )
-    flows = relations.select(F.col("dimension").alias("source"), F.col("fact").alias("target"))
+    owned = star.fact_dimensions(relations, columns)
+    flows = owned.select(F.col("dimension").alias("source"), F.col("fact").alias("target"))
     with LineageGraph(flows.unionByName(orders)) as graph:
-        return star.report_rows(star.table_report(graph, relations, inputs.table_types(t), REPORT))
+        report = star.table_report(graph, relations, columns, inputs.table_types(t), REPORT)
+        return star.report_rows(report)

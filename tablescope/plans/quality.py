@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablescope.functions.types import clean_scalars
 from tablescope.operators import quality
 from tablescope.operators.quality import EPOCH_MS, YYYYMMDD, LowerBound, RuleConfig
 from tablescope.plans import inputs
@@ -27,7 +28,8 @@ WITH checked AS (
          l_shipdate, l_shipdate::DATE AS l_shipday,
          CASE WHEN l_linenumber = 1 THEN '20001399' WHEN l_linenumber <> 2 THEN strftime(l_shipdate, '%Y%m%d') END
            AS l_shipcode,
-         CASE WHEN l_linenumber <> 2 THEN epoch_ms(l_shipdate) END AS l_shipmillis,
+         CASE WHEN l_linenumber = 3 AND l_partkey % 7 = 0 THEN 9223372036854775807
+           WHEN l_linenumber <> 2 THEN epoch_ms(l_shipdate) END AS l_shipmillis,
          repeat('x', l_quantity::INTEGER) AS l_note
   FROM lineitem
 )"""
@@ -48,9 +50,9 @@ def checked(t: Tables) -> DataFrame:
         "l_shipdate",
         F.col("l_shipdate").cast("date").alias("l_shipday"),
         F.when(line == 1, "20001399").when(line != 2, F.date_format("l_shipdate", "yyyyMMdd")).alias("l_shipcode"),
-        F.when(
-            line != 2, F.unix_millis(F.col("l_shipdate").cast("timestamp"))
-        ).alias("l_shipmillis"),
+        F.when((line == 3) & (F.col("l_partkey") % 7 == 0), F.lit(2**63 - 1))
+        .when(line != 2, F.unix_millis(F.col("l_shipdate").cast("timestamp")))
+        .alias("l_shipmillis"),
         F.repeat(F.lit("x"), number.cast("int")).alias("l_note"),
     )
 
@@ -88,7 +90,8 @@ CONDITIONS = [
     (
         "no_future_dates",
         "l_shipmillis",
-        f"l_shipmillis IS NULL OR make_timestamp_ms(l_shipmillis)::DATE > {AS_OF_SQL}",
+        f"CASE WHEN l_shipmillis IS NULL OR l_shipmillis > 9000000000000000 THEN true"
+        f" ELSE make_timestamp_ms(l_shipmillis)::DATE > {AS_OF_SQL} END",
     ),
     ("freshness_validation", "l_shipdate", f"l_shipdate < {AS_OF_SQL} - 700"),
     ("freshness_validation", "l_shipday", f"l_shipday < {AS_OF_SQL} - 700"),
@@ -162,12 +165,25 @@ def o1(t: Tables) -> DataFrame:
 
 
 # Selections that do not apply, name no column, or cannot be evaluated.
-ODD = [("no_blank_strings", "l_tax"), ("not_null", "l_nothing"), ("length_validation", "l_tax"), ("odd_rule", "l_tax")]
-ODD_CONFIG = RuleConfig(**{**CONFIG.__dict__, "max_length": {"l_note": 40, "l_tax": 3}})
+ODD = [
+    ("no_blank_strings", "l_tax"),
+    ("not_null", "l_nothing"),
+    ("length_validation", "l_tax"),
+    ("odd_rule", "l_tax"),
+    ("numeric_range_validation", "l_note"),
+]
+ODD_CONFIG = RuleConfig(
+    **{
+        **CONFIG.__dict__,
+        "max_length": {"l_note": 40, "l_tax": 3},
+        "ranges": {**CONFIG.ranges, "l_note": LowerBound("<", 0)},
+    }
+)
 ODD_SQL = """, results AS (
   SELECT rule, column_name, CASE WHEN violations > 0 THEN 'failed' ELSE 'passed' END AS status, violations FROM counts
   UNION ALL VALUES ('no_blank_strings', 'l_tax', 'not_applicable', NULL), ('not_null', 'l_nothing', 'error', NULL),
-    ('length_validation', 'l_tax', 'error', NULL), ('odd_rule', 'l_tax', 'not_applicable', NULL))"""
+    ('numeric_range_validation', 'l_note', 'error', NULL), ('odd_rule', 'l_tax', 'not_applicable', NULL)
+  UNION ALL SELECT 'length_validation', 'l_tax', 'failed', count(*) FILTER (WHERE length(l_tax::VARCHAR) > 3) FROM checked)"""
 
 
 def _odd_results(t: Tables) -> DataFrame:
@@ -281,6 +297,18 @@ def q10_suggested(t: Tables) -> DataFrame:
     return results.filter(F.col("status").isin("passed", "failed")).select("rule", "column_name", "violations")
 
 
+@query(
+    "x2_scalar_cleaning",
+    CHECKED_SQL
+    + """ SELECT l_orderkey, l_linenumber, CASE WHEN NOT isnan(l_quantity) THEN l_quantity END AS l_quantity,
+      strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') AS l_shipdate, strftime(l_shipday, '%Y-%m-%d') AS l_shipday,
+      l_returnflag FROM checked""",
+)
+def x2(t: Tables) -> DataFrame:
+    names = ["l_orderkey", "l_linenumber", "l_quantity", "l_shipdate", "l_shipday", "l_returnflag"]
+    return clean_scalars(checked(t).select(*names))
+
+
 # Selections and proposals as JSON: one payload per event, one reply per event.
 
 PAYLOADS = """'{"selections": [{"rule": "not_null", "column": "' || event_type || '"}, {"rule": "", "column": "x"}], '
@@ -292,15 +320,19 @@ PAYLOADS = """'{"selections": [{"rule": "not_null", "column": "' || event_type |
 @query(
     "f14_selections",
     """WITH picked AS (
-      SELECT event_id, 'not_null' AS rule, event_type AS "column" FROM events
-      UNION ALL SELECT event_id, 'unique_values', 'user__' || user_id FROM events
-      UNION ALL SELECT event_id, 'zero_value_check', 'value' FROM events WHERE value > 40
-      UNION ALL SELECT event_id, 'no_future_dates', 'ts' FROM events WHERE value > 20)
-    SELECT DISTINCT event_id, rule, "column" FROM picked""",
+      SELECT event_id, 'not_null' AS rule, event_type AS "column", 1 AS seen FROM events
+      UNION ALL SELECT event_id, 'unique_values', 'user__' || user_id, 2 FROM events
+      UNION ALL SELECT event_id, 'zero_value_check', 'value', 4 FROM events WHERE value > 40
+      UNION ALL SELECT event_id, 'no_future_dates', 'ts', 3 FROM events WHERE value > 20)
+    SELECT event_id, rule, "column", row_number() OVER (PARTITION BY event_id ORDER BY seen)::INTEGER AS place
+    FROM picked""",
 )
 def f14(t: Tables) -> DataFrame:
     payloads = t["events"].select("event_id", F.expr(PAYLOADS).alias("payload"))
-    return quality.parse_selections(payloads, "event_id", "payload").drop("position")
+    """Members of an object have no order of their own but that of their names."""
+    found = quality.parse_selections(payloads, "event_id", "payload")
+    order = Window.partitionBy("event_id").orderBy("position")
+    return found.withColumn("place", F.row_number().over(order)).drop("position")
 
 
 REPLIES = """CASE WHEN value > 30
@@ -317,19 +349,39 @@ def replies(t: Tables) -> DataFrame:
 
 @query(
     "f15_sanitised_mapping",
-    """SELECT event_id, 'not_null' AS rule, 'value' AS column_name FROM events WHERE value > 30
-    UNION ALL SELECT event_id, 'no_future_dates', 'ts' FROM events WHERE value > 15 AND value <= 30
-    UNION ALL SELECT event_id, 'unique_values', unnest(['event_id', 'ts']) FROM events
-      WHERE value > 15 AND value <= 30""",
+    """WITH proposed AS (
+      SELECT event_id, event_type, 'not_null' AS rule, 'value' AS column_name FROM events WHERE value > 30
+      UNION ALL SELECT event_id, event_type, 'no_future_dates', 'ts' FROM events WHERE value > 15 AND value <= 30
+      UNION ALL SELECT event_id, event_type, 'unique_values', unnest(['event_id', 'ts']) FROM events
+        WHERE value > 15 AND value <= 30)
+    SELECT event_id, rule, column_name FROM proposed WHERE NOT (event_type = 'click' AND column_name = 'ts')""",
 )
 def f15(t: Tables) -> DataFrame:
-    columns = t.spark.createDataFrame([(c,) for c in t["events"].columns], "column_name string")
-    return quality.proposed_columns(replies(t), "event_id", "tree", columns)
+    names = F.array(*(F.lit(c) for c in t["events"].columns))
+    # Each reply is about a table of its own; tables of clicks have no column of times.
+    known = t["events"].select("event_id", "event_type", F.explode(names).alias("column_name"))
+    known = known.filter("NOT (event_type = 'click' AND column_name = 'ts')")
+    return quality.proposed_columns(replies(t), "event_id", "tree", known.select("event_id", "column_name"))
 
 
-@query("f16_json_in_text", "SELECT event_id, value > 15 AS has_json FROM events")
+@query(
+    "f16_json_in_text",
+    """SELECT event_id, value > 15 AS has_json, CASE WHEN value > 30 THEN 'ts' END AS nested_text,
+      CASE WHEN value > 30 THEN 'u' || user_id WHEN value > 15 THEN 'gone' END AS second_item,
+      CASE WHEN value > 15 AND value <= 30 THEN 5::BIGINT END AS third_item FROM events""",
+)
 def f16(t: Tables) -> DataFrame:
-    return replies(t).select("event_id", F.col("tree").isNotNull().alias("has_json"))
+    """What is found in the JSON of the replies, bare or with words around it."""
+    inside = lambda path, kind: F.try_variant_get("tree", path, kind)
+    return replies(t).select(
+        "event_id",
+        F.col("tree").isNotNull().alias("has_json"),
+        inside("$.rule_to_columns.unique_values", "string").alias("nested_text"),
+        F.coalesce(inside("$.rule_to_columns.not_null[1]", "string"), inside("$.no_future_dates[1]", "string")).alias(
+            "second_item"
+        ),
+        inside("$.no_future_dates[2]", "bigint").alias("third_item"),
+    )
 
 
 # Documentation: one nested JSON document per text document, with two table records each.
@@ -355,7 +407,7 @@ def records(t: Tables) -> DataFrame:
     documents = t["documents"].select(
         F.col("doc_id").cast("string").alias("document"), F.expr(DOCUMENTATION).alias("text")
     )
-    return documentation_records(documents).drop("document")
+    return documentation_records(documents).drop("document", "place")
 
 
 @query("s6_documentation_records", RECORDS_SQL + " SELECT * FROM records")

@@ -127,14 +127,15 @@ def s11_tables(t: Tables) -> DataFrame:
 # Streams read the line items where they lie; a stream without end would bring more files.
 
 
+def _stream_of(t: Tables, folder: str) -> DataFrame:
+    """Line items as they arrive in a folder, one file per batch."""
+    return t.spark.readStream.schema(t["lineitem"].schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def _line_item_stream(t: Tables) -> DataFrame:
-    schema = t["lineitem"].schema
-    return (
-        t.spark.readStream.schema(schema)
-        .option("pathGlobFilter", "lineitem.parquet")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(t.folder)
-    )
+    folder = new_path(t.spark, "line-items")
+    t["lineitem"].repartition(3).write.parquet(folder)
+    return _stream_of(t, folder)
 
 
 def _ingested(t: Tables, rows: DataFrame, schema: str, to_edges) -> DataFrame:
@@ -143,6 +144,8 @@ def _ingested(t: Tables, rows: DataFrame, schema: str, to_edges) -> DataFrame:
     return log.edges()
 
 
+EDGE_SCHEMA = "source string, target string"
+
 STREAMED = """SELECT DISTINCT 'raw.supplier.s' || l_suppkey AS source, 'stage.part.p' || l_partkey AS target
   FROM lineitem WHERE l_suppkey <> 13"""
 
@@ -178,16 +181,17 @@ def s13(t: Tables) -> DataFrame:
 
 @query("t1_incremental_ingest", STREAMED)
 def t1(t: Tables) -> DataFrame:
-    """The stream's batch, and then the same rows once more as a second batch."""
-    path = new_path(t.spark, "edge-log")
-    log = EdgeLog(t.spark, path, "source string, target string")
-    rows = t["lineitem"].select(
-        F.concat(F.lit("raw.supplier.s"), F.nullif("l_suppkey", F.lit(13))).alias("source_table_full_name"),
-        F.concat(F.lit("stage.part.p"), "l_partkey").alias("target_table_full_name"),
-    )
-    log.add(table_lineage(rows.filter("l_linenumber < 4")), 0)
-    for batch in (1, 1):
-        log.add(table_lineage(rows), batch)
+    """A stream of several files that stops, goes on with later files, and is replayed whole."""
+    folder, log = new_path(t.spark, "line-items"), EdgeLog(t.spark, new_path(t.spark, "edge-log"), EDGE_SCHEMA)
+    first, second = new_path(t.spark, "ingest-state"), new_path(t.spark, "ingest-state")
+    for arriving, state in (("l_linenumber < 4", first), ("l_linenumber >= 4", first), (None, second)):
+        if arriving:
+            t["lineitem"].filter(arriving).repartition(2).write.mode("append").parquet(folder)
+        rows = _stream_of(t, folder).select(
+            F.concat(F.lit("raw.supplier.s"), F.nullif("l_suppkey", F.lit(13))).alias("source_table_full_name"),
+            F.concat(F.lit("stage.part.p"), "l_partkey").alias("target_table_full_name"),
+        )
+        ingest_edges(rows, log, state, table_lineage).awaitTermination()
     return log.edges()
 
 

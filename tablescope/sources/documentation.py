@@ -26,8 +26,13 @@ def _text(node: str, *paths: str) -> Column:
     )
 
 
-def _is_object(node: str) -> Column:
-    return F.schema_of_variant(node).startswith("OBJECT")
+def _is_object(node) -> Column:
+    """Whether a variant has members; only its own level is read."""
+    return F.try_variant_get(node, "$", "map<string,variant>").isNotNull()
+
+
+def _is_array(node) -> Column:
+    return F.try_variant_get(node, "$", "array<variant>").isNotNull()
 
 
 def documentation_records(documents: DataFrame, document: str = "document", text: str = "text") -> DataFrame:
@@ -36,7 +41,8 @@ def documentation_records(documents: DataFrame, document: str = "document", text
     A node is a table record if it has columns, and a catalog, schema and name of its own
     or inherited. The name comes from ``table_name``, the table block, ``full_table_name``,
     a three-part key, or ``name``. A table block may be a record by itself as well as
-    through its parent, so equal rows are merged.
+    through its parent, so equal rows are merged. ``place`` orders the records of a document
+    as they stand in it.
     """
     spark = documents.sparkSession
     level = documents.select(
@@ -45,6 +51,7 @@ def documentation_records(documents: DataFrame, document: str = "document", text
         F.lit(None).cast("string").alias("inherited_key"),
         F.lit(None).cast("string").alias("inherited_catalog"),
         F.lit(None).cast("string").alias("inherited_schema"),
+        F.lit("").alias("place"),
     ).filter(F.col("node").isNotNull())
     records = None
     while True:
@@ -54,18 +61,17 @@ def documentation_records(documents: DataFrame, document: str = "document", text
         found = _records(spark, level)
         records = found if records is None else records.unionByName(found)
         level = _children(spark, level)
-    return (_records(spark, level) if records is None else records).distinct()
+    records = _records(spark, level) if records is None else records
+    return records.groupBy(*(c for c in records.columns if c != "place")).agg(F.min("place").alias("place"))
 
 
 def _children(spark: SparkSession, level: DataFrame) -> DataFrame:
-    inner = F.schema_of_variant("node")
-    level = level.filter(inner.startswith("OBJECT") | inner.startswith("ARRAY"))
+    level = level.filter(_is_object("node") | _is_array("node"))
     exploded = level.withColumn("is_object", _is_object("node")).lateralJoin(
         spark.tvf.variant_explode(F.col("node").outer())
     )
-    kind = F.schema_of_variant("value")
     own = F.col("is_object")
-    return exploded.filter(kind.startswith("OBJECT") | kind.startswith("ARRAY")).select(
+    return exploded.filter(_is_object("value") | _is_array("value")).select(
         "document",
         F.col("value").alias("node"),
         F.when(own, F.col("key")).otherwise(F.col("inherited_key")).alias("inherited_key"),
@@ -75,13 +81,16 @@ def _children(spark: SparkSession, level: DataFrame) -> DataFrame:
         F.when(own, F.coalesce(_string("schema"), F.col("inherited_schema")))
         .otherwise(F.col("inherited_schema"))
         .alias("inherited_schema"),
+        F.concat_ws(".", "place", F.lpad(F.col("pos").cast("string"), 9, "0")).alias("place"),
     )
 
 
 def _string(member: str) -> Column:
     """A member of the node, if it is a string."""
     value = F.try_variant_get("node", f"$.{member}", "variant")
-    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get("node", f"$.{member}", "string"))
+    plain = ~_is_object(value) & ~_is_array(value)
+    text = F.try_variant_get("node", f"$.{member}", "string")
+    return F.when(plain, F.when(F.schema_of_variant(value) == "STRING", text))
 
 
 def _records(spark: SparkSession, level: DataFrame) -> DataFrame:
@@ -95,9 +104,10 @@ def _records(spark: SparkSession, level: DataFrame) -> DataFrame:
     candidates = (
         level.filter(_is_object("node"))
         .withColumn("full", full)
-        .withColumn("block", F.when(F.schema_of_variant(table_block).startswith("OBJECT"), table_block))
+        .withColumn("block", F.when(_is_object(table_block), table_block))
         .select(
             "document",
+            "place",
             F.coalesce(
                 _text("node", "catalog"), F.col("inherited_catalog"), F.when(named, F.get(parts, 0))
             ).alias("catalog"),
@@ -119,7 +129,7 @@ def _records(spark: SparkSession, level: DataFrame) -> DataFrame:
                 F.try_variant_get("node", "$.columns", "variant"),
             ).alias("columns"),
         )
-        .filter(F.schema_of_variant("columns").startswith("ARRAY"))
+        .filter(_is_array("columns"))
         .filter("catalog is not null and schema is not null and table_name is not null")
         .withColumn(
             "full_table_name",
@@ -131,6 +141,7 @@ def _records(spark: SparkSession, level: DataFrame) -> DataFrame:
         items.filter(_is_object("value"))
         .select(
             "document",
+            "place",
             "catalog",
             "schema",
             "table_name",

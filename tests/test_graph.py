@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from fixtures import CYCLE, SAMPLE, SELF_LOOP, TWO_PARTS, brute_distances, pairs
@@ -44,10 +45,9 @@ def test_null_and_duplicate_edges_are_dropped(spark):
         assert rows(graph.edges) == [("a", "b")]
 
 
-def test_split_hubs_change_nothing(spark, monkeypatch):
-    monkeypatch.setattr(graph_module, "MAX_HUBS", 8)
+def test_split_hubs_change_nothing(spark):
     edges = [("hub", f"n{i}") for i in range(60)] + [(f"n{i}", f"m{i % 7}") for i in range(60)]
-    with LineageGraph(edges_of(spark, edges), hub_search_edges=10) as graph:
+    with LineageGraph(edges_of(spark, edges), hub_edges=10) as graph:
         for direction in (UPSTREAM, DOWNSTREAM, BOTH_WAYS):
             for root in ("hub", "m3", "n5"):
                 assert walked(graph, root, direction) == brute_distances(edges, root, direction)
@@ -55,8 +55,41 @@ def test_split_hubs_change_nothing(spark, monkeypatch):
         assert graph.steps(DOWNSTREAM).frame.select("salt").distinct().count() > 3
 
 
-def test_deep_graph_merges_its_levels(spark, monkeypatch):
-    monkeypatch.setattr(graph_module, "MERGE_LEVELS", 3)
+def test_many_roots_at_one_node_are_split(spark):
+    edges = [(f"r{i}", "middle") for i in range(80)] + [("middle", f"m{i}") for i in range(5)] + [("m1", "r3")]
+    roots = spark.createDataFrame([(f"r{i}",) for i in range(80)], "root string")
+    with LineageGraph(edges_of(spark, edges), hub_edges=20) as graph:
+        reached = graph.walk(roots, DOWNSTREAM).reached
+        found = {}
+        for r in reached.collect():
+            found.setdefault(r.root, {})[r.node] = r.dist
+        assert found == {f"r{i}": brute_distances(edges, f"r{i}", DOWNSTREAM) for i in range(80)}
+        level = reached.filter("dist = 1").select("root", "node", "dist")
+        plan = graph._advance(level, graph.steps(DOWNSTREAM), 80)
+        assert "copy" in plan._jdf.queryExecution().analyzed().toString()
+
+
+def test_visited_rows_are_not_shuffled_again(spark):
+    chain = [(f"t{i}", f"t{i + 1}") for i in range(6)]
+    table = graph_module._Reached(spark)
+    table.add(spark.createDataFrame([("a", "b", 0), ("a", "c", 0)], "root string, node string, dist int"))
+    new = spark.createDataFrame([("a", "c", 1), ("a", "d", 1)], "root string, node string, dist int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        grouped = new.groupBy("root", "node").agg(F.max("dist").alias("dist"))
+        fresh = grouped.join(table.read().select("root", "node"), ["root", "node"], "left_anti")
+        assert rows(fresh) == [("a", "d", 1)]
+        plan = fresh._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        table.forget()
+    with LineageGraph(edges_of(spark, chain)) as graph:
+        assert walked(graph, "t0", DOWNSTREAM) == {f"t{i}": i for i in range(7)}
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("tablescope_walk")]
+
+
+def test_deep_graph(spark):
     chain = [(f"t{i}", f"t{i + 1}") for i in range(9)]
     with LineageGraph(edges_of(spark, chain)) as graph:
         assert walked(graph, "t0", DOWNSTREAM) == {f"t{i}": i for i in range(10)}
@@ -147,7 +180,14 @@ def test_column_lineage_of_table_and_unknown_column(spark):
     assert (none.node_count, none.edge_count, none.upstream_node_count, none.downstream_node_count) == (0, 0, 0, 0)
     assert lineage.lineage_of_table(edges, "Q").totals.first().root_column_count == 0
     assert rows(lineage.table_columns(edges, "B")) == [("w",), ("y",)]
-    assert [lineage.clamp_depth(d) for d in (0, 7, 99)] == [1, 7, 50]
+    with pytest.raises(ValueError):
+        lineage.lineage_of_column(edges, "A", "x", max_depth=0)
+
+
+def test_column_lineage_has_no_depth_limit(spark):
+    chain = [(f"t{i:02}", "c", f"t{i + 1:02}", "c") for i in range(60)]
+    edges = spark.createDataFrame(chain, COLUMN_SCHEMA)
+    assert lineage.lineage_of_column(edges, "t00", "c").stats.first().downstream_node_count == 60
 
 
 def test_distances(spark):

@@ -20,11 +20,10 @@ def lake(spark):
         "f_id bigint, f_custkey bigint, g_custkey bigint, amount double",
     )
     tables = {DIM: dim, OTHER: other, FACT: fact}
-    counts = profile.value_counts(tables).cache()
     edges = spark.createDataFrame([(DIM, FACT), (OTHER, FACT)], "source string, target string")
     with LineageGraph(edges) as graph:
         found = families(graph, spark.createDataFrame([(t,) for t in tables], "root string"))
-    return tables, counts, profile.data_profile(tables, counts), found
+    return tables, profile.data_profile(tables), found
 
 
 def test_primary_key_limits(spark):
@@ -34,7 +33,7 @@ def test_primary_key_limits(spark):
 
 
 def test_foreign_keys(lake):
-    tables, counts, prof, found = lake
+    tables, prof, found = lake
     assert rows(keys.detect_primary_keys(prof), "full_name", "column_name") == [
         (DIM, "d_custkey"), (DIM, "d_name"), (FACT, "amount"), (FACT, "f_id"), (OTHER, "e_custkey"),
     ]
@@ -42,26 +41,11 @@ def test_foreign_keys(lake):
     pairs = rows(candidates, "target_table", "fk_column", "dimension_table", "pk_column")
     assert (FACT, "f_custkey", DIM, "d_custkey") in pairs and (FACT, "g_custkey", OTHER, "e_custkey") in pairs
     assert not [p for p in pairs if p[0] == p[2]]
-    for sample in (None, 1000, 3):
-        held = keys.contained(candidates, tables, sample)
-        names = rows(held, "target_table", "fk_column", "dimension_table", "pk_column")
-        assert (FACT, "f_custkey", DIM, "d_custkey") in names
-        # A null among the values counts as unmatched, in any sample.
-        assert not [p for p in names if p[1] == "g_custkey"]
-        if sample != 3:
-            assert (FACT, "f_custkey", OTHER, "e_custkey") not in names
-
-
-def test_sample_takes_the_least_hashes(spark):
-    from tablescope.operators.profile import value_counts
-
-    many = spark.range(5000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"))
-    counts = value_counts({DIM: many}).withColumn("fk_distinct", F.lit(4999))
-    picked = {r.number for r in keys._least_hashes(counts, 10).collect()}
-    by_hash = counts.filter("number is not null").orderBy(F.xxhash64("number", "real", "moment", "words"))
-    assert picked == {r.number for r in by_hash.limit(9).collect()} | {None}
-    few = value_counts({DIM: many.limit(7)}).withColumn("fk_distinct", F.lit(6))
-    assert keys._least_hashes(few, 10).count() == few.count()
+    names = rows(keys.contained(candidates, tables), "target_table", "fk_column", "dimension_table", "pk_column")
+    assert (FACT, "f_custkey", DIM, "d_custkey") in names
+    # A null among the values counts as unmatched.
+    assert not [p for p in names if p[1] == "g_custkey"]
+    assert (FACT, "f_custkey", OTHER, "e_custkey") not in names
 
 
 def relations(spark):
@@ -71,7 +55,7 @@ def relations(spark):
 
 
 def columns(spark, lake):
-    return upsert.column_nodes(lake[2], upsert.table_nodes(lake[2]))
+    return upsert.column_nodes(lake[1], upsert.table_nodes(lake[1]))
 
 
 def test_scores(spark, lake):
@@ -92,7 +76,7 @@ def test_scores(spark, lake):
 
 
 def test_classification(spark, lake):
-    _, _, prof, _ = lake
+    _, prof, _ = lake
     classes = {r.full_name: r for r in keys.classify_tables(prof, relations(spark), columns(spark, lake)).collect()}
     fact = classes[FACT]
     # Two relations are confident, both from one column.
@@ -116,30 +100,31 @@ def test_numeric_types(spark):
 
 
 def test_star(spark, lake):
-    links = star.fact_dimensions(relations(spark), columns(spark, lake))
+    held = relations(spark), columns(spark, lake)
+    links = star.fact_dimensions(*held)
     types = spark.createDataFrame([(FACT, "FACT"), (DIM, "DIM"), (OTHER, None)], "full_name string, table_type string")
     assert rows(links, "dimension", "fact_column", "confidence") == [
         (DIM, "f_custkey", 0.9), (DIM, "g_custkey", 0.5), (OTHER, "f_custkey", 0.6),
     ]
-    assert rows(star.star_tables(links, types, FACT), "dimension", "fact_column") == [
+    assert rows(star.star_tables(*held, types, FACT), "dimension", "fact_column") == [
         (DIM, "f_custkey"), (DIM, "g_custkey"), (OTHER, "f_custkey"),
     ]
-    around = star.star_tables(links, types, DIM)
+    around = star.star_tables(*held, types, DIM)
     assert rows(around, "dimension", "fact_column") == [
         (DIM, "f_custkey"), (DIM, "g_custkey"), (FACT, None), (OTHER, "f_custkey"),
     ]
-    assert rows(star.star_tables(links, types, OTHER)) == [] and star.table_type(types, "x.y.z") == "TABLE"
-    assert rows(star.star_table_names(links, types, DIM)) == [(DIM,), (FACT,), (OTHER,)]
+    assert rows(star.star_tables(*held, types, OTHER)) == [] and star.table_type(types, "x.y.z") == "TABLE"
+    assert rows(star.star_table_names(*held, types, DIM)) == [(DIM,), (FACT,), (OTHER,)]
     edges = spark.createDataFrame([(DIM, FACT), (FACT, "l.s.report")], "source string, target string")
     with LineageGraph(edges) as graph:
-        report = star.table_report(graph, links, types, DIM, depth=1)
+        report = star.table_report(graph, *held, types, DIM, depth=1)
     assert rows(report.nodes) == [(DIM, "DIM"), (FACT, "FACT")] and rows(report.edges) == [(DIM, FACT)]
     assert rows(report.downstream_impact) == [(FACT,), ("l.s.report",)] and report.table_type == "DIM"
     assert star.report_rows(report).count() == 2 + 1 + 4 + 2
 
 
 def test_write_backs(spark, lake):
-    _, _, prof, _ = lake
+    _, prof, _ = lake
     owned = columns(spark, lake)
     at = F.lit(datetime.datetime(2024, 1, 1)).cast("timestamp_ntz")
     marked = upsert.write_back_keys(owned, keys.detect_primary_keys(prof), at)

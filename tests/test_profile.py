@@ -69,8 +69,8 @@ def test_distribution(spark):
     assert (row["mean"], row.min_val, row.p25, row["median"], row.p75, row.max_val) == (3.75, 1, 1.75, 2, 4, 10)
 
 
-@pytest.mark.parametrize("in_one_task", [1_000_000, 0])
-def test_quantiles_match_numpy_either_way(spark, in_one_task):
+@pytest.mark.parametrize("parts", [None, 1, 7])
+def test_quantiles_match_numpy(spark, parts):
     rng = random.Random(4)
     data = {k: [round(rng.gauss(0, 9), 1) for _ in range(n)] for k, n in (("a", 400), ("b", 1), ("c", 2), ("d", 75))}
     data["hot"] = [5.0] * 300 + [7.0]
@@ -78,7 +78,7 @@ def test_quantiles_match_numpy_either_way(spark, in_one_task):
     counted = frame.groupBy("k", "value").agg(F.count(F.lit(1)).alias("n"))
     points = [0.0, 0.25, 0.5, 0.9, 1.0]
     found = {
-        (r.k, r.quantile): r.value for r in weighted_quantiles(counted, ["k"], points, in_one_task).collect()
+        (r.k, r.quantile): r.value for r in weighted_quantiles(counted, ["k"], points, parts).collect()
     }
     assert len(found) == len(data) * len(points)
     for (k, q), value in found.items():
@@ -87,17 +87,21 @@ def test_quantiles_match_numpy_either_way(spark, in_one_task):
 
 def test_quantiles_without_keys(spark):
     counted = spark.createDataFrame([(1.0, 3), (4.0, 1)], "value double, n bigint")
-    for in_one_task in (10, 0):
-        found = weighted_quantiles(counted, [], [0.5, 1.0], in_one_task)
+    for parts in (None, 1, 2):
+        found = weighted_quantiles(counted, [], [0.5, 1.0], parts)
         assert {r.quantile: r.value for r in found.collect()} == {0.5: 1.0, 1.0: 4.0}
 
 
 def test_files_and_freshness(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(10).repartition(3).write.parquet(path)
-    row = profile.file_sizes({"c.s.t": spark.read.parquet(path)}).first()
+    row = profile.file_sizes({"c.s.t": path}).first()
     sizes = [f.stat().st_size for f in (tmp_path / "t").glob("*.parquet")]
     assert (row.file_size_bytes, row.file_count) == (sum(sizes), len(sizes))
+    stats = profile.distribution_stats({"c.s.t": spark.read.parquet(path)}, {"c.s.t": path}).first()
+    assert stats.file_size_bytes == sum(sizes)
+    fresh = profile.file_freshness({"c.s.t": path}, F.current_timestamp(), {"c.s.t": 3}).first()
+    assert 0 <= fresh.latency_hours < 1 and (fresh.partition_count, fresh.current_version) == (1, 3)
     seen = [("t", DAY + datetime.timedelta(hours=h), h // 10, h % 2) for h in (1, 5, 30)]
     frame = spark.createDataFrame(seen, "table string, at timestamp_ntz, part int, version int")
     as_of = F.lit(DAY + datetime.timedelta(hours=42)).cast("timestamp_ntz")
@@ -124,6 +128,34 @@ def test_validity_and_drift(spark):
     ]
 
 
+def test_rows_with_null_keys_have_a_history_too(spark):
+    data = [(None, 1), (None, 3), ("a", 2), ("a", 4)]
+    frame = spark.createDataFrame([(k, DAY + datetime.timedelta(hours=h)) for k, h in data], "k string, at timestamp_ntz")
+    found = {(r.k, r.at): r.valid_to for r in signals.validity(frame, ["k"], "at").collect()}
+    hour = lambda h: DAY + datetime.timedelta(hours=h)
+    assert found == {(None, hour(1)): hour(3), (None, hour(3)): None, ("a", hour(2)): hour(4), ("a", hour(4)): None}
+
+
+def test_extremes_are_found_in_the_type_of_the_column(spark):
+    df = spark.sql(
+        """SELECT * FROM VALUES (9.50BD, TIMESTAMP '2024-01-02 00:00:00', true, DATE '2024-01-02', X'0A', array(2, 10), 9L, 'b'),
+        (10.00BD, TIMESTAMP '2023-01-02 10:00:00', false, DATE '2024-01-01', X'FF', array(10), 10L, 'a'),
+        (NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL) AS t(d, ts, b, day, bin, arr, n, s)"""
+    ).withColumn("nothing", F.lit(None).cast("int"))
+    found = {r.column_name: (r.min_value, r.max_value) for r in signals.column_signals({"c.s.t": df}, F.lit(DAY)).collect()}
+    assert found == {
+        "d": ("9.50", "10.00"),
+        "ts": ("2023-01-02 10:00:00", "2024-01-02 00:00:00"),
+        "b": ("false", "true"),
+        "day": ("2024-01-01", "2024-01-02"),
+        "bin": ("0A", "FF"),
+        "arr": ("[2,10]", "[10]"),
+        "n": ("9", "10"),
+        "s": ("a", "b"),
+        "nothing": (None, None),
+    }
+
+
 def test_neighbours_across_ranges_match_a_window(spark):
     rng = random.Random(6)
     data = [("hot" if rng.random() < 0.7 else f"k{rng.randrange(9)}", i) for i in rng.sample(range(9000), 600)]
@@ -178,3 +210,15 @@ def test_lookups(spark, tables):
         signals.quality_of(stats, "s.mixed")
     with pytest.raises(ValueError):
         signals.sort_column_signals(stats, "nothing")
+
+
+def test_clean_scalars(spark):
+    from tablescope.functions.types import clean_scalars
+
+    day = datetime.datetime(2024, 1, 2, 3, 4, 5)
+    schema = "x double, f float, at timestamp_ntz, day date, s string, n int"
+    data = [(float("nan"), float("nan"), day, day.date(), "a", 1), (1.5, 2.0, day.replace(microsecond=120), None, None, None)]
+    assert [tuple(r) for r in clean_scalars(spark.createDataFrame(data, schema)).collect()] == [
+        (None, None, "2024-01-02T03:04:05", "2024-01-02", "a", 1),
+        (1.5, 2.0, "2024-01-02T03:04:05.000120", None, None, None),
+    ]

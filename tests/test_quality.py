@@ -5,7 +5,7 @@ import pytest
 
 from conftest import rows
 from tablescope.operators import quality
-from tablescope.operators.quality import DEFAULT_CONFIG, EPOCH_MS, LowerBound, RuleConfig
+from tablescope.operators.quality import EPOCH_MS, YYYYMMDD, LowerBound, RuleConfig
 from tablescope.sources.documentation import documentation_records, read_documents
 from pyspark.sql import functions as F
 
@@ -13,7 +13,20 @@ AS_OF = datetime.date(2024, 3, 10)
 NAN = float("nan")
 
 
-def violations(df, selections, config=DEFAULT_CONFIG):
+CONFIG = RuleConfig(
+    max_length={"MARKET_NAME": 100},
+    ranges={
+        "MARKET_ID": LowerBound("<", 0),
+        "PRODUCT_ID": LowerBound("<=", 0, null_fails=True),
+        "WAC_DOLLARS": LowerBound("<", 0, nan_fails=True),
+    },
+    zero_columns=frozenset({"WAC_DOLLARS"}),
+    coded_dates={"MONTH_ENDING_DATE": YYYYMMDD},
+    fresh_days={"STAGED_FILE_DATE": 7},
+)
+
+
+def violations(df, selections, config=CONFIG):
     found = quality.run_checks(df, selections, AS_OF, config).collect()
     return {(r.rule, r.column_name): r.violations if r.violations is not None else r.status for r in found}
 
@@ -77,7 +90,7 @@ def test_epoch_dates_and_unique_values(spark):
 
 def test_errors_stay_with_their_check(spark):
     df = spark.createDataFrame([("a", 1)], "s string, n int")
-    config = RuleConfig(ranges={"s": LowerBound("<", 0)}, max_length={"n": 1})
+    config = RuleConfig(ranges={"s": LowerBound("<", 0)}, max_length={"n": 1}, coded_dates={"n": quality.EPOCH_MS})
     chosen = [
         ("not_null", "s"), ("not_null", "gone"), ("numeric_range_validation", "s"), ("length_validation", "n"),
         ("zero_value_check", "n"), ("not_null", "s"),
@@ -87,7 +100,7 @@ def test_errors_stay_with_their_check(spark):
         ("not_null", "s"): "passed",
         ("not_null", "gone"): "error",
         ("numeric_range_validation", "s"): "error",
-        ("length_validation", "n"): "error",
+        ("length_validation", "n"): "passed",
         ("zero_value_check", "n"): "not_applicable",
     }
     row = quality.summary(results).first()
@@ -97,6 +110,15 @@ def test_errors_stay_with_their_check(spark):
     assert not quality.summary(quality.run_checks(df, [("zero_value_check", "n")], AS_OF)).first().all_passed
 
 
+def test_one_bad_value_leaves_other_checks_alone(spark):
+    df = spark.createDataFrame([(2**63 - 1, "x"), (-(2**63), None), (0, "y"), (None, "z")], "m long, s string")
+    config = RuleConfig(coded_dates={"m": quality.EPOCH_MS}, max_length={"m": 5})
+    chosen = [("no_future_dates", "m"), ("not_null", "s"), ("length_validation", "m")]
+    assert violations(df, chosen, config) == {
+        ("no_future_dates", "m"): 3, ("not_null", "s"): 1, ("length_validation", "m"): 2,
+    }
+
+
 def test_empty_table_passes(spark):
     df = spark.createDataFrame([], "s string, n int")
     assert violations(df, [("not_null", "s"), ("unique_values", "n")]) == {("not_null", "s"): 0, ("unique_values", "n"): 0}

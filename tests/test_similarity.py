@@ -2,8 +2,7 @@ import random
 
 import pytest
 
-from conftest import rows
-from tablescope.functions.similarity import partial_ratio, partial_ratio_of, similar_names
+from tablescope.functions.similarity import partial_ratio, partial_ratio_of, partial_ratios
 
 
 def lcs(a, b):
@@ -50,22 +49,16 @@ def test_matches_every_window():
         assert partial_ratio_of(a, b) == pytest.approx(plain_ratio(a, b))
 
 
+def test_many_pairs_at_once():
+    names = words(3, 150) + words(4, 40, "ab", 90) + ["", None, "x" * 64, "x" * 63 + "y", "x" * 65, "é🙂_key", "key"]
+    pairs = list(zip(names, reversed(names))) + [(a, b) for a in names[-8:] for b in names[-8:]]
+    for (a, b), score in zip(pairs, partial_ratios(pairs)):
+        assert score == (None if a is None or b is None else pytest.approx(partial_ratio_of(a, b))), (a, b)
+    assert partial_ratios([]) == []
+
+
 def test_column_function(spark):
     pairs = [("o_custkey", "c_custkey"), ("abc", "xyz"), (None, "x")]
     frame = spark.createDataFrame(pairs, "a string, b string")
     found = frame.select("a", partial_ratio("a", "b").alias("score")).collect()
     assert [r.score for r in found] == [pytest.approx(1600 / 17), 0.0, None]
-
-
-@pytest.mark.parametrize("least", [70, 90])
-def test_similar_names_misses_none(spark, least):
-    left = words(1, 60) + ["o_custkey", "l_orderkey", "é_key"]
-    right = words(2, 60) + ["c_custkey", "orderkey", "key"]
-    group = lambda names: [(len(n) % 2, n) for n in names]
-    a = spark.createDataFrame(group(left), "g int, name string")
-    b = spark.createDataFrame(group(right), "g int, name string")
-    found = {(r[0], r[1], r[2]) for r in rows(similar_names(a, b, "g", least), "g", "left", "right")}
-    expected = {
-        (g, x, y) for g, x in group(left) for h, y in group(right) if g == h and plain_ratio(x, y) >= least
-    }
-    assert found == expected and expected

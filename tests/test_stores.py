@@ -55,7 +55,7 @@ def test_edge_log_is_idempotent(spark, tmp_path):
     for _ in range(2):
         log.add(second, 1)
         assert rows(log.edges()) == [("a", "b"), ("b", "c")]
-    assert rows(log.read()) == [("a", "b", 0), ("b", "c", 1)]
+    assert rows(log.read(), "source", "target", "batch") == [("a", "b", 0), ("b", "c", 1)]
     log.add(second, 2)
     assert rows(log.edges()) == [("a", "b"), ("b", "c")]
 
@@ -80,6 +80,12 @@ def test_stream_of_files(spark, tmp_path):
     ingest()
     assert rows(log.edges()) == [("a", "b"), ("b", "c"), ("c", "d")]
     assert {r.batch for r in log.read().collect()} == {0, 1, 2} or len({r.batch for r in log.read().collect()}) >= 2
+    # Another checkpoint numbers its batches anew and must not replace the first one's.
+    arrive([("d", "e")])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    ingest_edges(stream, log, str(tmp_path / "other"), lineage_source.table_lineage).awaitTermination()
+    assert rows(log.edges()) == [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e")]
+    assert log.read().select("run").distinct().count() == 2
 
 
 def test_graph_files(spark, tmp_path):
