@@ -88,7 +88,9 @@ def top_k(df: DataFrame, key: str, vector: str, is_query, k: int = 10, scale: in
     base = df.select(df[key].alias("id"), df[vector].alias("vector"), is_query.alias("asks"))
     blocks, blocks_path = stored(packed(base, "id", "vector", scale, BLOCK_ROWS), "vectors")
     asked = base.filter("asks").groupBy("id").agg(F.min("vector").alias("vector"))
-    asked, asked_path = stored(packed(asked.coalesce(8), "id", "vector", scale, QUERY_ROWS), "queries")
+    # Few enough partitions that blocks of queries are full, and more of them with more queries.
+    parts = -(-base.filter("asks").count() // QUERY_ROWS)
+    asked, asked_path = stored(packed(asked.coalesce(max(1, parts)), "id", "vector", scale, QUERY_ROWS), "queries")
     n_blocks, n_asked = max(1, blocks.count()), max(1, asked.count())
     bound = blocks.agg(F.max("longest")).first()[0] or 0.0
     limit = int(bound * bound) + 2  # every |score| is below it
