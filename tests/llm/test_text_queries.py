@@ -112,10 +112,11 @@ def test_licenses(spark, texts):
 
 
 def test_quality(spark):
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
-    found = rows(spark, "op10_quality")
+    folder = "/root/testdata/sf0.01"  # the smallest has only 19 labels held out
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    found = registered.queries()["op10_quality"](spark, folder).collect()
     for r in found:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
         assert r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1
     held = [r.predicted == labels[r.doc_id] for r in found if r.held_out and r.doc_id in labels]
-    assert np.mean(held) > 0.9
+    assert len(held) > 50 and np.mean(held) > 0.95
