@@ -317,9 +317,10 @@ def l6(t: Tables) -> DataFrame:
 
 # Shortest paths --------------------------------------------------------------------------
 
-# Pairs to measure: each part against the parts that its last two line items name.
+# Pairs to measure: each supplier against the parts that follow its own ones in an order.
 PAIRS_SQL = """pairs AS (
-  SELECT DISTINCT 'raw.supplier.s' || s_suppkey AS source, 'stage.part.p' || s_nationkey AS target FROM supplier
+  SELECT DISTINCT 'raw.supplier.s' || a.l_suppkey AS source, 'stage.part.p' || b.l_partkey AS target
+  FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
 )"""
 
 
@@ -334,10 +335,12 @@ PAIRS_SQL = """pairs AS (
     FROM pairs p LEFT JOIN hops h ON h.root = p.source AND h.node = p.target GROUP BY p.source, p.target""",
 )
 def g10(t: Tables) -> DataFrame:
-    pairs = t["supplier"].select(
-        F.concat(F.lit("raw.supplier.s"), "s_suppkey").alias("source"),
-        F.concat(F.lit("stage.part.p"), "s_nationkey").alias("target"),
+    line = F.col("l_linenumber")
+    own = t["lineitem"].select("l_orderkey", line, F.concat(F.lit("raw.supplier.s"), "l_suppkey").alias("source"))
+    after = t["lineitem"].select(
+        "l_orderkey", (line - 1).alias("l_linenumber"), F.concat(F.lit("stage.part.p"), "l_partkey").alias("target")
     )
+    pairs = own.join(after, ["l_orderkey", "l_linenumber"]).select("source", "target")
     with inputs.graph(t) as graph:
         return paths.lineage_distances(graph, pairs)
 

@@ -283,19 +283,23 @@ def s18(t: Tables) -> DataFrame:
 @query(
     "u1_upsert",
     """WITH latest AS (
-      SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_event, arg_max(value, (ts, event_id)) AS last_value
-      FROM events GROUP BY user_id)
-    SELECT coalesce(c.c_custkey, l.user_id) AS id, c.c_name AS name,
-      CASE WHEN l.user_id IS NULL THEN c.c_mktsegment ELSE last_event END AS state, l.last_value
-    FROM (SELECT * FROM customer WHERE c_custkey > 20) c FULL JOIN latest l ON l.user_id = c.c_custkey""",
+      SELECT CASE WHEN event_type = 'error' THEN -user_id ELSE user_id END AS user,
+        arg_max(event_type, (ts, event_id)) AS last_event, arg_max(value, (ts, event_id)) AS last_value
+      FROM events GROUP BY ALL)
+    SELECT coalesce(c.c_custkey, l.user) AS id, c.c_name AS name,
+      CASE WHEN l.user IS NULL THEN c.c_mktsegment ELSE last_event END AS state, l.last_value
+    FROM customer c FULL JOIN latest l ON l.user = c.c_custkey""",
 )
 def u1(t: Tables) -> DataFrame:
-    """Customers, with the state of those that occur in the events replaced by their last one."""
-    current = t["customer"].filter("c_custkey > 20").select(
+    """Customers, with the state of those that occur in the events replaced by their last one.
+
+    Errors go by another key than customers have, so they are inserted.
+    """
+    current = t["customer"].select(
         F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("state")
     )
     updates = t["events"].select(
-        F.col("user_id").alias("id"),
+        F.when(F.col("event_type") == "error", -F.col("user_id")).otherwise(F.col("user_id")).alias("id"),
         F.col("event_type").alias("state"),
         F.col("value").alias("last_value"),
         F.struct("ts", "event_id").alias("version"),
