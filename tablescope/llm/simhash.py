@@ -323,29 +323,39 @@ def links(fps: DataFrame, settings: Settings) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(fp, label) for every node of (fp, other) edges: the smallest node that it can reach.
 
-    Every round takes the least label among a node and its neighbours and then the label of that
-    label, and ends when nothing changes. Each step is a stored table, so plans stay short, a lost
-    executor costs one step, and both sides of each join can be split where a node is busy.
+    Each round hooks every node to the smallest among itself and its neighbours, follows one more
+    hook, and contracts the edges to those between different labels, which leaves few after the
+    first round. Hooks only lead to smaller nodes, so the last label of a component is its
+    smallest node. Each step is a stored table, so plans stay short, a lost executor costs one
+    step, and both sides of each join can be split where a node is busy.
     """
     spark = edges.sparkSession
-    both = edges.unionAll(edges.select(F.col("other").alias("fp"), F.col("fp").alias("other"))).distinct()
-    both, both_path = stored(both, "edges")
-    labels, path = stored(both.groupBy("fp").agg(F.least("fp", F.min("other")).alias("label")), "labels")
+    pair = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
+
+    def contracted(ends: DataFrame) -> tuple[DataFrame, str]:
+        return stored(ends.filter("u <> v").select(*pair).distinct(), "pairs")
+
+    pairs, path = contracted(edges.select(F.col("fp").alias("u"), F.col("other").alias("v")))
+    labels, label_path = None, None
     while True:
-        near = both.join(labels.select(F.col("fp").alias("other"), "label"), "other")
-        least, least_path = stored(near.groupBy("fp").agg(F.min("label").alias("least")), "least")
-        hooked, hooked_path = stored(
-            labels.join(least, "fp").select("fp", F.least("label", "least").alias("label"), F.col("label").alias("old")),
-            "hooked",
-        )
-        of_label = hooked.select(F.col("fp").alias("label"), F.col("label").alias("further"))
-        jumped = hooked.join(of_label, "label").select("fp", F.least("label", "further").alias("label"), "old")
-        new, new_path = stored(jumped, "labels")
-        changed = new.filter(F.col("label") != F.col("old")).limit(1).count()
-        free(spark, path, least_path, hooked_path)
-        labels, path = new.drop("old"), new_path
-        if not changed:
-            free(spark, both_path)
+        both = pairs.toDF("fp", "near").unionAll(pairs.select(F.col("v").alias("fp"), F.col("u").alias("near")))
+        hooked = both.groupBy("fp").agg(F.least("fp", F.min("near")).alias("label"))
+        hooked, hooked_path = stored(hooked, "hooked")
+        further = hooked.select(F.col("fp").alias("label"), F.col("label").alias("further"))
+        step, step_path = stored(hooked.join(further, "label").select("fp", F.col("further").alias("label")), "step")
+        old_paths = [path, hooked_path, *([label_path] if label_path else [])]
+        if labels is None:
+            labels, label_path = stored(step, "labels")
+        else:
+            more = step.select(F.col("fp").alias("label"), F.col("label").alias("new"))
+            moved = labels.join(more, "label", "left").select("fp", F.coalesce("new", "label").alias("label"))
+            labels, label_path = stored(moved, "labels")
+        ends = pairs.join(step.toDF("u", "lu"), "u").select("lu", "v")
+        ends = ends.join(step.toDF("v", "lv"), "v").select(F.col("lu").alias("u"), F.col("lv").alias("v"))
+        pairs, path = contracted(ends)
+        free(spark, *old_paths, step_path)
+        if pairs.isEmpty():
+            free(spark, path)
             return labels
 
 
