@@ -25,6 +25,8 @@ POOLED, DIAGONAL = 0.05, 0.05
 FLOOR = 1e-3
 # Log-density differences are damped before the posterior, for the statistics overlap.
 TEMPER = 0.5
+# With so many words the densities count by half; a text without words has the prior's score.
+SHORT = 20
 # Things that every share gets on both sides, so that short texts say little.
 SMOOTHING = 2.0
 # Labels that a model is fitted to at most, about.
@@ -116,7 +118,9 @@ class Model:
             -0.5 * ((((x - mean) @ factor.T) ** 2).sum(axis=1) + log_det)
             for mean, factor, log_det in zip(self.means, self.factors, self.log_dets)
         ]
-        difference = TEMPER * (logs[1] - logs[0]) + np.log(self.priors[1] / self.priors[0])
+        words = np.expm1(x[:, STATISTICS.index("log_words")])
+        evidence = TEMPER * words / (words + SHORT)
+        difference = evidence * (logs[1] - logs[0]) + np.log(self.priors[1] / self.priors[0])
         return 1 / (1 + np.exp(-np.clip(difference, -700, 700)))
 
 
