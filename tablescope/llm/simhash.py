@@ -5,7 +5,8 @@ are linked when they differ in ``max_bits`` bits or fewer, and linked ones form
 
 Distinct fingerprints are dealt into buckets by bands of their bits. With more bands than
 ``max_bits`` that cover the fingerprint, two linked fingerprints agree in one band at least, so no
-link is lost. Inside a bucket stands the index: fingerprints are sorted by their rank in the
+link is lost. Near copies are dealt by shingles instead: two sets of shingles with the wanted
+similarity share one of their first shingles by hash, so no bits need be equal. Inside a bucket stands the index: fingerprints are sorted by their rank in the
 binary-reflected Gray code, runs of neighbours become nodes that hold the bits all of them share
 (a mask and a pattern), and runs of nodes become nodes above. A search goes down from the top,
 adds up the differences in the bits that each level settles, and leaves a whole group as soon as
@@ -17,6 +18,7 @@ per link.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,13 +39,18 @@ SEED = 42
 
 @dataclass(frozen=True)
 class Settings:
-    """words: of a shingle; lanes: 64-bit lanes of a fingerprint; bands of band_bits each."""
+    """words: of a shingle; lanes: 64-bit lanes of a fingerprint; bands of band_bits each.
+
+    With a ``similarity``, buckets go by shingles instead of bands (see ``shingled``), and the
+    fingerprint counts each distinct shingle once.
+    """
 
     words: int = 5
     lanes: int = 4
     max_bits: int = 54
     bands: int = 21
     band_bits: int = 12
+    similarity: float = 0.0
 
     def __post_init__(self):
         if self.bands * self.band_bits > 64 * self.lanes:
@@ -59,9 +66,8 @@ class Settings:
 THREE_BITS = Settings(words=3, lanes=1, max_bits=3, bands=4, band_bits=16)
 # For near copies with a similarity of 0.8 or more of their shingles of five words. At 0.8 two
 # fingerprints differ in 39 of 256 bits on average, give or take 6, so 54 bits lose hardly any;
-# at 0.5 they differ in 69, at 0 in 128. Two fingerprints at 39 differing bits share a band of
-# 12 bits with a probability of 0.96.
-NEAR_COPIES = Settings()
+# at 0.5 they differ in 69, at 0 in 128.
+NEAR_COPIES = Settings(similarity=0.8)
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -83,6 +89,11 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
 def fingerprint(text: str | None, settings: Settings) -> bytes:
     """The lanes, each as eight bytes, highest bit first; zero for a text without words."""
     hashes = shingle_hashes(text, settings.words)
+    return folded(np.unique(hashes) if settings.similarity else hashes, settings)
+
+
+def folded(hashes: np.ndarray, settings: Settings) -> bytes:
+    """The fingerprint of shingle hashes."""
     out = []
     for lane in range(settings.lanes):
         own, counts = hashes, np.zeros(64, dtype=np.int64)
@@ -98,7 +109,11 @@ def fingerprint(text: str | None, settings: Settings) -> bytes:
 
 
 def fingerprints(df: DataFrame, key: str, text: str, settings: Settings = NEAR_COPIES) -> DataFrame:
-    """key, mark (a hash of the text) and fp (binary) of every row; a null text has no words."""
+    """key, mark (a hash of the text) and fp (binary) of every row; a null text has no words.
+
+    With a similarity, also ``shingles``, the distinct shingle hashes in order, and ``node``, a
+    hash of all of them.
+    """
     rows = df.select(df[key].alias("key"), F.xxhash64(df[text]).alias("mark"), df[text].alias("text"))
     kind = df.schema[key].dataType.simpleString()
 
@@ -106,12 +121,19 @@ def fingerprints(df: DataFrame, key: str, text: str, settings: Settings = NEAR_C
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                found = [fingerprint(t, settings) for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(found, type=pa.binary())], names=["key", "mark", "fp"]
-                )
+                columns, names = [part.column(0), part.column(1)], ["key", "mark", "fp"]
+                if settings.similarity:
+                    sets = [np.unique(shingle_hashes(t, settings.words)) for t in part.column(2).to_pylist()]
+                    found = [folded(own, settings) for own in sets]
+                    spelled = [own.tobytes() for own in sets]
+                    nodes = [xxhash.xxh3_128_digest(own) for own in spelled]
+                    more, names = [pa.array(nodes, type=pa.binary()), pa.array(spelled, type=pa.binary())], [*names, "node", "shingles"]
+                else:
+                    found, more = [fingerprint(t, settings) for t in part.column(2).to_pylist()], []
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, type=pa.binary()), *more], names=names)
 
-    return rows.mapInArrow(hashed, f"key {kind}, mark long, fp binary")
+    further = ", node binary, shingles binary" if settings.similarity else ""
+    return rows.mapInArrow(hashed, f"key {kind}, mark long, fp binary{further}")
 
 
 def lanes_of(column, lanes: int) -> np.ndarray:
@@ -278,6 +300,40 @@ def banded(fps: DataFrame, settings: Settings) -> DataFrame:
     return fps.select("fp").mapInArrow(bands, "bucket long, fp binary")
 
 
+def prefix(shingles: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles by hash, so many that two sets of this similarity share one of them.
+
+    Such sets share ``similarity`` of the larger one at least. The first shared shingle by hash
+    has that many less one behind it in either set, so it is not among the last of either.
+    """
+    return shingles[: len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1]
+
+
+def shingled(rows: DataFrame, settings: Settings) -> DataFrame:
+    """(bucket, fp): a row per shingle in the prefix of every set; a task gives each set once."""
+
+    def dealt(batches):
+        seen = set()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                fps, buckets, sizes = [], [], []
+                for node, fp, shingles in zip(*(column.to_pylist() for column in part.columns)):
+                    if shingles and node not in seen:
+                        seen.add(node)
+                        own = prefix(np.frombuffer(shingles, dtype=np.int64), settings.similarity)
+                        fps.append(fp)
+                        buckets.append(own)
+                        sizes.append(len(own))
+                if fps:
+                    at = pa.array(np.repeat(np.arange(len(fps)), sizes))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(buckets)), pa.array(fps, type=pa.binary()).take(at)], names=["bucket", "fp"]
+                    )
+
+    return rows.select("node", "fp", "shingles").mapInArrow(dealt, "bucket long, fp binary")
+
+
 def block_pairs(hot: DataFrame, settings: Settings) -> DataFrame:
     """(left, right, fp): rows of hot buckets, once for each pair of blocks that may hold a link."""
 
@@ -307,7 +363,12 @@ def block_pairs(hot: DataFrame, settings: Settings) -> DataFrame:
 
 def links(fps: DataFrame, settings: Settings) -> DataFrame:
     """(fp, other) rows that connect all linked fingerprints of ``fps``, which are distinct."""
-    rows, path = stored(banded(fps, settings), "bands")
+    return bucket_links(banded(fps, settings), settings)
+
+
+def bucket_links(rows: DataFrame, settings: Settings) -> DataFrame:
+    """(fp, other) rows that connect the linked fingerprints of each bucket of (bucket, fp) rows."""
+    rows, path = stored(rows, "bands")
     sizes = rows.groupBy("bucket").count().filter(F.col("count") > BLOCK).select("bucket")
     hot, hot_path = stored(sizes, "hot-buckets")
     if hot.isEmpty():
@@ -316,7 +377,7 @@ def links(fps: DataFrame, settings: Settings) -> DataFrame:
         cold = linked_in_groups(rows.join(hot, "bucket", "left_anti"), ["bucket"], settings)
         pairs = block_pairs(rows.join(hot, "bucket", "left_semi").select("bucket", "fp"), settings)
         found, _ = stored(cold.unionAll(linked_in_groups(pairs, ["bucket", "left", "right"], settings)), "links")
-    free(fps.sparkSession, path, hot_path)
+    free(rows.sparkSession, path, hot_path)
     return found
 
 
@@ -369,7 +430,10 @@ def near_duplicates(df: DataFrame, key: str, text: str, settings: Settings = NEA
     """
     spark = df.sparkSession
     rows, _ = stored(fingerprints(df, key, text, settings), "fingerprints")
-    found = links(rows.select("fp").distinct(), settings)
+    if settings.similarity:
+        found = bucket_links(shingled(rows, settings), settings)
+    else:
+        found = links(rows.select("fp").distinct(), settings)
     labels = components(found)
     labelled = rows.groupBy("fp").agg(F.min("key").alias("least")).join(labels, "fp", "left")
     labelled, path = stored(labelled.withColumn("label", F.coalesce("label", "fp")), "labelled")

@@ -139,6 +139,52 @@ def test_near_copies_are_found_and_others_are_left(spark):
     assert all(rows[g * 10 + n].component == g * 10 + n for g in range(40) for n in (0, 2))
 
 
+def similarity(a, b):
+    a, b = (set(simhash.shingle_hashes(t, 5).tolist()) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def similar_pairs(r, lengths, wanted):
+    """Pairs of a text and one with words replaced, of a similarity between the two bounds."""
+    out = []
+    for n in lengths:
+        while True:
+            words = [f"w{r.randrange(10**6)}" for _ in range(n)]
+            at = r.randrange(n)
+            new = [f"n{r.randrange(10**6)}" if at <= k < at + n // 8 or (n < 20 and k == n - 1) else w for k, w in enumerate(words)]
+            for edits in range(r.randrange(6)):
+                new[r.randrange(n)] = f"m{r.randrange(10**6)}"
+            if wanted[0] <= similarity(" ".join(words), " ".join(new)) <= wanted[1]:
+                out.append((" ".join(words), " ".join(new)))
+                break
+    return out
+
+
+def test_no_pair_within_the_bits_is_lost(spark):
+    """Fingerprints of near copies that share no band are linked as a comparison of all pairs would."""
+    r = random.Random(3)
+    pairs = similar_pairs(r, [r.randrange(100, 400) for _ in range(200)], (0.8, 0.85))
+    own = simhash.NEAR_COPIES
+    wide = [[int.from_bytes(simhash.fingerprint(t, own), "big") for t in pair] for pair in pairs]
+    near = [bin(a ^ b).count("1") <= own.max_bits for a, b in wide]
+    band = lambda x, n: x >> 256 - 12 * (n + 1) & 4095
+    assert any(ok and all(band(a, n) != band(b, n) for n in range(21)) for ok, (a, b) in zip(near, wide))
+    texts = {2 * i + n: t for i, pair in enumerate(pairs) for n, t in enumerate(pair)}
+    rows = by(simhash.near_duplicates(documents(spark, texts, ()), "doc_id", "text"))
+    assert all(rows[2 * i + 1].component == 2 * i for i, ok in enumerate(near) if ok)
+
+
+@pytest.mark.parametrize("sizes", [(1, 9), (10, 60), (100, 400)])
+def test_sets_of_the_similarity_share_a_prefix(sizes):
+    r = np.random.default_rng(8)
+    for _ in range(500):
+        n = int(r.integers(*sizes))
+        a = r.integers(0, 2**63, n)
+        b = np.concatenate([a[int(r.integers(0, n // 5 + 1)) :], r.integers(0, 2**63, int(r.integers(0, n // 8 + 1)))])
+        if 10 * len(np.intersect1d(a, b)) >= 8 * len(np.union1d(a, b)):
+            assert set(simhash.prefix(np.unique(a), 0.8)) & set(simhash.prefix(np.unique(b), 0.8))
+
+
 def test_null_keys_and_empty_frames(spark):
     assert simhash.near_duplicates(empty(spark), "doc_id", "text", THREE_BITS).count() == 0
     assert simhash.first_of_groups(empty(spark), "doc_id", "text").count() == 0
