@@ -13,7 +13,8 @@ adds up the differences in the bits that each level settles, and leaves a whole
 the sum exceeds ``max_bits``. A bucket with more than ``BLOCK`` fingerprints is cut into blocks of
 Gray neighbours, and the pairs of blocks whose shared bits allow a link become tasks of their own.
 Inside a task links are merged at once: at most one row per fingerprint leaves it, never a pair
-per link.
+per link. For near copies these links are candidates; inside each component of them the sets of
+shingles are compared, and similar sets form the components that count.
 """
 
 from __future__ import annotations
@@ -41,8 +42,9 @@ SEED = 42
 class Settings:
     """words: of a shingle; lanes: 64-bit lanes of a fingerprint; bands of band_bits each.
 
-    With a ``similarity``, buckets go by shingles instead of bands (see ``shingled``), and the
-    fingerprint counts each distinct shingle once.
+    With a ``similarity``, buckets go by shingles instead of bands (see ``shingled``), the
+    fingerprint counts each distinct shingle once, and fingerprints that differ in ``max_bits``
+    are only candidates: their texts are linked if their sets of shingles are that similar.
     """
 
     words: int = 5
@@ -64,10 +66,14 @@ class Settings:
 
 # One 64-bit lane, links at three bits: four bands of 16 bits lose nothing.
 THREE_BITS = Settings(words=3, lanes=1, max_bits=3, bands=4, band_bits=16)
-# For near copies with a similarity of 0.8 or more of their shingles of five words. At 0.8 two
-# fingerprints differ in 39 of 256 bits on average, give or take 6, so 54 bits lose hardly any;
-# at 0.5 they differ in 69, at 0 in 128.
-NEAR_COPIES = Settings(similarity=0.8)
+# For near copies with a similarity of 0.8 or more of their shingles of five words. The bits only
+# choose candidates, whose shingles are then compared. At 0.8 two fingerprints differ in 39 of 256
+# bits on average, give or take 6, in 48 for sets of four and five shingles; at 0 in 128, give or
+# take 8. So 72 bits leave out unrelated texts and next to no near copies.
+NEAR_COPIES = Settings(max_bits=72, similarity=0.8)
+# Sets of one block when the shingles of candidates are compared, on average, and distinct
+# shingles that are counted at once.
+SETS, COLUMNS = 128, 8192
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -381,6 +387,76 @@ def bucket_links(rows: DataFrame, settings: Settings) -> DataFrame:
     return found
 
 
+def similar_in_block(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Labels of the components that pairs of sets with this similarity make."""
+    sizes = np.array([len(own) for own in sets], dtype=np.int64)
+    of = np.repeat(np.arange(len(sets)), sizes)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1  # only shingles of several sets count
+    shared = times[column] > 1
+    of, column = of[shared], number[column[shared]]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    common = np.zeros((len(sets), len(sets)), dtype=np.float64)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        holds = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        holds[of[a:b], column[a:b] - first] = 1
+        common += holds @ holds.T
+    either = sizes[:, None] + sizes[None] - common
+    i, j = np.nonzero(np.triu(common >= similarity * either - 1e-9, 1))
+    return merged(np.arange(len(sets)), i, j)
+
+
+def confirmed(rows: DataFrame, candidates: DataFrame, settings: Settings) -> DataFrame:
+    """(fp, other) edges between the nodes of ``rows`` whose sets of shingles are similar.
+
+    ``candidates`` are (fp, label) of linked fingerprints. Sets under one label are dealt into
+    blocks by their hash, and every pair of blocks is a group of its own in which all sets are
+    compared, so that a large label is spread over tasks. At most one row per set leaves a group.
+    """
+    nodes = rows.groupBy("node").agg(F.min("row").alias("row"), F.first("fp").alias("fp"))
+    nodes = nodes.join(candidates, "fp", "left").select("node", "row", F.coalesce("label", "fp").alias("label"))
+    nodes, path = stored(nodes, "nodes")
+    blocks = nodes.groupBy("label").count().filter("count > 1")
+    blocks = blocks.select("label", F.ceil(F.col("count") / SETS).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    wanted = nodes.join(blocks, "label").withColumn("block", own).select("row", "label", "block", others.alias("others"))
+    members = rows.select("row", "node", "shingles").join(wanted, "row")
+    members = members.withColumn("with", F.explode("others"))
+    # A block beside itself is part of every pair; only where it is alone does it need a group.
+    members = members.filter((F.col("with") != F.col("block")) | (F.size("others") == 1))
+    group = F.xxhash64("label", F.least("block", "with"), F.greatest("block", "with")).alias("group")
+    dealt = members.select(group, "node", "shingles").repartition("group").sortWithinPartitions("group")
+
+    def edges(nodes, sets):
+        labels = similar_in_block(sets, settings.similarity)
+        member = np.flatnonzero(labels != np.arange(len(labels)))
+        return [nodes[i] for i in member], [nodes[labels[i]] for i in member]
+
+    def compared(batches):
+        group, nodes, sets = None, [], []
+        for batch in batches:
+            found = [], []
+            for here, node, shingles in zip(*(column.to_pylist() for column in batch.columns)):
+                if here != group:
+                    if len(nodes) > 1:
+                        for all_of, new in zip(found, edges(nodes, sets)):
+                            all_of.extend(new)
+                    group, nodes, sets = here, [], []
+                nodes.append(node)
+                sets.append(np.frombuffer(shingles, dtype=np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(side, type=pa.binary()) for side in found], names=["fp", "other"])
+        if len(nodes) > 1:
+            last = edges(nodes, sets)
+            yield pa.RecordBatch.from_arrays([pa.array(side, type=pa.binary()) for side in last], names=["fp", "other"])
+
+    found, _ = stored(dealt.mapInArrow(compared, "fp binary, other binary"), "confirmed")
+    free(rows.sparkSession, path)
+    return found
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(fp, label) for every node of (fp, other) edges: the smallest node that it can reach.
 
@@ -423,25 +499,32 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, key: str, text: str, settings: Settings = NEAR_COPIES) -> DataFrame:
     """key, mark, fp, root and component of every row: the smallest key that links lead to.
 
-    ``root`` is the smallest fingerprint of the component and names it even without keys.
-    A null or empty text has the zero fingerprint, which is linked like any other. Repeated rows
-    each give a row. Null keys count only where a component has no other. An empty frame gives
-    no rows; further columns are not read.
+    ``root`` is the smallest fingerprint of the component (with a similarity, the smallest hash of
+    a set of shingles) and names it even without keys. Texts without words have the zero
+    fingerprint, linked like any other, and with a similarity are copies of each other only.
+    Repeated rows each give a row. Null keys count only where a component has no other. An empty
+    frame gives no rows; further columns are not read.
     """
     spark = df.sparkSession
-    rows, _ = stored(fingerprints(df, key, text, settings), "fingerprints")
+    rows = fingerprints(df, key, text, settings)
     if settings.similarity:
-        found = bucket_links(shingled(rows, settings), settings)
+        rows, _ = stored(rows.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+        candidates = components(bucket_links(shingled(rows, settings), settings))
+        labels = components(confirmed(rows, candidates, settings))
+        rows = rows.select("key", "mark", "fp", "node")
+        name = "node"
     else:
-        found = links(rows.select("fp").distinct(), settings)
-    labels = components(found)
-    labelled = rows.groupBy("fp").agg(F.min("key").alias("least")).join(labels, "fp", "left")
-    labelled, path = stored(labelled.withColumn("label", F.coalesce("label", "fp")), "labelled")
+        rows, _ = stored(rows, "fingerprints")
+        labels = components(links(rows.select("fp").distinct(), settings))
+        name = "fp"
+    labels = labels.withColumnRenamed("fp", name)
+    labelled = rows.groupBy(name).agg(F.min("key").alias("least")).join(labels, name, "left")
+    labelled, path = stored(labelled.withColumn("label", F.coalesce("label", name)), "labelled")
     least = labelled.groupBy("label").agg(F.min("least").alias("component"))
     least, least_path = stored(least, "components")
-    of_fp, _ = stored(labelled.select("fp", "label").join(least, "label"), "classes")
+    classes, _ = stored(labelled.select(name, "label").join(least, "label"), "classes")
     free(spark, path, least_path)
-    return rows.join(of_fp, "fp").select(F.col("key").alias(key), "mark", "fp", F.col("label").alias("root"), "component")
+    return rows.join(classes, name).select(F.col("key").alias(key), "mark", "fp", F.col("label").alias("root"), "component")
 
 
 def first_of_groups(df: DataFrame, key: str, text: str, settings: Settings = NEAR_COPIES) -> DataFrame:

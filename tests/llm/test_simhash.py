@@ -185,6 +185,39 @@ def test_sets_of_the_similarity_share_a_prefix(sizes):
             assert set(simhash.prefix(np.unique(a), 0.8)) & set(simhash.prefix(np.unique(b), 0.8))
 
 
+@pytest.mark.parametrize("columns", [8192, 7])
+def test_similar_sets_of_a_block(monkeypatch, columns):
+    monkeypatch.setattr(simhash, "COLUMNS", columns)
+    sets = [[1, 2, 3, 4, 5], [1, 2, 3, 4], [1, 2, 3], [], [*range(10, 30)], [*range(12, 32)], [*range(14, 34)]]
+    labels = simhash.similar_in_block([np.array(own, dtype=np.uint64) for own in sets], 0.8)
+    assert labels.tolist() == [0, 0, 2, 3, 4, 4, 4]
+
+
+@pytest.mark.parametrize("sets", [128, 4])
+def test_components_are_those_of_the_similarity(spark, monkeypatch, sets):
+    """Texts that share much, but not enough, stay apart; small blocks change nothing."""
+    monkeypatch.setattr(simhash, "SETS", sets)
+    r = random.Random(21)
+    texts = {n: t for n, t in enumerate([None, "", "  ", "one two three four five six", "one two three four five six."])}
+    for group in range(12):
+        words = [f"w{r.randrange(10**6)}" for _ in range(200)]
+        for n in range(8):  # a template with some words of its own
+            own = len(words) * r.choice([2, 5, 8, 12, 20, 30]) // 100
+            texts[100 + 10 * group + n] = " ".join(words[:-own] + [f"x{r.randrange(10**6)}" for _ in range(own)])
+    for n in range(30):  # exactly six words: now and then no bit, or few, is set
+        texts[1000 + n] = " ".join(f"y{r.randrange(10**6)}" for _ in range(6))
+    hashes = {i: frozenset(simhash.shingle_hashes(t, 5).tolist()) for i, t in texts.items()}
+    expected = {i: i for i in texts}
+    for _ in texts:
+        for a in texts:
+            for b in texts:
+                x, y = hashes[a], hashes[b]
+                if expected[a] < expected[b] and 10 * len(x & y) >= 8 * len(x | y):
+                    expected[b] = expected[a]
+    rows = by(simhash.near_duplicates(documents(spark, texts, ()), "doc_id", "text"))
+    assert {i: r.component for i, r in rows.items()} == expected
+
+
 def test_null_keys_and_empty_frames(spark):
     assert simhash.near_duplicates(empty(spark), "doc_id", "text", THREE_BITS).count() == 0
     assert simhash.first_of_groups(empty(spark), "doc_id", "text").count() == 0
