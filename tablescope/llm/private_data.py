@@ -12,6 +12,8 @@ are private too, wherever such a pattern precedes them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,6 +109,52 @@ def base_spans(text: Column, kind: str) -> Column:
     return spans
 
 
+SPANS = "array<struct<kind:string,start:long,end:long>>"
+
+
+def merged(spans: Column) -> Column:
+    """Spans by start, those that overlap as one; its kind is that of the first, then longest."""
+    place = lambda kind: F.array_position(F.array(*map(F.lit, KINDS)), kind)
+    ordered = F.array_sort(
+        F.transform(
+            spans,
+            lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), place(s["kind"]).alias("place"), s["kind"].alias("kind")),
+        )
+    )
+
+    def joined(found, s):
+        one = F.struct(s["kind"].alias("kind"), s["start"].alias("start"), (-s["back"]).alias("end"))
+        last = F.element_at(found, -1)
+        longer = F.struct(last["kind"].alias("kind"), last["start"].alias("start"), F.greatest(last["end"], -s["back"]).alias("end"))
+        overlaps = (F.size(found) > 0) & (F.try_element_at(found, F.lit(-1))["end"] > s["start"])
+        return F.when(overlaps, F.concat(F.slice(found, F.lit(1), F.size(found) - 1), F.array(longer))).otherwise(
+            F.concat(found, F.array(one))
+        )
+
+    return F.aggregate(ordered, F.array().cast(SPANS), lambda found, s: joined(found, s).cast(SPANS))
+
+
+def replaced(text: Column, spans: Column, name: Callable[[Column, Column], Column]) -> Column:
+    """A text with each of its spans, which are merged, replaced by ``name`` of its kind and text."""
+
+    def pieces(own):
+        def piece(s, n):
+            before = F.when(n > 0, F.get(own, n - 1)["end"]).otherwise(F.lit(0))
+            between = F.substring(text, (before + 1).cast("int"), (s["start"] - before).cast("int"))
+            hit = F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+            return F.concat(between, name(s["kind"], hit))
+
+        rest = F.substring(text, (F.element_at(own, -1)["end"] + 1).cast("int"), F.char_length(text))
+        return F.concat(F.array_join(F.transform(own, piece), ""), rest)
+
+    return F.when(F.size(spans) > 0, let(spans, pieces)).otherwise(text)
+
+
+def core(hit: Column) -> Column:
+    """An instance without the marks around it, in lower case."""
+    return F.lower(F.regexp_replace(hit, AROUND, ""))
+
+
 def core(hit: Column) -> Column:
     """An instance without the marks around it, in lower case."""
     return F.lower(F.regexp_replace(hit, AROUND, ""))
@@ -231,45 +279,21 @@ def digests(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def masked(text: Column, kind: str) -> Column:
-    """A text with its valid matches of a kind replaced by the kind's name."""
-    name = F.lit(f"[{kind.upper()}]")
-
-    def joined(cut):
-        hits = F.transform(cut["hits"], lambda hit: F.when(valid(kind, hit), name).otherwise(hit))
-        return F.array_join(F.zip_with(cut["rests"], F.concat(hits, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-
-    return let(cuts(text, PATTERNS[kind]), joined)
-
-
 def redact(df: DataFrame, key: str, text: str) -> DataFrame:
     """All rows and columns of ``df``; in its texts private data gives way to ``[KIND]``.
 
-    Null stays null. Kinds are replaced one after the other as listed, discovered instances
-    first. Where nothing is discovered, texts are not shuffled.
+    Null stays null. The spans of ``find`` are replaced in one pass, those that overlap as one.
+    Where nothing is discovered, texts are not shuffled.
     """
-    rows, path = stored(looked_through(df, key, text), "looked-through")
+    rows, _ = stored(looked_through(df, key, text), "looked-through")
     found = discovered(rows)
-    out, names = df, df.columns
+    out, extra = df, F.array().cast(SPANS)
     if not found.isEmpty():
-        marks = found.select("key", "mark", F.struct("core", "kind").alias("one"))
-        marks = marks.groupBy(F.col("key").alias("_key"), F.col("mark").alias("_mark")).agg(F.collect_set("one").alias("_found"))
+        marks = found.groupBy(F.col("key").alias("_key"), F.col("mark").alias("_mark"))
+        marks = marks.agg(F.collect_set(F.struct("kind", "start", "end")).alias("_found"))
         same = df[key].eqNullSafe(F.col("_key")) & (F.xxhash64(df[text]) == F.col("_mark"))
-        out = df.join(marks, same, "left")
-
-        def named(hit):
-            best = F.filter("_found", lambda one: one["core"] == core(hit))
-            own = F.regexp_extract(hit, r"\A([^A-Za-z0-9+]*+)(.*?)([^A-Za-z0-9]*+)\z", 1)
-            tail = F.regexp_extract(hit, r"[^A-Za-z0-9]*+\z", 0)
-            return F.when(F.size(best) > 0, F.concat(own, F.lit("["), F.upper(best[0]["kind"]), F.lit("]"), tail)).otherwise(hit)
-
-        def joined(cut):
-            hits = F.concat(F.transform(cut["hits"], named), F.array(F.lit("")))
-            return F.array_join(F.zip_with(cut["rests"], hits, lambda a, b: F.concat(a, b)), "")
-
-        out = out.withColumn(text, F.when(F.col("_found").isNull(), F.col(text)).otherwise(let(cuts(F.col(text), INSTANCE), joined)))
-        out = out.select(*names)
-    for kind in KINDS:
-        new = masked(F.col(text), kind)
-        out = out.withColumn(text, F.when(F.col(text).contains("@"), new).otherwise(F.col(text)) if kind == "email" else new)
-    return out
+        out, extra = df.join(marks, same, "left"), F.coalesce(F.col("_found"), extra)
+    own = F.col(text)
+    base = [base_spans(own, kind) for kind in KINDS]
+    named = let(merged(F.concat(*base, extra)), lambda spans: replaced(own, spans, lambda kind, hit: F.concat(F.lit("["), F.upper(kind), F.lit("]"))))
+    return out.withColumn(text, F.when(own.isNotNull(), named)).select(*df.columns)

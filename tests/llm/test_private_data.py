@@ -111,6 +111,12 @@ def test_redaction(spark):
     assert rows[402].text == "call [PHONE], card [CARD]. 1234 5678"
 
 
+def test_overlapping_spans_are_masked_whole(spark):
+    texts = {1: "call +33.1.42.68.53.00 now", 2: "+33.1.42.68.53.00", 3: "a1.2.3.4@x.org, 1.2.3.4;+1 (555) 555-0100", 4: "é 4111 1111 1111 1111"}
+    rows = {r.doc_id: r.text for r in p.redact(documents(spark, texts, ()), "doc_id", "text").collect()}
+    assert rows == {1: "call [PHONE] now", 2: "[PHONE]", 3: "[EMAIL], [IP];[PHONE]", 4: "é [CARD]"}
+
+
 def test_no_python_in_the_plan(spark):
     plan = p.looked_through(documents(spark), "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
