@@ -1,13 +1,15 @@
 """Private data by bootstrapped contextual extraction, in SQL functions only.
 
 Seed entities are what the base patterns find: e-mail and IP addresses, card and phone numbers.
-Every identifier-like run of a text (it holds a digit or an at sign) is an instance, and the
-two words before it are its context. A pattern is a context read as a kind. Patterns and
-instances form a graph with the numbers of times that they meet. Scores go back and forth in
-rounds: a pattern scores by the share of its meetings that are with instances of its kind, damped
-for few different ones; an instance that is no seed scores by the mean of its patterns. Instances
-that then score ``LEAST_SCORE`` through patterns that met ``LEAST_SEEDS`` different seeds or more
-are private too, wherever such a pattern precedes them.
+Outside of them every identifier-like run of a text (a word that holds a digit or an at sign, or
+groups of digits with blanks and brackets between them) is an unseen instance. The two words
+before either are its context, and a pattern is a context read as a kind. Patterns and instances
+form a graph with the numbers of times that they meet. Scores go back and forth in rounds: a
+pattern that met ``LEAST_SEEDS`` different seeds scores by the share of its kind in its meetings
+with instances of any kind, damped for few; an unseen instance scores by the mean of its patterns
+and then counts by its score; with ``LEAST_SCORE`` it is a seed to patterns, so that new contexts
+enter. Unseen instances without a score are no evidence against a pattern. Instances that score
+``LEAST_SCORE`` at the end are private too, wherever a pattern with that score precedes them.
 """
 
 from __future__ import annotations
@@ -24,8 +26,6 @@ ROUNDS = 3
 LEAST_SEEDS = 5
 LEAST_SCORE = 0.8
 DAMPING = 1.0
-# The words before an instance are looked for among so many characters.
-CONTEXT = 80
 
 # What the patterns say, written so that no text takes more than linear time: a match starts at
 # the edge of a run of its first characters or right after the last match, and no run is re-read.
@@ -35,12 +35,14 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-WHOLE = {kind: rf"\A(?:{pattern})\z" for kind, pattern in PATTERNS.items()}
 PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
-INSTANCE = rf"{PATTERNS['phone']}|(?<!\S)(?=[^\s0-9@]*+[0-9@])\S++"
+GROUPS = r"(?<!\S)\(?[0-9][0-9().-]*+(?:[ \t]++[0-9(][0-9().-]*+)++"
+INSTANCE = rf"{PATTERNS['phone']}|{GROUPS}|(?<!\S)(?=[^\s0-9@]*+[0-9@])\S++"
 # Marks around an instance that do not belong to it.
 AROUND = r"\A[^A-Za-z0-9+]++|[^A-Za-z0-9]++\z"
 STEP = 64
+# Stands for the characters of seeds where unseen instances are looked for.
+SEEN = "\x01"
 
 
 def digits(hit: Column) -> Column:
@@ -66,14 +68,17 @@ def cuts(text: Column, pattern: str) -> Column:
     )
 
 
-def starts(cut: Column) -> Column:
-    """Where each match starts, in code points; sums in steps of 64 keep many matches cheap."""
+def starts(cut: Column, measure: Callable[[Column], Column] = F.char_length) -> Column:
+    """Where each match starts, in code points; sums in steps of 64 keep many matches cheap.
+
+    With another ``measure``, its sum over all that stands before each match.
+    """
     add = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda a, b: a + b)
     # Entry k is the match before piece k and that piece, so match k starts after entries 0 to k.
     lengths = F.zip_with(
         cut["rests"],
         F.concat(F.array(F.lit("")), cut["hits"]),
-        lambda rest, hit: (F.char_length(rest) + F.char_length(hit)).cast("long"),
+        lambda rest, hit: (measure(rest) + measure(hit)).cast("long"),
     )
 
     def located(lens):
@@ -96,22 +101,60 @@ def some(array: Column) -> Column:
     return F.filter(array, lambda x: x.isNotNull())
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    """Spans (kind, start, end) of a kind's valid matches, by start."""
+def spaces(piece: Column) -> Column:
+    """How many runs of white space a piece of text has; none goes on into a match."""
+    return F.size(F.regexp_extract_all(piece, F.lit(r"\s+"), F.lit(0)))
 
-    def span(hit, start):
-        found = F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.char_length(hit)).alias("end"))
-        return F.when(valid(kind, hit), found)
 
-    spans = let(cuts(text, PATTERNS[kind]), lambda cut: some(F.zip_with(cut["hits"], starts(cut), span)))
-    if kind == "email":
-        return F.when(text.contains("@"), spans).otherwise(F.array().cast("array<struct<kind:string,start:long,end:long>>"))
-    return spans
+def met_in(cut: Column, words: Column | None, instance: Callable[[Column, Column, Column], Column]) -> Column:
+    """``instance`` of (match, its start, its context) for all matches, without nulls.
+
+    ``words`` are the pieces of the whole text between white space. The context is the last two
+    words before the match; what is glued to the match from before counts as one. Without words it is empty.
+    """
+
+    def context(before, rest):
+        glued = F.reverse(F.regexp_extract(F.reverse(rest), r"\A\S*+", 0))
+        own = F.slice(words, F.greatest(before, F.lit(1)), F.least(before + 1, F.lit(2)))
+        near = F.filter(F.concat(own, F.array(glued)), lambda word: word != "")
+        return let(near, lambda all_of: F.lower(F.array_join(F.slice(all_of, F.greatest(F.size(all_of) - 1, F.lit(1)), F.lit(2)), " ")))
+
+    if words is None:
+        return some(F.zip_with(cut["hits"], starts(cut), lambda hit, start: instance(hit, start, F.lit(""))))
+    placed = F.arrays_zip(
+        cut["hits"].alias("hit"), starts(cut).alias("start"), starts(cut, spaces).alias("spaces"),
+        F.slice(cut["rests"], F.lit(1), F.size(cut["hits"])).alias("rest"),
+    )
+    return some(
+        F.transform(placed, lambda at: instance(at["hit"], at["start"], context(at["spaces"].cast("int") - 1, at["rest"])))
+    )
 
 
+INSTANCES = "array<struct<context:string,core:string,start:long,end:long,seed:string>>"
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 
 
+def seeds(text: Column, words: Column | None, kind: str) -> Column:
+    """(context, core, start, end, seed) of a kind's valid matches, by start."""
+
+    def seed(hit, start, context):
+        end = start + F.char_length(hit)
+        found = F.struct(
+            context.alias("context"), F.lower(hit).alias("core"), start.alias("start"), end.alias("end"), F.lit(kind).alias("seed")
+        )
+        return F.when(valid(kind, hit), found)
+
+    found = let(cuts(text, PATTERNS[kind]), lambda cut: met_in(cut, words, seed)).cast(INSTANCES)
+    return F.when(text.contains("@"), found).otherwise(F.array().cast(INSTANCES)) if kind == "email" else found
+
+
+def spans_of(instances: Column) -> Column:
+    """(kind, start, end) of seeds."""
+    return F.transform(
+        instances, lambda at: F.struct(at["seed"].alias("kind"), at["start"].alias("start"), at["end"].alias("end"))
+    ).cast(SPANS)
+
+
 def merged(spans: Column) -> Column:
     """Spans by start, those that overlap as one; its kind is that of the first, then longest."""
     place = lambda kind: F.array_position(F.array(*map(F.lit, KINDS)), kind)
@@ -155,50 +198,35 @@ def core(hit: Column) -> Column:
     return F.lower(F.regexp_replace(hit, AROUND, ""))
 
 
-def core(hit: Column) -> Column:
-    """An instance without the marks around it, in lower case."""
-    return F.lower(F.regexp_replace(hit, AROUND, ""))
-
-
-def instances(text: Column) -> Column:
-    """(context, core, start, end) of every identifier-like run; the context may be empty."""
-
-    def context(rest):
-        words = F.regexp_extract(F.right(rest, F.lit(CONTEXT)), r"(?:\S+\s+)?\S+\s*\z", 0)
-        return F.lower(F.trim(F.regexp_replace(words, r"\s+", " ")))
+def unseen(text: Column, words: Column) -> Column:
+    """(context, core, start, end, seed) of every identifier-like run; the seed is null."""
 
-    def instance(hit, start, rest):
+    def instance(hit, start, context):
         first = start + F.char_length(F.regexp_extract(hit, r"\A[^A-Za-z0-9+]*+", 0))
         return let(
             core(hit),
             lambda own: F.when(
                 F.char_length(own) > 0,
                 F.struct(
-                    context(rest).alias("context"), own.alias("core"), first.alias("start"),
-                    (first + F.char_length(own)).alias("end"),
+                    context.alias("context"), own.alias("core"), first.alias("start"),
+                    (first + F.char_length(own)).alias("end"), F.lit(None).cast("string").alias("seed"),
                 ),
             ),
         )
 
-    def all_of(cut):
-        placed = F.zip_with(cut["hits"], starts(cut), lambda hit, start: F.struct(hit.alias("hit"), start.alias("start")))
-        before = F.slice(cut["rests"], F.lit(1), F.size(cut["hits"]))
-        return some(F.zip_with(placed, before, lambda at, rest: instance(at["hit"], at["start"], rest)))
-
-    return let(cuts(text, INSTANCE), all_of)
-
-
-def seed_kind(own: Column) -> Column:
-    """The kind of a whole instance, if it is a seed entity."""
-    kinds = [F.when(own.rlike(WHOLE[kind]) & valid(kind, own), kind) for kind in KINDS]
-    return F.coalesce(*kinds)
+    return let(cuts(text, INSTANCE), lambda cut: met_in(cut, words, instance)).cast(INSTANCES)
 
 
 def looked_through(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, mark (a hash of the text), base spans and instances of every row."""
     rows = df.select(df[key].alias("key"), F.xxhash64(df[text]).alias("mark"), F.coalesce(df[text], F.lit("")).alias("text"))
-    base = F.concat(*(base_spans(F.col("text"), kind) for kind in KINDS))
-    return rows.select("key", "mark", base.alias("base"), instances(F.col("text")).alias("instances"))
+    words = F.split(F.col("text"), r"\s+", -1)
+    rows = rows.select("*", let(words, lambda own: F.concat(*(seeds(F.col("text"), own, kind) for kind in KINDS))).alias("seeds"))
+    rows = rows.select("*", spans_of(F.col("seeds")).alias("base"))
+    # White space stays, so that words are counted alike.
+    masked = replaced(F.col("text"), merged(F.col("base")), lambda kind, hit: F.regexp_replace(hit, r"\S", SEEN))
+    others = let(masked, lambda rest: let(words, lambda own: unseen(rest, own)))
+    return rows.select("key", "mark", "base", F.concat("seeds", others).alias("instances"))
 
 
 def discovered(rows: DataFrame) -> DataFrame:
@@ -210,7 +238,7 @@ def discovered(rows: DataFrame) -> DataFrame:
     """
     met = rows.select("key", "mark", F.explode("instances").alias("at")).select("key", "mark", "at.*")
     met = met.filter("context <> ''")
-    edges = met.groupBy("context", "core").agg(F.count("*").alias("n")).withColumn("seed", seed_kind(F.col("core")))
+    edges = met.groupBy("context", "core", "seed").agg(F.count("*").alias("n"))
     edges, edges_path = stored(edges, "meetings")
     seeds = edges.filter("seed IS NOT NULL").groupBy("context", F.col("seed").alias("kind"))
     seeds = seeds.agg(F.sum("n").alias("hits"), F.count("*").alias("seeds")).filter(F.col("seeds") >= LEAST_SEEDS)
@@ -236,7 +264,7 @@ def discovered(rows: DataFrame) -> DataFrame:
     place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     kinds = scores.groupBy("core").agg(F.max_by("kind", F.struct("own", -place)).alias("kind"))
     sure = patterns.filter(F.col("score") >= LEAST_SCORE).select("context", "kind")
-    found = met.join(sure, "context").join(kinds, ["core", "kind"])
+    found = met.filter("seed IS NULL").join(sure, "context").join(kinds, ["core", "kind"])
     found, _ = stored(found.select("key", "mark", "kind", "core", "start", "end").distinct(), "discovered")
     free(rows.sparkSession, *paths, path)
     return found
@@ -294,6 +322,6 @@ def redact(df: DataFrame, key: str, text: str) -> DataFrame:
         same = df[key].eqNullSafe(F.col("_key")) & (F.xxhash64(df[text]) == F.col("_mark"))
         out, extra = df.join(marks, same, "left"), F.coalesce(F.col("_found"), extra)
     own = F.col(text)
-    base = [base_spans(own, kind) for kind in KINDS]
+    base = [spans_of(seeds(own, None, kind)) for kind in KINDS]
     named = let(merged(F.concat(*base, extra)), lambda spans: replaced(own, spans, lambda kind, hit: F.concat(F.lit("["), F.upper(kind), F.lit("]"))))
     return out.withColumn(text, F.when(own.isNotNull(), named)).select(*df.columns)

@@ -117,6 +117,22 @@ def test_overlapping_spans_are_masked_whole(spark):
     assert rows == {1: "call [PHONE] now", 2: "[PHONE]", 3: "[EMAIL], [IP];[PHONE]", 4: "é [CARD]"}
 
 
+def test_instances_of_several_groups_and_their_contexts(spark):
+    long = "w" * 100
+    texts = {
+        1: "pay with 4111 1111 1111 1111 now", 2: "phone me (555) 123-4567, or", 3: "To us a@b.co, c@d.co",
+        4: "reach" + " " * 60 + "me" + "\n" * 90 + "9@x", 5: f"see {long} b7",
+    }
+    rows = p.looked_through(documents(spark, texts, ()), "doc_id", "text").collect()
+    assert {r.key: [(a.context, a.core, texts[r.key][a.start : a.end], a.seed) for a in r.instances] for r in rows} == {
+        1: [("pay with", "4111 1111 1111 1111", "4111 1111 1111 1111", "card")],
+        2: [("phone me", "555) 123-4567", "555) 123-4567", None)],
+        3: [("to us", "a@b.co", "a@b.co", "email"), ("us a@b.co,", "c@d.co", "c@d.co", "email")],
+        4: [("reach me", "9@x", "9@x", None)],
+        5: [(f"see {long}", "b7", "b7", None)],
+    }
+
+
 def test_no_python_in_the_plan(spark):
     plan = p.looked_through(documents(spark), "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
