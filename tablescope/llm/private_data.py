@@ -229,42 +229,44 @@ def looked_through(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select("key", "mark", "base", F.concat("seeds", others).alias("instances"))
 
 
+def graded(meetings: DataFrame) -> DataFrame:
+    """(context, kind, score) of patterns with seeds enough, from (context, kind, hits, seeds)."""
+    whole = meetings.groupBy("context", "kind").agg(F.sum("hits").alias("hits"), F.sum("seeds").alias("seeds"))
+    totals = meetings.groupBy("context").agg(F.sum("hits").alias("total"))
+    grades = whole.filter(F.col("seeds") >= LEAST_SEEDS).join(totals, "context")
+    return grades.select("context", "kind", (F.col("hits") / (F.col("total") + DAMPING)).alias("score"))
+
+
 def discovered(rows: DataFrame) -> DataFrame:
     """(key, mark, kind, core, start, end) of the instances that patterns discover.
 
     Meetings are counted before anything is shuffled by context, so a context that precedes a
-    third of all instances costs one row per different instance and task. Only contexts with
-    ``LEAST_SEEDS`` different seeds go through the rounds.
+    third of all instances costs one row per different instance and task.
     """
     met = rows.select("key", "mark", F.explode("instances").alias("at")).select("key", "mark", "at.*")
     met = met.filter("context <> ''")
-    edges = met.groupBy("context", "core", "seed").agg(F.count("*").alias("n"))
-    edges, edges_path = stored(edges, "meetings")
-    seeds = edges.filter("seed IS NOT NULL").groupBy("context", F.col("seed").alias("kind"))
-    seeds = seeds.agg(F.sum("n").alias("hits"), F.count("*").alias("seeds")).filter(F.col("seeds") >= LEAST_SEEDS)
-    totals = edges.groupBy("context").agg(F.sum("n").alias("total"))
-    patterns = seeds.join(totals, "context").withColumn("score", F.col("hits") / (F.col("total") + DAMPING))
-    patterns, path = stored(patterns, "patterns")
-    unseen = edges.filter("seed IS NULL").join(patterns.select("context").distinct(), "context", "left_semi")
-    unseen, unseen_path = stored(unseen.select("context", "core", "n"), "unseen")
-    paths = [edges_path, unseen_path]
+    edges, edges_path = stored(met.groupBy("context", "core", "seed").agg(F.count("*").alias("n")), "meetings")
+    known = edges.filter("seed IS NOT NULL").groupBy("context", F.col("seed").alias("kind"))
+    known = known.agg(F.sum("n").cast("double").alias("hits"), F.count("*").alias("seeds"))
+    known, known_path = stored(known, "known")
+    others = edges.filter("seed IS NULL").select("context", "core", "n")
+    patterns, path = stored(graded(known), "patterns")
+    paths = [edges_path, known_path]
+    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     for _ in range(ROUNDS):
-        scores = unseen.join(patterns, "context").groupBy("core", "kind")
+        scores = others.join(patterns, "context").groupBy("core", "kind")
         scores = scores.agg((F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("own"))
-        scores, scores_path = stored(scores.filter(F.col("own") >= LEAST_SCORE), "scores")
-        gained = unseen.join(scores, "core").groupBy("context", "kind")
-        gained = gained.agg(F.sum(F.col("n") * F.col("own")).alias("gained"))
-        new = patterns.join(gained, ["context", "kind"], "left").withColumn(
-            "score", (F.col("hits") + F.coalesce("gained", F.lit(0.0))) / (F.col("total") + DAMPING)
+        # An instance counts as the kind that it scores best as, ties to the kind listed first.
+        scores = scores.groupBy("core").agg(F.max_by("kind", F.struct("own", -place)).alias("kind"), F.max("own").alias("own"))
+        scores, scores_path = stored(scores, "scores")
+        gained = others.join(scores, "core").groupBy("context", "kind").agg(
+            F.sum(F.col("n") * F.col("own")).alias("hits"), F.count_if(F.col("own") >= LEAST_SCORE).alias("seeds")
         )
-        patterns, new_path = stored(new.drop("gained"), "patterns")
         paths += [path, scores_path]
-        path = new_path
-    # An instance counts as the kind that it scores best as, ties to the kind listed first.
-    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    kinds = scores.groupBy("core").agg(F.max_by("kind", F.struct("own", -place)).alias("kind"))
+        patterns, path = stored(graded(known.unionAll(gained)), "patterns")
     sure = patterns.filter(F.col("score") >= LEAST_SCORE).select("context", "kind")
-    found = met.filter("seed IS NULL").join(sure, "context").join(kinds, ["core", "kind"])
+    private = scores.filter(F.col("own") >= LEAST_SCORE).select("core", "kind")
+    found = met.filter("seed IS NULL").join(sure, "context").join(private, ["core", "kind"])
     found, _ = stored(found.select("key", "mark", "kind", "core", "start", "end").distinct(), "discovered")
     free(rows.sparkSession, *paths, path)
     return found

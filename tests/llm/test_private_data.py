@@ -133,6 +133,18 @@ def test_instances_of_several_groups_and_their_contexts(spark):
     }
 
 
+def test_unseen_identifiers_do_not_count_against_their_pattern_and_bring_new_ones(spark):
+    texts = {i: f"Please reach me at user{i}@host{i}.example.com today" for i in range(80)}
+    texts |= {100 + i: f"Please reach me at user{i}[at]host{i} today" for i in range(25)}
+    texts |= {200 + i: f"and ping him on user{i}[at]host{i} as well" for i in range(8)}
+    texts |= {300: "and ping him on other1#host1 as well", 301: "but his score is 17x as well"}
+    rows = by(p.find(documents(spark, texts, ()), "doc_id", "text"))
+    new = {i: [texts[i][s.start : s.end] for s in r.spans if s not in r.base] for i, r in rows.items()}
+    assert all(new[100 + i] == [f"user{i}[at]host{i}"] for i in range(25))
+    assert all(new[200 + i] == [f"user{i}[at]host{i}"] for i in range(8))
+    assert new[300] == ["other1#host1"] and new[301] == []
+
+
 def test_no_python_in_the_plan(spark):
     plan = p.looked_through(documents(spark), "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
