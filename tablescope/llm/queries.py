@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablescope.llm import byte_pairs, licenses, merkle, packing, private_data, quality, sharding, simhash, topk, url_filter
+from tablescope.llm import byte_pairs, licenses, merkle, packing, private_data, quality, runs, sharding, simhash, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,4 +100,10 @@ def op10_quality(spark, sf_dir):
     )
 
 
+@query()
+def op13_periodic_runs(spark, sf_dir):
+    documents = runs.with_planted_runs(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return runs.digests(runs.find_runs(documents, "doc_id", "text"), "doc_id")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
