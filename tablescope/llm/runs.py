@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHORTEST = 12
+# So many earlier occurrences are looked up at once; the third rule below is for more.
+FEW = 8
 RUNS = "array<struct<start: bigint, length: bigint, period: bigint>>"
 
 
@@ -60,6 +62,18 @@ def stretches(ids: np.ndarray, size: int) -> np.ndarray:
     return have
 
 
+def repeats(ids: np.ndarray, size: int) -> bool:
+    """False only if no stretch of ``size`` words stands twice: then all their hashes differ."""
+    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    n = len(ids) - size + 1
+    total = mixed[:n].copy()
+    for offset in range(1, size):
+        total = total * np.uint64(0xBF58476D1CE4E5B9) + mixed[offset : offset + n]
+    total.sort()
+    return bool((total[1:] == total[:-1]).any())
+
+
 def primitive(ids: np.ndarray, start: int, length: int, period: int) -> bool:
     """Whether no smaller period fits; in two periods and more, the smallest divides all others."""
     own, rest, factor = ids[start : start + length], period, 2
@@ -83,6 +97,7 @@ class Diagonals:
         self.ids, self.shortest, self.size = ids, shortest, least_match(shortest)
         self.lags = np.zeros(0, dtype=np.int64)
         self.begun = np.zeros(0, dtype=np.int64)
+        self.live = np.zeros(len(ids) // 2 + 1, dtype=bool)  # by lag: is it in the table?
         self.found: list[tuple[int, int, int]] = []
 
     def end(self, over: np.ndarray, last: int) -> None:
@@ -91,12 +106,13 @@ class Diagonals:
             start, length = begun - lag, last + self.size - begun + lag
             if length >= max(self.shortest, 2 * lag) and primitive(self.ids, start, length, lag):
                 self.found.append((start, length, lag))
+        self.live[self.lags[over]] = False
         self.lags, self.begun = self.lags[~over], self.begun[~over]
 
     def new_lags(self, i: int, earlier: np.ndarray) -> np.ndarray:
         """Lags to the occurrences before ``i`` (ascending) that are not left out by the rules above."""
-        earlier = earlier[np.searchsorted(earlier, i - len(self.ids) // 2) :]
-        if len(earlier) and len(self.lags):
+        if len(earlier) > FEW:
+            earlier = earlier[np.searchsorted(earlier, i - len(self.live) + 1) :]
             known = i - self.begun + self.size >= self.lags  # two periods have been read
             # One pass per stretch; the furthest first, as it leaves out most.
             for first, lag in sorted(zip((self.begun - self.lags)[known].tolist(), self.lags[known].tolist())):
@@ -104,13 +120,14 @@ class Diagonals:
                 if a < b:
                     earlier = np.concatenate([earlier[:a], earlier[b:]])
         lags = i - earlier
-        return lags[~np.isin(lags, self.lags)] if len(self.lags) and len(lags) else lags
+        lags = lags[lags < len(self.live)]
+        return lags[~self.live[lags]]
 
 
 def runs_of(ids: np.ndarray, shortest: int = SHORTEST) -> list[tuple[int, int, int]]:
     """(start, length, period) of every run, by start, then period."""
     size = least_match(shortest)
-    if len(ids) < shortest:
+    if len(ids) < shortest or not repeats(ids, size):
         return []
     here = stretches(ids, size)
     times = np.bincount(here)
@@ -143,6 +160,7 @@ def runs_of(ids: np.ndarray, shortest: int = SHORTEST) -> list[tuple[int, int, i
                 while at - 1 - lag >= 0 and here[at - 1] == here[at - 1 - lag]:
                     at -= 1
                 begun[n] = at
+            table.live[lags] = True
             table.lags = np.concatenate([table.lags, lags])
             table.begun = np.concatenate([table.begun, begun])
     table.end(np.ones(len(table.lags), dtype=bool), last)
