@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablescope.llm import byte_pairs, licenses, merkle, packing, private_data, quality, ranked, runs, sharding, simhash, topk, url_filter
+from tablescope.llm import byte_pairs, jaccard, licenses, merkle, packing, private_data, quality, ranked, runs, sharding, simhash, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,6 +100,12 @@ def op10_quality(spark, sf_dir):
     )
 
 
+@query(jaccard.ORACLE)
+def op11_jaccard_join(spark, sf_dir):
+    found = jaccard.join(table(spark, sf_dir, "documents"), "doc_id", "text", words=4, percent=85)
+    return found.withColumnRenamed("component", "component_id")
+
+
 @query(ranked.ORACLE)
 def op12_ranked_search(spark, sf_dir):
     items, documents = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
