@@ -52,8 +52,9 @@ def plain(stem: str) -> bool:
 class Words(dict):
     """Token ids (packed) of what stands between white space.
 
-    The tokenizer's splitting never crosses white space, so words can be encoded one by one, and
-    marks at a word's end apart from it. Where the vocabulary marks ends of words, plain words of
+    The tokenizer's splitting never crosses white space, nor do its added tokens (which are ids of
+    their own wherever a text spells them), so words can be encoded one by one, and marks at a
+    word's end apart from it. Where the vocabulary marks ends of words, plain words of
     letters are merged by rank with the end mark as one more byte, which is much quicker than
     the tokenizer's way through normalisers; everything else goes to the tokenizer itself.
     """
@@ -61,10 +62,13 @@ class Words(dict):
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4"
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            spec = json.load(file)
+        model = spec["model"]
+        for added in spec["added_tokens"]:
+            if added["content"].split() != [added["content"]] or added["lstrip"] or added["rstrip"] or added["normalized"]:
+                raise ValueError(f"the added token {added['content']!r} does not stay inside a word")
         suffix, self.merge = model.get("end_of_word_suffix"), None
         if suffix:
             spelled = letters_of_bytes()

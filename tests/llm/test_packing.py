@@ -12,20 +12,19 @@ from tokenizers import Tokenizer
 from tablescope.llm import packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+FRESH = Tokenizer.from_file(PATH)
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    own = Tokenizer.from_file(PATH)
-    own.encode_special_tokens = True
-    return own
+    return Tokenizer.from_file(PATH)
 
 
 def whole(tokenizer, text):
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
 
 
-ALPHABET = st.sampled_from(list("abcXYZ 019 '.,!\"#\n\t\r éßÉİΣσ漢 ̸́=<🙂\x85\x1c") + ["'s", "'LL", "<|endoftext|>", "Word"])
+ALPHABET = st.sampled_from(list("abcXYZ 019 '.,!\"#\n\t\r éßÉİΣσ漢 ̸́=<🙂\x85\x1c") + ["'s", "'LL", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|end", "Word"])
 
 
 @settings(max_examples=500, deadline=None)
@@ -33,7 +32,14 @@ ALPHABET = st.sampled_from(list("abcXYZ 019 '.,!\"#\n\t\r éßÉİΣσ漢 ̸́=
 def test_words_apart_are_the_whole_text(text):
     words = packing.words_of(PATH)
     ids = b"".join(map(words.__getitem__, text.encode().split()))
-    assert np.frombuffer(ids, dtype="<u2").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(ids, dtype="<u2").tolist() == FRESH.encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_are_ids_of_their_own():
+    words = packing.Words(PATH)
+    for text in ("a <|endoftext|> b", "x<|startoftext|>y.", "<|endoftext|><|endoftext|>", "End<|endoftext|>!!", "é<|endoftext|>É"):
+        ids = np.frombuffer(b"".join(map(words.__getitem__, text.encode().split())), dtype="<u2").tolist()
+        assert ids == FRESH.encode(text, add_special_tokens=False).ids and {49406, 49407} & set(ids)
 
 
 @settings(max_examples=60, deadline=None)
@@ -41,14 +47,14 @@ def test_words_apart_are_the_whole_text(text):
 def test_merging_by_rank_is_the_tokenizers_way(names):
     words = packing.words_of(PATH)
     for name in names:
-        assert np.frombuffer(words.encoded(name.encode()), dtype="<u2").tolist() == words.tokenizer.encode(name).ids
+        assert np.frombuffer(words.encoded(name.encode()), dtype="<u2").tolist() == FRESH.encode(name).ids
 
 
 def test_every_word_of_the_vocabulary():
     words = packing.words_of(PATH)
-    texts = [words.tokenizer.decode([i]).strip() for i in range(512, 49406)]
+    texts = [FRESH.decode([i]).strip() for i in range(512, 49406)]
     texts = [t for t in dict.fromkeys(texts) if t and not t.isspace()]
-    expected = [e.ids for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    expected = [e.ids for e in FRESH.encode_batch(texts, add_special_tokens=False)]
     found = [np.frombuffer(b"".join(map(words.__getitem__, t.encode().split())), dtype="<u2").tolist() for t in texts]
     assert found == expected
 
