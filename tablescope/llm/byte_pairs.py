@@ -1,11 +1,15 @@
 """Byte-level BPE encoding and decoding as a reduction over a tree of text halves.
 
-A text is cut in halves until a piece is short, the pieces are encoded, and neighbours are
-joined. Where a cut is also an edge of the splitting pattern, joining is concatenation. Inside
-a long unbroken run, two encoded halves are joined by encoding a growing window of tokens
-around the cut anew, until the tokens next to the window on both sides provably stay: a
-sequence of tokens is the encoding of its bytes exactly when every two neighbours are the
-encoding of their own bytes, so it is enough that both edges of the window pass that test.
+A text is cut in the middle, again and again, until pieces are short. The pieces are encoded, and
+neighbours are joined by encoding a window around their cut anew, until what lies outside provably
+stays. Two proofs end a window:
+
+- an edge of the splitting pattern that both neighbours of the edge settle (``EDGE``): nothing
+  before it depends on what follows, and matching starts anew there;
+- inside a long stretch that the pattern keeps whole, tokens: a sequence of tokens is the encoding
+  of its bytes exactly when every two neighbours are the encoding of their own bytes, so it is
+  enough that both edges of the window pass that test.
+
 Decoding concatenates up the same kind of tree.
 """
 
@@ -21,15 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Characters (or bytes, inside an unbroken run) of a piece that is encoded at once.
-LEAF = 4096
+LEAF = 256
 # Rows of a batch that leaves Python; texts may be long.
 BATCH_ROWS = 256
 
-# An edge of the splitting pattern for certain: a space or line break after anything but white
-# space, for only white space and a leading blank stand with what follows them.
-EDGE = re.compile(r"(?<=[!-~À-ɏ])(?=[ \n])")
+# Letters and marks for certain, in all versions of Unicode.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏЀ-ҁぁ-ゖァ-ヺ一-龥"
+# Edges of the splitting pattern for certain. Only white space and a leading blank stand with what
+# follows them, so there is one before a space or line break that follows anything but white space
+# (some control characters count as white space in one library and not in another: no edge there).
+# A match that holds a letter ends before a mark.
+EDGE = re.compile(rf"(?<=[^\s\x1c-\x1f])(?=[ \n])|(?<=[{LETTERS}])(?=[!-/:-@\[-`{{-~、。])")
 # Runs that the splitting pattern keeps whole.
-RUN = re.compile(r"[A-Za-z]+|[0-9]+")
+RUN = re.compile(rf" ?(?:[{LETTERS}]+|[0-9]+)")
 
 
 class Codec:
@@ -40,6 +48,7 @@ class Codec:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.bytes_of = dict(zip(ranks.values(), ranks.keys()))
+        self.size_of = {token: len(data) for token, data in self.bytes_of.items()}
         self.merge = self.encoding._core_bpe.encode_single_piece
         self.neighbours = functools.lru_cache(maxsize=65536)(self._neighbours)
 
@@ -49,13 +58,25 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         if len(text) <= LEAF:
             return self.encoding.encode_ordinary(text)
-        middle = cut(text)
-        if middle:
-            return self.encode(text[:middle]) + self.encode(text[middle:])
-        run = RUN.match(text)
-        if run and run.end() == len(text):
-            return self.encode_run(text.encode())
-        return self.encoding.encode_ordinary(text)
+        middle = len(text) // 2
+        return self.join_at(text, middle, self.encode(text[:middle]), self.encode(text[middle:]))
+
+    def join_at(self, text: str, middle: int, left: list[int], right: list[int]) -> list[int]:
+        """The encoding of ``text`` from those of its parts before and after ``middle``."""
+        first, last = edge_before(text, middle), edge_after(text, middle)
+        a, size = len(left), len(text[first:middle].encode())
+        while size > 0:
+            a -= 1
+            size -= self.size_of[left[a]]
+        b, size = 0, len(text[middle:last].encode())
+        while size > 0:
+            size -= self.size_of[right[b]]
+            b += 1
+        if last - first > 4 * LEAF and RUN.fullmatch(text, first, last):
+            window = self.join(left[a:], right[:b])
+        else:
+            window = self.encoding.encode_ordinary(text[first:last])
+        return left[:a] + window + right[b:]
 
     def encode_run(self, run: bytes) -> list[int]:
         """A run that is one match of the splitting pattern."""
@@ -85,16 +106,22 @@ class Codec:
         return self.decode(ids[:middle]) + self.decode(ids[middle:])
 
 
-def cut(text: str) -> int:
-    """An edge of the splitting pattern near the middle, or 0."""
-    middle = len(text) // 2
-    near = EDGE.search(text, middle - LEAF // 4, middle + LEAF // 4) or EDGE.search(text, middle)
-    if near:
-        return near.start()
-    before = 0
-    for edge in EDGE.finditer(text, 0, middle):
-        before = edge.start()
-    return before
+def edge_before(text: str, middle: int) -> int:
+    """The last certain edge that the characters before ``middle`` settle, or the beginning."""
+    reach = 32
+    while True:
+        found = None
+        for found in EDGE.finditer(text, max(0, middle - reach), middle):
+            pass
+        if found or reach >= middle:
+            return found.start() if found else 0
+        reach *= 8
+
+
+def edge_after(text: str, middle: int) -> int:
+    """The first certain edge that the characters from ``middle`` on settle, or the end."""
+    found = EDGE.search(text, middle + 1)
+    return found.start() if found else len(text)
 
 
 @functools.lru_cache(maxsize=2)

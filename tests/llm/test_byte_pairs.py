@@ -53,6 +53,28 @@ def test_tree_of_any_bytes(codec, small_leaves):
     assert codec.encode_run(run) == codec.merge(run)
 
 
+@pytest.mark.parametrize("text", ["漢字かな" * 3000, "ab" * 9000 + "!" + "é" * 700, "?!" * 3000, "x" * 5000 + " " * 3000 + "y", " \x1c\x85" * 900, "don't " * 2000])
+def test_long_stretches_without_spaces(codec, text):
+    assert codec.encode(text) == codec.encoding.encode_ordinary(text)
+
+
+def test_most_texts_are_joined_from_halves(spark, monkeypatch):
+    """On the test documents, nearly all encodings come from windows and not from one call."""
+    codec = byte_pairs.Codec(RANKS, public_tokenizers.PATTERN)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    calls = []
+    real = codec.join_at
+    monkeypatch.setattr(codec, "join_at", lambda *a: calls.append(a[0]) or real(*a))
+    for text in texts:
+        assert codec.encode(text) == codec.encoding.encode_ordinary(text)
+    assert len(calls) > 5 * len(texts) and len(set(calls) & set(texts)) > len(texts) * 0.8
+    run = "abcdefghij" * 500
+    joins = []
+    join = codec.join
+    monkeypatch.setattr(codec, "join", lambda *a: joins.append(1) or join(*a))
+    assert codec.encode(run) == codec.merge(run.encode()) and joins
+
+
 def test_all_kinds_of_texts(spark, codec):
     rows = by(byte_pairs.digests(documents(spark), "doc_id", "text", RANKS, public_tokenizers.PATTERN))
     assert set(rows) == set(TEXTS)
