@@ -5,21 +5,18 @@ are linked when they differ in ``max_bits`` bits or fewer, and linked ones form
 
 Distinct fingerprints are dealt into buckets by bands of their bits. With more bands than
 ``max_bits`` that cover the fingerprint, two linked fingerprints agree in one band at least, so no
-link is lost. Near copies are dealt by shingles instead: two sets of shingles with the wanted
-similarity share one of their first shingles by hash, so no bits need be equal. Inside a bucket stands the index: fingerprints are sorted by their rank in the
+link is lost. Inside a bucket stands the index: fingerprints are sorted by their rank in the
 binary-reflected Gray code, runs of neighbours become nodes that hold the bits all of them share
 (a mask and a pattern), and runs of nodes become nodes above. A search goes down from the top,
 adds up the differences in the bits that each level settles, and leaves a whole group as soon as
 the sum exceeds ``max_bits``. A bucket with more than ``BLOCK`` fingerprints is cut into blocks of
 Gray neighbours, and the pairs of blocks whose shared bits allow a link become tasks of their own.
 Inside a task links are merged at once: at most one row per fingerprint leaves it, never a pair
-per link. For near copies these links are candidates; inside each component of them the sets of
-shingles are compared, and similar sets form the components that count.
+per link.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,27 +29,21 @@ from tablescope.llm.common import free, in_order, stored
 
 # Most fingerprints of a bucket that one task searches on its own.
 BLOCK = 8192
-# Up to this size a bucket is compared directly.
-SMALL = 64
+# Fingerprints below one node of the lowest level, and nodes below one further up. A bucket with
+# no more fingerprints than a leaf is one leaf, whose fingerprints are compared.
 LEAF, FAN = 16, 8
 SEED = 42
 
 
 @dataclass(frozen=True)
 class Settings:
-    """words: of a shingle; lanes: 64-bit lanes of a fingerprint; bands of band_bits each.
+    """words: of a shingle; lanes: 64-bit lanes of a fingerprint; bands of band_bits each."""
 
-    With a ``similarity``, buckets go by shingles instead of bands (see ``shingled``), the
-    fingerprint counts each distinct shingle once, and fingerprints that differ in ``max_bits``
-    are only candidates: their texts are linked if their sets of shingles are that similar.
-    """
-
-    words: int = 5
-    lanes: int = 4
-    max_bits: int = 54
-    bands: int = 21
-    band_bits: int = 12
-    similarity: float = 0.0
+    words: int = 3
+    lanes: int = 1
+    max_bits: int = 3
+    bands: int = 4
+    band_bits: int = 16
 
     def __post_init__(self):
         if self.bands * self.band_bits > 64 * self.lanes:
@@ -66,14 +57,6 @@ class Settings:
 
 # One 64-bit lane, links at three bits: four bands of 16 bits lose nothing.
 THREE_BITS = Settings(words=3, lanes=1, max_bits=3, bands=4, band_bits=16)
-# For near copies with a similarity of 0.8 or more of their shingles of five words. The bits only
-# choose candidates, whose shingles are then compared. At 0.8 two fingerprints differ in 39 of 256
-# bits on average, give or take 6, in 48 for sets of four and five shingles; at 0 in 128, give or
-# take 8. So 72 bits leave out unrelated texts and next to no near copies.
-NEAR_COPIES = Settings(max_bits=72, similarity=0.8)
-# Sets of one block when the shingles of candidates are compared, on average, and distinct
-# shingles that are counted at once.
-SETS, COLUMNS = 128, 8192
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -94,8 +77,7 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
 
 def fingerprint(text: str | None, settings: Settings) -> bytes:
     """The lanes, each as eight bytes, highest bit first; zero for a text without words."""
-    hashes = shingle_hashes(text, settings.words)
-    return folded(np.unique(hashes) if settings.similarity else hashes, settings)
+    return folded(shingle_hashes(text, settings.words), settings)
 
 
 def folded(hashes: np.ndarray, settings: Settings) -> bytes:
@@ -114,12 +96,8 @@ def folded(hashes: np.ndarray, settings: Settings) -> bytes:
     return b"".join(out)
 
 
-def fingerprints(df: DataFrame, key: str, text: str, settings: Settings = NEAR_COPIES) -> DataFrame:
-    """key, mark (a hash of the text) and fp (binary) of every row; a null text has no words.
-
-    With a similarity, also ``shingles``, the distinct shingle hashes in order, and ``node``, a
-    hash of all of them.
-    """
+def fingerprints(df: DataFrame, key: str, text: str, settings: Settings = THREE_BITS) -> DataFrame:
+    """key, mark (a hash of the text) and fp (binary) of every row; a null text has no words."""
     rows = df.select(df[key].alias("key"), F.xxhash64(df[text]).alias("mark"), df[text].alias("text"))
     kind = df.schema[key].dataType.simpleString()
 
@@ -127,19 +105,10 @@ def fingerprints(df: DataFrame, key: str, text: str, settings: Settings = NEAR_C
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                columns, names = [part.column(0), part.column(1)], ["key", "mark", "fp"]
-                if settings.similarity:
-                    sets = [np.unique(shingle_hashes(t, settings.words)) for t in part.column(2).to_pylist()]
-                    found = [folded(own, settings) for own in sets]
-                    spelled = [own.tobytes() for own in sets]
-                    nodes = [xxhash.xxh3_128_digest(own) for own in spelled]
-                    more, names = [pa.array(nodes, type=pa.binary()), pa.array(spelled, type=pa.binary())], [*names, "node", "shingles"]
-                else:
-                    found, more = [fingerprint(t, settings) for t in part.column(2).to_pylist()], []
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, type=pa.binary()), *more], names=names)
+                found = pa.array([fingerprint(t, settings) for t in part.column(2).to_pylist()], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), found], names=["key", "mark", "fp"])
 
-    further = ", node binary, shingles binary" if settings.similarity else ""
-    return rows.mapInArrow(hashed, f"key {kind}, mark long, fp binary{further}")
+    return rows.mapInArrow(hashed, f"key {kind}, mark long, fp binary")
 
 
 def lanes_of(column, lanes: int) -> np.ndarray:
@@ -236,8 +205,8 @@ def grouped_links(groups: np.ndarray, fps: np.ndarray, max_bits: int) -> np.ndar
     starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(groups)]]))
     size_of = np.repeat(sizes, sizes)
-    small = np.flatnonzero((size_of > 1) & (size_of <= SMALL))
-    for shift in range(1, min(SMALL, len(small))):  # every row with the row ``shift`` places on
+    small = np.flatnonzero((size_of > 1) & (size_of <= LEAF))
+    for shift in range(1, min(LEAF, len(small))):  # every row with the row ``shift`` places on
         a, b = small[:-shift], small[shift:]
         same = groups[a] == groups[b]
         if not same.any():
@@ -245,7 +214,7 @@ def grouped_links(groups: np.ndarray, fps: np.ndarray, max_bits: int) -> np.ndar
         a, b = a[same], b[same]
         near = distance(fps[a], fps[b]) <= max_bits
         labels = merged(labels, a[near], b[near])
-    for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+    for start, size in zip(starts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist()):
         order = start + gray_order(fps[start : start + size])
         index = GrayIndex(fps[order])
         for first in range(0, size, 256):
@@ -306,40 +275,6 @@ def banded(fps: DataFrame, settings: Settings) -> DataFrame:
     return fps.select("fp").mapInArrow(bands, "bucket long, fp binary")
 
 
-def prefix(shingles: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles by hash, so many that two sets of this similarity share one of them.
-
-    Such sets share ``similarity`` of the larger one at least. The first shared shingle by hash
-    has that many less one behind it in either set, so it is not among the last of either.
-    """
-    return shingles[: len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1]
-
-
-def shingled(rows: DataFrame, settings: Settings) -> DataFrame:
-    """(bucket, fp): a row per shingle in the prefix of every set; a task gives each set once."""
-
-    def dealt(batches):
-        seen = set()
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                fps, buckets, sizes = [], [], []
-                for node, fp, shingles in zip(*(column.to_pylist() for column in part.columns)):
-                    if shingles and node not in seen:
-                        seen.add(node)
-                        own = prefix(np.frombuffer(shingles, dtype=np.int64), settings.similarity)
-                        fps.append(fp)
-                        buckets.append(own)
-                        sizes.append(len(own))
-                if fps:
-                    at = pa.array(np.repeat(np.arange(len(fps)), sizes))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(buckets)), pa.array(fps, type=pa.binary()).take(at)], names=["bucket", "fp"]
-                    )
-
-    return rows.select("node", "fp", "shingles").mapInArrow(dealt, "bucket long, fp binary")
-
-
 def block_pairs(hot: DataFrame, settings: Settings) -> DataFrame:
     """(left, right, fp): rows of hot buckets, once for each pair of blocks that may hold a link."""
 
@@ -369,11 +304,7 @@ def block_pairs(hot: DataFrame, settings: Settings) -> DataFrame:
 
 def links(fps: DataFrame, settings: Settings) -> DataFrame:
     """(fp, other) rows that connect all linked fingerprints of ``fps``, which are distinct."""
-    return bucket_links(banded(fps, settings), settings)
-
-
-def bucket_links(rows: DataFrame, settings: Settings) -> DataFrame:
-    """(fp, other) rows that connect the linked fingerprints of each bucket of (bucket, fp) rows."""
+    rows = banded(fps, settings)
     rows, path = stored(rows, "bands")
     sizes = rows.groupBy("bucket").count().filter(F.col("count") > BLOCK).select("bucket")
     hot, hot_path = stored(sizes, "hot-buckets")
@@ -387,76 +318,6 @@ def bucket_links(rows: DataFrame, settings: Settings) -> DataFrame:
     return found
 
 
-def similar_in_block(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Labels of the components that pairs of sets with this similarity make."""
-    sizes = np.array([len(own) for own in sets], dtype=np.int64)
-    of = np.repeat(np.arange(len(sets)), sizes)
-    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    number = np.cumsum(times > 1) - 1  # only shingles of several sets count
-    shared = times[column] > 1
-    of, column = of[shared], number[column[shared]]
-    order = np.argsort(column, kind="stable")
-    of, column = of[order], column[order]
-    common = np.zeros((len(sets), len(sets)), dtype=np.float64)
-    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-        a, b = np.searchsorted(column, [first, first + COLUMNS])
-        holds = np.zeros((len(sets), COLUMNS), dtype=np.float32)
-        holds[of[a:b], column[a:b] - first] = 1
-        common += holds @ holds.T
-    either = sizes[:, None] + sizes[None] - common
-    i, j = np.nonzero(np.triu(common >= similarity * either - 1e-9, 1))
-    return merged(np.arange(len(sets)), i, j)
-
-
-def confirmed(rows: DataFrame, candidates: DataFrame, settings: Settings) -> DataFrame:
-    """(fp, other) edges between the nodes of ``rows`` whose sets of shingles are similar.
-
-    ``candidates`` are (fp, label) of linked fingerprints. Sets under one label are dealt into
-    blocks by their hash, and every pair of blocks is a group of its own in which all sets are
-    compared, so that a large label is spread over tasks. At most one row per set leaves a group.
-    """
-    nodes = rows.groupBy("node").agg(F.min("row").alias("row"), F.first("fp").alias("fp"))
-    nodes = nodes.join(candidates, "fp", "left").select("node", "row", F.coalesce("label", "fp").alias("label"))
-    nodes, path = stored(nodes, "nodes")
-    blocks = nodes.groupBy("label").count().filter("count > 1")
-    blocks = blocks.select("label", F.ceil(F.col("count") / SETS).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    wanted = nodes.join(blocks, "label").withColumn("block", own).select("row", "label", "block", others.alias("others"))
-    members = rows.select("row", "node", "shingles").join(wanted, "row")
-    members = members.withColumn("with", F.explode("others"))
-    # A block beside itself is part of every pair; only where it is alone does it need a group.
-    members = members.filter((F.col("with") != F.col("block")) | (F.size("others") == 1))
-    group = F.xxhash64("label", F.least("block", "with"), F.greatest("block", "with")).alias("group")
-    dealt = members.select(group, "node", "shingles").repartition("group").sortWithinPartitions("group")
-
-    def edges(nodes, sets):
-        labels = similar_in_block(sets, settings.similarity)
-        member = np.flatnonzero(labels != np.arange(len(labels)))
-        return [nodes[i] for i in member], [nodes[labels[i]] for i in member]
-
-    def compared(batches):
-        group, nodes, sets = None, [], []
-        for batch in batches:
-            found = [], []
-            for here, node, shingles in zip(*(column.to_pylist() for column in batch.columns)):
-                if here != group:
-                    if len(nodes) > 1:
-                        for all_of, new in zip(found, edges(nodes, sets)):
-                            all_of.extend(new)
-                    group, nodes, sets = here, [], []
-                nodes.append(node)
-                sets.append(np.frombuffer(shingles, dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(side, type=pa.binary()) for side in found], names=["fp", "other"])
-        if len(nodes) > 1:
-            last = edges(nodes, sets)
-            yield pa.RecordBatch.from_arrays([pa.array(side, type=pa.binary()) for side in last], names=["fp", "other"])
-
-    found, _ = stored(dealt.mapInArrow(compared, "fp binary, other binary"), "confirmed")
-    free(rows.sparkSession, path)
-    return found
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(fp, label) for every node of (fp, other) edges: the smallest node that it can reach.
 
@@ -496,38 +357,28 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, settings: Settings = NEAR_COPIES) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str, text: str, settings: Settings = THREE_BITS) -> DataFrame:
     """key, mark, fp, root and component of every row: the smallest key that links lead to.
 
-    ``root`` is the smallest fingerprint of the component (with a similarity, the smallest hash of
-    a set of shingles) and names it even without keys. Texts without words have the zero
-    fingerprint, linked like any other, and with a similarity are copies of each other only.
-    Repeated rows each give a row. Null keys count only where a component has no other. An empty
-    frame gives no rows; further columns are not read.
+    ``root`` is the smallest fingerprint of the component and names it even without keys. Texts
+    without words have the zero fingerprint, linked like any other. Repeated rows each give a row.
+    Null keys count only where a component has no other. An empty frame gives no rows; further
+    columns are not read.
     """
     spark = df.sparkSession
     rows = fingerprints(df, key, text, settings)
-    if settings.similarity:
-        rows, _ = stored(rows.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
-        candidates = components(bucket_links(shingled(rows, settings), settings))
-        labels = components(confirmed(rows, candidates, settings))
-        rows = rows.select("key", "mark", "fp", "node")
-        name = "node"
-    else:
-        rows, _ = stored(rows, "fingerprints")
-        labels = components(links(rows.select("fp").distinct(), settings))
-        name = "fp"
-    labels = labels.withColumnRenamed("fp", name)
-    labelled = rows.groupBy(name).agg(F.min("key").alias("least")).join(labels, name, "left")
-    labelled, path = stored(labelled.withColumn("label", F.coalesce("label", name)), "labelled")
+    rows, _ = stored(rows, "fingerprints")
+    labels = components(links(rows.select("fp").distinct(), settings))
+    labelled = rows.groupBy("fp").agg(F.min("key").alias("least")).join(labels, "fp", "left")
+    labelled, path = stored(labelled.withColumn("label", F.coalesce("label", "fp")), "labelled")
     least = labelled.groupBy("label").agg(F.min("least").alias("component"))
     least, least_path = stored(least, "components")
-    classes, _ = stored(labelled.select(name, "label").join(least, "label"), "classes")
+    classes, _ = stored(labelled.select("fp", "label").join(least, "label"), "classes")
     free(spark, path, least_path)
-    return rows.join(classes, name).select(F.col("key").alias(key), "mark", "fp", F.col("label").alias("root"), "component")
+    return rows.join(classes, "fp").select(F.col("key").alias(key), "mark", "fp", F.col("label").alias("root"), "component")
 
 
-def first_of_groups(df: DataFrame, key: str, text: str, settings: Settings = NEAR_COPIES) -> DataFrame:
+def first_of_groups(df: DataFrame, key: str, text: str, settings: Settings = THREE_BITS) -> DataFrame:
     """The rows of ``df`` that have the smallest key of their component; repeated rows stay once.
 
     Of rows with equal keys and texts, one stays. Where several texts share the smallest key of

@@ -118,106 +118,6 @@ def test_one_row_of_each_group_stays_with_all_columns(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 6, 7, 8, 9, 10]
 
 
-def near_copy(text, r, edits):
-    words = text.split()
-    for at in r.sample(range(len(words)), edits):
-        words[at] = f"new{r.randrange(10**6)}"
-    return " ".join(words)
-
-
-def test_near_copies_are_found_and_others_are_left(spark):
-    r = random.Random(9)
-    texts = {}
-    for group in range(40):
-        words = [f"w{r.randrange(3000)}" for _ in range(300)]
-        texts[group * 10] = " ".join(words)
-        texts[group * 10 + 1] = near_copy(texts[group * 10], r, 4)  # a similarity of about 0.87
-        texts[group * 10 + 2] = " ".join(words[:80] + [f"x{r.randrange(3000)}" for _ in range(220)])  # a shared passage
-    rows = by(simhash.near_duplicates(documents(spark, texts, ()), "doc_id", "text"))
-    together = sum(rows[g * 10 + 1].component == g * 10 for g in range(40))
-    assert together >= 38
-    assert all(rows[g * 10 + n].component == g * 10 + n for g in range(40) for n in (0, 2))
-
-
-def similarity(a, b):
-    a, b = (set(simhash.shingle_hashes(t, 5).tolist()) for t in (a, b))
-    return len(a & b) / len(a | b)
-
-
-def similar_pairs(r, lengths, wanted):
-    """Pairs of a text and one with words replaced, of a similarity between the two bounds."""
-    out = []
-    for n in lengths:
-        while True:
-            words = [f"w{r.randrange(10**6)}" for _ in range(n)]
-            at = r.randrange(n)
-            new = [f"n{r.randrange(10**6)}" if at <= k < at + n // 8 or (n < 20 and k == n - 1) else w for k, w in enumerate(words)]
-            for edits in range(r.randrange(6)):
-                new[r.randrange(n)] = f"m{r.randrange(10**6)}"
-            if wanted[0] <= similarity(" ".join(words), " ".join(new)) <= wanted[1]:
-                out.append((" ".join(words), " ".join(new)))
-                break
-    return out
-
-
-def test_no_pair_within_the_bits_is_lost(spark):
-    """Fingerprints of near copies that share no band are linked as a comparison of all pairs would."""
-    r = random.Random(3)
-    pairs = similar_pairs(r, [r.randrange(100, 400) for _ in range(200)], (0.8, 0.85))
-    own = simhash.NEAR_COPIES
-    wide = [[int.from_bytes(simhash.fingerprint(t, own), "big") for t in pair] for pair in pairs]
-    near = [bin(a ^ b).count("1") <= own.max_bits for a, b in wide]
-    band = lambda x, n: x >> 256 - 12 * (n + 1) & 4095
-    assert any(ok and all(band(a, n) != band(b, n) for n in range(21)) for ok, (a, b) in zip(near, wide))
-    texts = {2 * i + n: t for i, pair in enumerate(pairs) for n, t in enumerate(pair)}
-    rows = by(simhash.near_duplicates(documents(spark, texts, ()), "doc_id", "text"))
-    assert all(rows[2 * i + 1].component == 2 * i for i, ok in enumerate(near) if ok)
-
-
-@pytest.mark.parametrize("sizes", [(1, 9), (10, 60), (100, 400)])
-def test_sets_of_the_similarity_share_a_prefix(sizes):
-    r = np.random.default_rng(8)
-    for _ in range(500):
-        n = int(r.integers(*sizes))
-        a = r.integers(0, 2**63, n)
-        b = np.concatenate([a[int(r.integers(0, n // 5 + 1)) :], r.integers(0, 2**63, int(r.integers(0, n // 8 + 1)))])
-        if 10 * len(np.intersect1d(a, b)) >= 8 * len(np.union1d(a, b)):
-            assert set(simhash.prefix(np.unique(a), 0.8)) & set(simhash.prefix(np.unique(b), 0.8))
-
-
-@pytest.mark.parametrize("columns", [8192, 7])
-def test_similar_sets_of_a_block(monkeypatch, columns):
-    monkeypatch.setattr(simhash, "COLUMNS", columns)
-    sets = [[1, 2, 3, 4, 5], [1, 2, 3, 4], [1, 2, 3], [], [*range(10, 30)], [*range(12, 32)], [*range(14, 34)]]
-    labels = simhash.similar_in_block([np.array(own, dtype=np.uint64) for own in sets], 0.8)
-    assert labels.tolist() == [0, 0, 2, 3, 4, 4, 4]
-
-
-@pytest.mark.parametrize("sets", [128, 4])
-def test_components_are_those_of_the_similarity(spark, monkeypatch, sets):
-    """Texts that share much, but not enough, stay apart; small blocks change nothing."""
-    monkeypatch.setattr(simhash, "SETS", sets)
-    r = random.Random(21)
-    texts = {n: t for n, t in enumerate([None, "", "  ", "one two three four five six", "one two three four five six."])}
-    for group in range(12):
-        words = [f"w{r.randrange(10**6)}" for _ in range(200)]
-        for n in range(8):  # a template with some words of its own
-            own = len(words) * r.choice([2, 5, 8, 12, 20, 30]) // 100
-            texts[100 + 10 * group + n] = " ".join(words[:-own] + [f"x{r.randrange(10**6)}" for _ in range(own)])
-    for n in range(30):  # exactly six words: now and then no bit, or few, is set
-        texts[1000 + n] = " ".join(f"y{r.randrange(10**6)}" for _ in range(6))
-    hashes = {i: frozenset(simhash.shingle_hashes(t, 5).tolist()) for i, t in texts.items()}
-    expected = {i: i for i in texts}
-    for _ in texts:
-        for a in texts:
-            for b in texts:
-                x, y = hashes[a], hashes[b]
-                if expected[a] < expected[b] and 10 * len(x & y) >= 8 * len(x | y):
-                    expected[b] = expected[a]
-    rows = by(simhash.near_duplicates(documents(spark, texts, ()), "doc_id", "text"))
-    assert {i: r.component for i, r in rows.items()} == expected
-
-
 def test_null_keys_and_empty_frames(spark):
     assert simhash.near_duplicates(empty(spark), "doc_id", "text", THREE_BITS).count() == 0
     assert simhash.first_of_groups(empty(spark), "doc_id", "text").count() == 0
@@ -228,6 +128,6 @@ def test_null_keys_and_empty_frames(spark):
 
 
 def test_settings():
-    assert THREE_BITS.exact and not simhash.NEAR_COPIES.exact
+    assert THREE_BITS.exact and not Settings(lanes=4).exact
     with pytest.raises(ValueError):
         Settings(lanes=1, bands=21)

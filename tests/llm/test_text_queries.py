@@ -60,7 +60,6 @@ def test_simhash(spark, texts):
 
 def test_packing(spark, texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     ids = {i: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], dtype="<u4") for i, t in texts.items()}
     pieces = sorted(rows(spark, "op5_packing"), key=lambda r: (r.sequence_id, r.offset))
     ends, covered = {}, {}
