@@ -25,8 +25,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of exact and near copies, the document with the smallest id."""
-    return simhash.first_of_groups(docs, "doc_id", "text", simhash.NEAR_COPIES)
+    """Of each group of documents whose fingerprints are linked at three bits, the one with the smallest id."""
+    return simhash.first_of_groups(docs, "doc_id", "text", simhash.THREE_BITS)
 
 
 def without_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
