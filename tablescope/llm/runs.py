@@ -39,8 +39,8 @@ def words_of(text: str | None) -> list[bytes]:
 
 def numbered(words: list[bytes]) -> np.ndarray:
     """Equal words have equal numbers."""
-    numbers: dict[bytes, int] = {}
-    return np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), dtype=np.int64, count=len(words))
+    numbers = {word: n for n, word in enumerate(dict.fromkeys(words))}
+    return np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words))
 
 
 def least_match(shortest: int) -> int:
@@ -109,6 +109,15 @@ class Diagonals:
         self.live[self.lags[over]] = False
         self.lags, self.begun = self.lags[~over], self.begun[~over]
 
+    def starts_stretch(self, here: np.ndarray, i: int) -> bool:
+        """Whether the occurrence of ``i`` that a diagonal may begin with is the first word of a
+        stretch whose two periods have been read: the third rule leaves it out."""
+        for begun, lag in zip(self.begun[:FEW].tolist(), self.lags[:FEW].tolist()):
+            first = begun - lag
+            if first <= i - 2 * lag and i - begun + self.size >= lag and here[first] == here[i]:
+                return first == 0 or here[first - 1] != here[i - 1]
+        return False
+
     def new_lags(self, i: int, earlier: np.ndarray) -> np.ndarray:
         """Lags to the occurrences before ``i`` (ascending) that are not left out by the rules above."""
         if len(earlier) > FEW:
@@ -124,6 +133,19 @@ class Diagonals:
         return lags[~self.live[lags]]
 
 
+def occurrences(here: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions by what stands there; where each position's equals begin in that order; and how
+    many of them come before it."""
+    order = np.argsort(here, kind="stable")
+    sorted_ = here[order]
+    starts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    sizes = np.diff(np.concatenate([starts, [len(here)]]))
+    first, rank = np.empty(len(here), dtype=np.int64), np.empty(len(here), dtype=np.int64)
+    first[order] = np.repeat(starts, sizes)
+    rank[order] = np.arange(len(here))
+    return order, first, rank - first
+
+
 def runs_of(ids: np.ndarray, shortest: int = SHORTEST) -> list[tuple[int, int, int]]:
     """(start, length, period) of every run, by start, then period."""
     size = least_match(shortest)
@@ -133,24 +155,22 @@ def runs_of(ids: np.ndarray, shortest: int = SHORTEST) -> list[tuple[int, int, i
     times = np.bincount(here)
     if times.max() == 1:
         return []
-    order = np.argsort(here, kind="stable")  # occurrences of each stretch, in order
-    ends = np.cumsum(times)
-    rank = np.empty(len(here), dtype=np.int64)
-    rank[order] = np.arange(len(here))
+    order, first, earlier_ones = occurrences(here)
+    # Where all earlier occurrences follow one and the same stretch, no diagonal begins.
+    _, _, after_same = occurrences(here[:-1] * (int(here.max()) + 1) + here[1:]) if len(here) > 1 else (0, 0, [])
+    begins = np.concatenate([[1], earlier_ones[1:] - after_same])  # how many may begin at each position
     table, last = Diagonals(ids, shortest), -1
-    for i in np.flatnonzero(times[here] > 1).tolist():
-        own = here[i]
+    busy = np.flatnonzero(times[here] > 1)
+    for i, beginning in zip(busy.tolist(), begins[busy].tolist()):
         if len(table.lags):
-            if i != last + 1:
-                table.end(np.ones(len(table.lags), dtype=bool), last)
-            else:
-                over = here[i - table.lags] != own
-                if over.any():
-                    table.end(over, last)
+            over = here[i - table.lags] != here[i] if i == last + 1 else np.ones(len(table.lags), dtype=bool)
+            if over.any():
+                table.end(over, last)
+                beginning = len(ids)  # diagonals that were not followed may have to be
         last = i
-        earlier = order[ends[own] - times[own] : rank[i]]
-        if not len(earlier):
+        if not beginning or not earlier_ones[i] or (beginning == 1 and table.starts_stretch(here, i)):
             continue
+        earlier = order[first[i] : first[i] + earlier_ones[i]]
         lags = table.new_lags(i, earlier)
         if len(lags):
             begun = np.full(len(lags), i)
