@@ -14,15 +14,18 @@ that order, so passages that many texts share bring few of them together. All se
 shingle among their first make a bucket. Inside a bucket sets lie in order of size. A large one is
 cut into tiles of neighbouring sizes, and only pairs of tiles whose sizes allow a link meet.
 
-1. Sets are sorted by their smallest hash, size and content. Equal sets are merged, and each set
-   is compared with the leaders before it that share its smallest hash. That links most near copies
-   early; it decides nothing, because
-2. every bucket in which two sets are not yet linked is searched through signatures. Buckets with
+1. Texts give (shingle, set) rows for the first shingles only. Sets that share none are done.
+2. The others are sorted by their smallest hash and size, and each is compared with the leaders
+   before it that share its smallest hash. That links most near copies early; it decides nothing,
+   because
+3. every bucket in which two sets are not yet linked is searched through signatures. Buckets with
    the same members are searched once. A set with a partner that may be linked to it is open.
-3. Open sets of one chain of such partners are compared in pairs of tiles, by bound and then by
+4. Open sets of one chain of such partners are compared in pairs of tiles, by bound and then by
    exact intersection of the sorted hashes.
 
-Pairs are never listed: a task merges what it links and sends one row per set at most.
+Sets are never stored: a step hashes the texts that it needs anew. A set is named by 64 bits of a
+hash of all its shingles, so the same text has the same name in every step. Pairs are never listed:
+a task merges what it links and sends one row per set at most.
 """
 
 from __future__ import annotations
@@ -30,11 +33,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tablescope.llm.common import free, in_order, stored
-from tablescope.llm.simhash import components, merged, shingle_hashes
+from tablescope.llm.simhash import components, merged
 from tablescope.workspace import new_path, partitions_for
 
 WORDS, PERCENT = 4, 85
@@ -47,6 +51,42 @@ CARRIED = 2048
 # Shingles counted at once, least count there, and how many frequent ones the order knows. These
 # only settle which shingles are looked at first, never what is linked.
 COUNTED, OFTEN, FREQUENT = 2_000_000, 3, 200_000
+# Words whose hashes a Python worker remembers; beyond it the memory starts anew.
+REMEMBERED = 500_000
+# Up to so many sets are picked out of the texts by a broadcast of their hashes (16 MB), more by a join.
+PICKED = 1_000_000
+
+
+class WordHashes(dict):
+    """XXH64 of words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
+HASHES = WordHashes()
+
+
+def set_of(text: str | None, words: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles: the hashes of their words, mixed one after the other."""
+    found = (text or "").encode().lower().split()
+    if not found:
+        return np.zeros(0, dtype=np.uint64)
+    hashes = np.fromiter(map(HASHES.__getitem__, found), dtype=np.uint64, count=len(found))
+    size = min(words, len(found))
+    n = len(found) - size + 1
+    mixed = np.full(n, size, dtype=np.uint64)
+    for k in range(size):
+        mixed = (mixed ^ hashes[k : k + n]) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed * np.uint64(0x94D049BB133111EB))
+
+
+def name_of(shingles: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
 
 
 def linked(common, size, other, percent: int):
@@ -104,65 +144,58 @@ def similar(a, b, percent: int) -> bool:
     return linked(len(np.intersect1d(a[0], b[0], assume_unique=True)), n, m, percent)
 
 
-def shingle_sets(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """key, node (a hash of the set), n, low (the smallest hash) and shingles (sorted) of every row.
-
-    A task gives each set once; where it comes again in the task, ``shingles`` is null.
-    """
-    rows = df.select(df[key].alias("key"), df[text].alias("text"))
-    kind = df.schema[key].dataType.simpleString()
+def named_sets(rows: DataFrame, words: int) -> DataFrame:
+    """Rows of two kinds. ``row``: key, name, n and mark of every row of (key, mark, text).
+    ``often``: name is a shingle that stands in n sets of a run of about ``COUNTED`` shingles, at
+    least ``OFTEN``; one in more sets than there are runs, ``OFTEN`` times over, is never missed."""
+    kind = rows.schema["key"].dataType
+    key_type = to_arrow_type(kind)
+    columns = ["kind", "key", "name", "n", "mark"]
+    # One per task: what was not counted yet.
+    held: list[np.ndarray] = []
+
+    def result(keys, marks, sets, names, first):
+        held.extend(own for own, new in zip(sets, first) if new and len(own))
+        count = len(names)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(["row"] * count), keys, pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), marks],
+            names=columns,
+        )
+        if sum(map(len, held)) >= COUNTED:
+            yield often()
+
+    def often():
+        found, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
+        held.clear()
+        keep = times >= OFTEN
+        found, times = found[keep].astype(np.int64), times[keep].astype(np.int64)
+        none = pa.nulls(len(found), key_type)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(["often"] * len(found), pa.string()), none, pa.array(found), pa.array(times), pa.nulls(len(found), pa.int64())],
+            names=columns,
+        )
 
-    def hashed(batches):
-        seen = set()
+    def counted(batches):
+        held.clear()
+        seen: set[int] = set()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in part.column(1)]
-                nodes, spelled = [], []
-                for own in sets:
-                    data = own.tobytes()
-                    node = xxhash.xxh3_128_digest(data)
-                    spelled.append(data if len(own) and node not in seen else None)
-                    seen.add(node)
-                    nodes.append(node)
-                lows = pa.array([int(own[0].astype(np.int64)) if len(own) else None for own in sets], pa.int64())
-                columns = [part.column(0), pa.array(nodes, pa.binary()), pa.array([len(own) for own in sets], pa.int64())]
-                columns += [lows, pa.array(spelled, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "n", "low", "shingles"])
-
-    return rows.mapInArrow(hashed, f"key {kind}, node binary, n long, low long, shingles binary")
-
-
-def frequent_shingles(sets: DataFrame) -> np.ndarray:
-    """Rows (hash, count), by hash, of shingles that stand in many sets.
-
-    Shingles are counted in runs of about ``COUNTED``. One that stands in more sets than there are
-    runs, ``OFTEN`` times over, is in no case missed. The most frequent ``FREQUENT`` are kept.
-    """
+                sets = [set_of(t.as_py(), words) for t in part.column(2)]
+                names = [name_of(own) for own in sets]
+                first = [name not in seen for name in names]
+                seen.update(names)
+                yield from result(part.column(0), part.column(1), sets, names, first)
+        yield often()
 
-    def counted(batches):
-        def often(parts):
-            found, times = np.unique(np.concatenate(parts), return_counts=True)
-            keep = times >= OFTEN
-            return pa.RecordBatch.from_arrays(
-                [pa.array(found[keep].astype(np.int64)), pa.array(times[keep])], names=["shingle", "times"]
-            )
-
-        held, size = [], 0
-        for batch in batches:
-            for data in batch.column(0):
-                held.append(np.frombuffer(data.as_buffer(), dtype=np.uint64))
-                size += len(held[-1])
-                if size >= COUNTED:
-                    yield often(held)
-                    held, size = [], 0
-        if held:
-            yield often(held)
-
-    rows = sets.select("shingles").mapInArrow(counted, "shingle long, times long")
-    total = rows.groupBy("shingle").agg(F.sum("times").alias("times"))
-    top = total.orderBy(F.col("times").desc(), "shingle").limit(FREQUENT).collect()
-    out = np.array([(r.shingle, r.times) for r in top], dtype=np.int64).reshape(-1, 2)
+    return rows.mapInArrow(counted, f"kind string, key {kind.simpleString()}, name long, n long, mark long")
+
+
+def frequent_shingles(often: DataFrame) -> np.ndarray:
+    """Rows (hash, count), by hash, of the ``FREQUENT`` most frequent shingles that were counted."""
+    total = often.groupBy("name").agg(F.sum("n").alias("times"))
+    top = total.orderBy(F.col("times").desc(), "name").limit(FREQUENT).collect()
+    out = np.array([(r["name"], r["times"]) for r in top], dtype=np.int64).reshape(-1, 2)
     return out[np.argsort(out[:, 0].astype(np.uint64))]
 
 
@@ -177,62 +210,106 @@ def prefix(shingles: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarr
     return shingles[np.argsort(times, kind="stable")[:size]]
 
 
-def with_leaders(sets: DataFrame, percent: int, frequent: np.ndarray | None) -> DataFrame:
-    """Sets (low, n, node, row, shingles), sorted here, next to the leaders before them.
+def prefix_keys(rows: DataFrame, words: int, frequent: np.ndarray, percent: int) -> DataFrame:
+    """(key, row, n): a row per shingle in the prefix of every set; a task gives each set once."""
 
-    Gives rows of three kinds. ``set``: a distinct set with its label, the row of its leader or its
-    own. ``key``: one per shingle of a set's prefix (only with ``frequent``). ``leader``: the leaders
-    of a task's first and last smallest hash, which may go on in another task.
+    def dealt(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                keys, names, sizes = [], [], []
+                for text in batch.slice(start, 256).column(2):
+                    own = set_of(text.as_py(), words)
+                    name = name_of(own)
+                    if len(own) and name not in seen:
+                        seen.add(name)
+                        keys.append(prefix(own, frequent, percent))
+                        names.append(name)
+                        sizes.append(len(own))
+                if keys:
+                    times = [len(k) for k in keys]
+                    columns = [np.concatenate(keys).astype(np.int64), np.repeat(names, times), np.repeat(sizes, times)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "row", "n"])
+
+    return rows.mapInArrow(dealt, "key long, row long, n long")
+
+
+def picked_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(row, low, n, shingles) of the sets of ``wanted`` (row, mark), in the texts of those marks.
+
+    A task gives each set once; copies in other tasks come again.
     """
-    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = partitions_for(sets.sparkSession, total // 4)
-    order = ["low", "n", "node"]
-    rows = sets.select(*order, "row", "shingles").repartitionByRange(parts, *order).sortWithinPartitions(*order, "row")
-    hashes = np.zeros((0, 2), dtype=np.int64) if frequent is None else frequent
-    schema = "kind string, key long, row long, label long, n long, node binary, data binary"
+    marks = wanted.select("mark").distinct()
+    if wanted.count() <= PICKED:
+        marks = F.broadcast(marks)
+
+    def hashed(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                out = []
+                for text in batch.slice(start, 256).column(2):
+                    own = set_of(text.as_py(), words)
+                    name = name_of(own)
+                    if name not in seen:
+                        seen.add(name)
+                        out.append((name, int(own[0].astype(np.int64)), len(own), own.tobytes()))
+                columns = zip(*out) if out else ((), (), (), ())
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["row", "low", "n", "shingles"])
+
+    found = rows.join(marks, "mark", "left_semi").select("key", "mark", "text")
+    return found.mapInArrow(hashed, "row long, low long, n long, shingles binary")
+
+
+def with_leaders(sets: DataFrame, parts: int, percent: int, edges: bool = True) -> DataFrame:
+    """Sets (low, n, row, shingles), sorted here, next to the leaders before them.
+
+    Gives rows of two kinds. ``set``: a distinct set with its label (its leader's name or its own)
+    and signature. ``leader``: with ``edges``, the leaders of a task's first and last smallest hash,
+    which may go on in another task.
+    """
+    order = ["low", "n", "row"]
+    rows = sets.select(*order, "shingles").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    names = ["kind", "low", "row", "label", "n", "data"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def batch_of(out):
+        columns = zip(*out) if out else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     def compared(batches):
-        low, node, set_row, set_label, first = None, None, None, None, True
-        leaders: list[tuple] = []  # row, (shingles, signature)
+        low, last, first = None, None, edges
+        leaders: list[tuple] = []  # name, (shingles, signature)
 
         def edge():
-            return [("leader", low, row, row, len(own[0]), None, own[0].tobytes()) for row, own in leaders]
+            return [("leader", low, row, row, len(own[0]), own[0].tobytes()) for row, own in leaders]
 
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 out = []
-                for own_low, n, own_node, row, data in zip(*(c.to_pylist() for c in batch.slice(start, 512).columns)):
-                    if own_node == node:  # a copy of the set before it, from another task
+                for own_low, n, row, data in zip(*(c.to_pylist() for c in batch.slice(start, 512).columns)):
+                    if row == last:  # a copy of the set before it, from another task
                         continue
                     if own_low != low:
-                        if first and low is not None:
+                        if first and leaders:
                             out += edge()
                             first = False
                         low, leaders = own_low, []
-                    node, set_row = own_node, row
+                    last = row
                     shingles = np.frombuffer(data, dtype=np.uint64)
                     own = shingles, signature(shingles)
                     near = [r for r, other in leaders if similar(own, other, percent)]
-                    set_label = near[0] if near else row
+                    label = near[0] if near else row
                     if not near:
                         leaders = [(row, own), *leaders[: LEADERS - 1]]
-                    out.append(("set", None, row, set_label, n, node, folded(own[1], CARRIED // 64).tobytes()))
-                    out += [("set", None, r, set_label, n, None, None) for r in near[1:]]
-                    if frequent is not None:
-                        keys = prefix(shingles, hashes, percent).astype(np.int64).tolist()
-                        out += [("key", key, row, set_label, n, None, None) for key in keys]
+                    out.append(("set", None, row, label, n, folded(own[1], CARRIED // 64).tobytes()))
+                    out += [("set", None, r, label, n, None) for r in near[1:]]
                 yield batch_of(out)
-        if leaders:
+        if edges and leaders:
             yield batch_of(edge())
 
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    names = ["kind", "key", "row", "label", "n", "node", "data"]
-
-    def batch_of(out):
-        columns = zip(*out) if out else [()] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
-
-    return rows.mapInArrow(compared, schema)
+    return rows.mapInArrow(compared, "kind string, low long, row long, label long, n long, data binary")
 
 
 def search_bucket(n, label, row, data, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -327,18 +404,16 @@ def tiled(rows: DataFrame, by: str, size: int, percent: int) -> tuple[DataFrame,
 
 def open_chains(keys: DataFrame, labels: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """(fp, other) of sets that share a prefix shingle, by whose signatures they may be linked."""
+    rows = keys.join(labels.select(F.col("fp").alias("row"), "label"), "row", "left")
+    rows, rows_path = stored(rows.select("key", "row", "n", F.coalesce("label", "row").alias("label")), "bucket-rows")
     one, two = F.bit_xor(F.xxhash64("row")).alias("one"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("two")
-    mixed = keys.groupBy("key").agg(
+    mixed = rows.groupBy("key").agg(
         F.count(F.lit(1)).alias("rows"), F.min("label").alias("least"), F.max("label").alias("most"), one, two
     )
     # Buckets with the same members: one is enough.
     wanted = mixed.filter("least < most").groupBy("rows", "one", "two").agg(F.min("key").alias("key"))
     wanted, wanted_path = stored(wanted.select("key"), "wanted-keys")
-    rows = keys.select("key", "row", "n").join(wanted, "key", "left_semi")
-    rows = rows.join(labels.select(F.col("fp").alias("row"), F.col("label").alias("new")), "row", "left")
-    rows, rows_path = stored(rows.select("key", "row", "n", F.coalesce("new", "row").alias("label")), "bucket-rows")
-    both = rows.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most")
-    rows, mixed_path = stored(rows.join(both.select("key"), "key", "left_semi").join(signs, "row"), "mixed-rows")
+    rows, mixed_path = stored(rows.join(wanted, "key", "left_semi").join(signs, "row"), "mixed-rows")
     free(keys.sparkSession, wanted_path, rows_path)
     dealt, paths = tiled(rows, "key", TILE, percent)
 
@@ -375,32 +450,41 @@ def compared(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found
 
 
-def set_components(sets: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
-    """(node, label) of every distinct set: sets with one label are one component."""
-    spark = sets.sparkSession
-    frequent, path = frequent_shingles(sets), new_path(spark, "dealt")
-    dealt = with_leaders(sets, percent, frequent)
+def shared_keys(keys: DataFrame) -> tuple[DataFrame, str]:
+    """The distinct rows of ``keys`` whose shingle several sets have among their first."""
+    keys, path = stored(keys, "prefix-keys")
+    shared = keys.groupBy("key").agg(F.min("row").alias("least"), F.max("row").alias("most")).filter("least < most")
+    shared, shared_path = stored(shared.select("key"), "shared-keys")
+    out = stored(keys.join(shared, "key", "left_semi").distinct(), "shared-rows")
+    free(keys.sparkSession, path, shared_path)
+    return out
+
+
+def set_labels(texts: DataFrame, named: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
+    """(fp, label) of the sets that are linked with another one: one label per component."""
+    spark = texts.sparkSession
+    keys, keys_path = shared_keys(prefix_keys(texts, words, frequent, percent))
+    wanted = named.withColumnRenamed("name", "row").join(keys.select("row").distinct(), "row", "left_semi")
+    wanted, wanted_path = stored(wanted.groupBy("row").agg(F.min("n").alias("n"), F.min("mark").alias("mark")), "wanted-sets")
+    total = wanted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    path = new_path(spark, "dealt")
+    dealt = with_leaders(picked_sets(texts, wanted, words), partitions_for(spark, total // 4), percent)
     dealt.write.option("compression", "zstd").partitionBy("kind").parquet(path)
     dealt = spark.read.schema(dealt.schema).parquet(path)
-    of = {kind: dealt.filter(F.col("kind") == kind).drop("kind") for kind in ("set", "key", "leader")}
-    leaders = of["leader"].select(F.col("key").alias("low"), "n", F.hex("row").cast("binary").alias("node"), "row", F.col("data").alias("shingles"))
-    again, again_path = stored(with_leaders(leaders, percent, None).filter("kind = 'set'"), "leaders")
-    early = of["set"].select(F.col("row").alias("fp"), F.col("label").alias("other"))
+    found, leaders = (dealt.filter(F.col("kind") == kind).drop("kind") for kind in ("set", "leader"))
+    again = with_leaders(leaders.withColumnRenamed("data", "shingles"), partitions_for(spark, 0), percent, edges=False)
+    early = found.select(F.col("row").alias("fp"), F.col("label").alias("other"))
     early = early.unionAll(again.select(F.col("row").alias("fp"), F.col("label").alias("other")))
     early, early_path = stored(early.filter("fp <> other").distinct(), "early-links")
     labels = components(early)
-    distinct = of["set"].filter(F.col("node").isNotNull())
-    found = open_chains(of["key"], labels, distinct.select("row", "data"), percent)
-    chains = components(found.filter("fp <> other"))
-    named = distinct.select("row", "n").join(chains.select(F.col("fp").alias("row"), F.col("label").alias("chain")), "row")
-    named = named.join(labels.select(F.col("fp").alias("row"), "label"), "row", "left")
-    open_, open_path = stored(named.select("row", "n", "chain", F.coalesce("label", "row").alias("label")), "open-sets")
-    late = compared(open_, sets, percent)
+    chains = components(open_chains(keys, labels, found.filter("data is not null").select("row", "data"), percent))
+    chained = wanted.join(chains.select(F.col("fp").alias("row"), F.col("label").alias("chain")), "row")
+    chained = chained.join(labels.select(F.col("fp").alias("row"), "label"), "row", "left")
+    open_, open_path = stored(chained.select("row", "n", "mark", "chain", F.coalesce("label", "row").alias("label")), "open-sets")
+    late = compared(open_, picked_sets(texts, open_, words), percent)
     labels = components(early.unionAll(late))
-    out = distinct.select("node", "row").join(labels.select(F.col("fp").alias("row"), "label"), "row", "left")
-    out, out_path = stored(out.select("node", F.coalesce("label", "row").alias("label")), "set-labels")
-    free(spark, path, again_path, early_path, open_path)
-    return out, [out_path]
+    free(spark, keys_path, wanted_path, path, early_path, open_path)
+    return labels
 
 
 def join(df: DataFrame, key: str, text: str, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -412,21 +496,25 @@ def join(df: DataFrame, key: str, text: str, words: int = WORDS, percent: int =
     where a component has no other. Repeated rows each give a row, an empty frame none; whole texts
     are read, and further columns are not.
     """
-    spark: SparkSession = df.sparkSession
-    rows = shingle_sets(df, key, text, words).withColumn("row", F.monotonically_increasing_id())
-    rows, path = stored(rows, "shingle-sets")
-    labels, label_paths = set_components(rows.filter(F.col("shingles").isNotNull()), percent)
-    narrow = rows.select("key", "node", "n")
-    least = narrow.filter("n > 0").groupBy("node").agg(F.min("key").alias("least"))
-    labelled, labelled_path = stored(least.join(labels, "node"), "labelled")
+    spark = df.sparkSession
+    texts = df.select(df[key].alias("key"), F.xxhash64(df[text]).alias("mark"), df[text].alias("text"))
+    named, path = named_sets(texts, words), new_path(spark, "named-sets")
+    named.write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    named = spark.read.schema(named.schema).parquet(path)
+    frequent = frequent_shingles(named.filter("kind = 'often'"))
+    named = named.filter("kind = 'row'").select("key", "name", "n", "mark")
+    filled = named.filter("n > 0")
+    labels = set_labels(texts, filled.drop("key"), frequent, words, percent)
+    least = filled.groupBy("name").agg(F.min("key").alias("least"))
+    least = least.join(labels.select(F.col("fp").alias("name"), "label"), "name", "left")
+    labelled, labelled_path = stored(least.withColumn("label", F.coalesce("label", "name")), "labelled")
     smallest = labelled.groupBy("label").agg(F.min("least").alias("component"))
     smallest, smallest_path = stored(smallest, "smallest")
-    classes, classes_path = stored(labelled.select("node", "label").join(smallest, "label").select("node", "component"), "classes")
-    out = narrow.join(classes, "node", "left").select(
-        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component")
-    )
+    classes, classes_path = stored(labelled.select("name", "label").join(smallest, "label").select("name", "component"), "classes")
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component")
+    out = named.join(classes, "name", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component)
     out, _ = stored(out, "jaccard")
-    free(spark, path, *label_paths, labelled_path, smallest_path, classes_path)
+    free(spark, path, labelled_path, smallest_path, classes_path)
     return out
 
 

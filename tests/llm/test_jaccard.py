@@ -98,6 +98,19 @@ def test_links_that_only_buckets_find(spark, monkeypatch):
     assert found(spark, texts) == plain_join(texts)
 
 
+def test_sets_have_the_shingles_of_the_text():
+    for text in [t for i, t in TEXTS.items() if i != 7] + ["a", "a b", "a b c d", "a b c d a b c d", "b a d c"]:
+        assert len(jaccard.set_of(text, 4)) == len(plain_set(text))
+    a, b = jaccard.set_of("a b c d e", 4), jaccard.set_of("x a B c D", 4)
+    assert len(np.intersect1d(a, b)) == 1 and not len(np.intersect1d(jaccard.set_of("a b", 4), jaccard.set_of("b a", 4)))
+
+
+def test_more_sets_than_a_broadcast_takes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PICKED", 0)
+    texts = corpus(8, 4)
+    assert found(spark, texts) == plain_join(texts)
+
+
 def test_prefixes_of_linked_sets_meet():
     r = np.random.default_rng(1)
     for n in list(range(1, 40)) + [100, 333]:
