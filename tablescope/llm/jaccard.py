@@ -39,18 +39,20 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tablescope.llm.common import free, in_order, stored
 from tablescope.llm.simhash import components, merged
-from tablescope.workspace import new_path, partitions_for
+from tablescope.workspace import new_path
 
 WORDS, PERCENT = 4, 85
+# Sets of one task when sets meet their leaders.
+SORTED = 5_000
 # Sets of one tile, when buckets are searched and when open sets are compared.
 TILE, OPEN_TILE = 4096, 512
 # Leaders of one smallest hash that a set is compared with; buckets find the links beyond.
 LEADERS = 64
 # Bits of a signature that travel with a bucket; wider ones are folded.
 CARRIED = 2048
-# Shingles counted at once, least count there, and how many frequent ones the order knows. These
-# only settle which shingles are looked at first, never what is linked.
-COUNTED, OFTEN, FREQUENT = 2_000_000, 3, 200_000
+# Shingles counted at once, least count there, how many frequent ones the order knows, and from
+# what count on a shingle is one (a bucket of fewer sets costs little). These only settle which shingles are looked at first, never what is linked.
+COUNTED, OFTEN, FREQUENT, HOT = 2_000_000, 3, 200_000, 500
 # Words whose hashes a Python worker remembers; beyond it the memory starts anew.
 REMEMBERED = 500_000
 # Up to so many sets are picked out of the texts by a broadcast of their hashes (16 MB), more by a join.
@@ -85,6 +87,10 @@ def set_of(text: str | None, words: int) -> np.ndarray:
     return np.unique(mixed * np.uint64(0x94D049BB133111EB))
 
 
+def low_of(shingles: np.ndarray) -> int:
+    return int(shingles[0].astype(np.int64))
+
+
 def name_of(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
 
@@ -150,7 +156,7 @@ def named_sets(rows: DataFrame, words: int) -> DataFrame:
     least ``OFTEN``; one in more sets than there are runs, ``OFTEN`` times over, is never missed."""
     kind = rows.schema["key"].dataType
     key_type = to_arrow_type(kind)
-    columns = ["kind", "key", "name", "n", "mark"]
+    columns = ["kind", "key", "name", "n", "low", "mark"]
     # One per task: what was not counted yet.
     held: list[np.ndarray] = []
 
@@ -158,7 +164,8 @@ def named_sets(rows: DataFrame, words: int) -> DataFrame:
         held.extend(own for own, new in zip(sets, first) if new and len(own))
         count = len(names)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(["row"] * count), keys, pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), marks],
+            [pa.array(["row"] * count), keys, pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+            + [pa.array([low_of(s) if len(s) else None for s in sets], pa.int64()), marks],
             names=columns,
         )
         if sum(map(len, held)) >= COUNTED:
@@ -169,10 +176,9 @@ def named_sets(rows: DataFrame, words: int) -> DataFrame:
         held.clear()
         keep = times >= OFTEN
         found, times = found[keep].astype(np.int64), times[keep].astype(np.int64)
-        none = pa.nulls(len(found), key_type)
+        none, nulls = pa.nulls(len(found), key_type), pa.nulls(len(found), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array(["often"] * len(found), pa.string()), none, pa.array(found), pa.array(times), pa.nulls(len(found), pa.int64())],
-            names=columns,
+            [pa.array(["often"] * len(found), pa.string()), none, pa.array(found), pa.array(times), nulls, nulls], names=columns
         )
 
     def counted(batches):
@@ -188,12 +194,12 @@ def named_sets(rows: DataFrame, words: int) -> DataFrame:
                 yield from result(part.column(0), part.column(1), sets, names, first)
         yield often()
 
-    return rows.mapInArrow(counted, f"kind string, key {kind.simpleString()}, name long, n long, mark long")
+    return rows.mapInArrow(counted, f"kind string, key {kind.simpleString()}, name long, n long, low long, mark long")
 
 
 def frequent_shingles(often: DataFrame) -> np.ndarray:
     """Rows (hash, count), by hash, of the ``FREQUENT`` most frequent shingles that were counted."""
-    total = often.groupBy("name").agg(F.sum("n").alias("times"))
+    total = often.groupBy("name").agg(F.sum("n").alias("times")).filter(F.col("times") >= HOT)
     top = total.orderBy(F.col("times").desc(), "name").limit(FREQUENT).collect()
     out = np.array([(r["name"], r["times"]) for r in top], dtype=np.int64).reshape(-1, 2)
     return out[np.argsort(out[:, 0].astype(np.uint64))]
@@ -234,12 +240,14 @@ def prefix_keys(rows: DataFrame, words: int, frequent: np.ndarray, percent: int)
     return rows.mapInArrow(dealt, "key long, row long, n long")
 
 
-def picked_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+def picked_sets(rows: DataFrame, wanted: DataFrame, words: int, parts: bool = False) -> DataFrame:
     """(row, low, n, shingles) of the sets of ``wanted`` (row, mark), in the texts of those marks.
 
-    A task gives each set once; copies in other tasks come again.
+    With ``parts``, also ``part`` of ``wanted``. A task gives each set once; copies in other tasks
+    come again.
     """
-    marks = wanted.select("mark").distinct()
+    part = F.min("part") if parts else F.lit(0)
+    marks = wanted.groupBy("mark").agg(part.alias("part"))
     if wanted.count() <= PICKED:
         marks = F.broadcast(marks)
 
@@ -247,30 +255,31 @@ def picked_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                out = []
-                for text in batch.slice(start, 256).column(2):
+                out, some = [], batch.slice(start, 256)
+                for text, part in zip(some.column(0), some.column(1).to_pylist()):
                     own = set_of(text.as_py(), words)
                     name = name_of(own)
                     if name not in seen:
                         seen.add(name)
-                        out.append((name, int(own[0].astype(np.int64)), len(own), own.tobytes()))
-                columns = zip(*out) if out else ((), (), (), ())
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["row", "low", "n", "shingles"])
+                        out.append((name, low_of(own), len(own), own.tobytes(), part))
+                columns = zip(*out) if out else ((),) * 5
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+                names = ["row", "low", "n", "shingles", "part"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    found = rows.join(marks, "mark", "left_semi").select("key", "mark", "text")
-    return found.mapInArrow(hashed, "row long, low long, n long, shingles binary")
+    found = rows.join(marks, "mark").select("text", F.col("part").cast("long").alias("part"))
+    return found.mapInArrow(hashed, "row long, low long, n long, shingles binary, part long")
 
 
-def with_leaders(sets: DataFrame, parts: int, percent: int, edges: bool = True) -> DataFrame:
-    """Sets (low, n, row, shingles), sorted here, next to the leaders before them.
+def with_leaders(sets: DataFrame, percent: int, edges: bool = True) -> DataFrame:
+    """Sets (part, low, n, row, shingles), sorted here, next to the leaders before them.
 
-    Gives rows of two kinds. ``set``: a distinct set with its label (its leader's name or its own)
-    and signature. ``leader``: with ``edges``, the leaders of a task's first and last smallest hash,
-    which may go on in another task.
+    Sets of one part meet. Gives rows of two kinds. ``set``: a distinct set with its label (its leader's name or its own)
+    and signature. ``leader``: with ``edges``, the leaders of a part's first and last smallest hash,
+    which may go on in another part.
     """
-    order = ["low", "n", "row"]
-    rows = sets.select(*order, "shingles").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    order = ["part", "low", "n", "row"]
+    rows = sets.select(*order, "shingles").repartition("part").sortWithinPartitions(*order)
     names = ["kind", "low", "row", "label", "n", "data"]
     types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
@@ -279,23 +288,22 @@ def with_leaders(sets: DataFrame, parts: int, percent: int, edges: bool = True)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     def compared(batches):
-        low, last, first = None, None, edges
+        part, low, last, first = None, None, None, False
         leaders: list[tuple] = []  # name, (shingles, signature)
 
         def edge():
-            return [("leader", low, row, row, len(own[0]), own[0].tobytes()) for row, own in leaders]
+            return [("leader", low, row, row, len(own[0]), own[0].tobytes()) for row, own in leaders] if edges else []
 
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 out = []
-                for own_low, n, row, data in zip(*(c.to_pylist() for c in batch.slice(start, 512).columns)):
+                for own_part, own_low, n, row, data in zip(*(c.to_pylist() for c in batch.slice(start, 512).columns)):
                     if row == last:  # a copy of the set before it, from another task
                         continue
-                    if own_low != low:
-                        if first and leaders:
+                    if (own_part, own_low) != (part, low):
+                        if first or own_part != part:
                             out += edge()
-                            first = False
-                        low, leaders = own_low, []
+                        part, low, leaders, first = own_part, own_low, [], own_part != part
                     last = row
                     shingles = np.frombuffer(data, dtype=np.uint64)
                     own = shingles, signature(shingles)
@@ -306,8 +314,7 @@ def with_leaders(sets: DataFrame, parts: int, percent: int, edges: bool = True)
                     out.append(("set", None, row, label, n, folded(own[1], CARRIED // 64).tobytes()))
                     out += [("set", None, r, label, n, None) for r in near[1:]]
                 yield batch_of(out)
-        if edges and leaders:
-            yield batch_of(edge())
+        yield batch_of(edge())
 
     return rows.mapInArrow(compared, "kind string, low long, row long, label long, n long, data binary")
 
@@ -450,10 +457,16 @@ def compared(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return found
 
 
-def shared_keys(keys: DataFrame) -> tuple[DataFrame, str]:
+def shared_keys(keys: DataFrame, percent: int) -> tuple[DataFrame, str]:
     """The distinct rows of ``keys`` whose shingle several sets have among their first."""
     keys, path = stored(keys, "prefix-keys")
-    shared = keys.groupBy("key").agg(F.min("row").alias("least"), F.max("row").alias("most")).filter("least < most")
+    shared = keys.groupBy("key").agg(
+        F.min("row").alias("least"), F.max("row").alias("most"), F.count(F.lit(1)).alias("rows"),
+        F.min("n").alias("small"), F.max("n").alias("large"),
+    )
+    # Two sets alone whose sizes rule out a link need not meet.
+    apart = (F.col("rows") == 2) & ~may_meet(F.col("small"), F.col("large"), percent)
+    shared = shared.filter((F.col("least") < F.col("most")) & ~apart)
     shared, shared_path = stored(shared.select("key"), "shared-keys")
     out = stored(keys.join(shared, "key", "left_semi").distinct(), "shared-rows")
     free(keys.sparkSession, path, shared_path)
@@ -463,16 +476,19 @@ def shared_keys(keys: DataFrame) -> tuple[DataFrame, str]:
 def set_labels(texts: DataFrame, named: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
     """(fp, label) of the sets that are linked with another one: one label per component."""
     spark = texts.sparkSession
-    keys, keys_path = shared_keys(prefix_keys(texts, words, frequent, percent))
+    keys, keys_path = shared_keys(prefix_keys(texts, words, frequent, percent), percent)
     wanted = named.withColumnRenamed("name", "row").join(keys.select("row").distinct(), "row", "left_semi")
-    wanted, wanted_path = stored(wanted.groupBy("row").agg(F.min("n").alias("n"), F.min("mark").alias("mark")), "wanted-sets")
-    total = wanted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    wanted = wanted.groupBy("row").agg(*(F.min(c).alias(c) for c in ("n", "low", "mark")))
+    # Parts are cut from the order of names and sizes alone, so that a hot smallest hash is split.
+    wanted = in_order(wanted, ["low", "n", "row"], label="set-order")
+    wanted, wanted_path = stored(wanted.withColumn("part", F.expr(f"position div {SORTED}")).drop("position"), "wanted-sets")
     path = new_path(spark, "dealt")
-    dealt = with_leaders(picked_sets(texts, wanted, words), partitions_for(spark, total // 4), percent)
+    dealt = with_leaders(picked_sets(texts, wanted, words, parts=True), percent)
     dealt.write.option("compression", "zstd").partitionBy("kind").parquet(path)
     dealt = spark.read.schema(dealt.schema).parquet(path)
     found, leaders = (dealt.filter(F.col("kind") == kind).drop("kind") for kind in ("set", "leader"))
-    again = with_leaders(leaders.withColumnRenamed("data", "shingles"), partitions_for(spark, 0), percent, edges=False)
+    leaders = leaders.withColumnRenamed("data", "shingles").withColumn("part", F.col("low"))
+    again = with_leaders(leaders, percent, edges=False)
     early = found.select(F.col("row").alias("fp"), F.col("label").alias("other"))
     early = early.unionAll(again.select(F.col("row").alias("fp"), F.col("label").alias("other")))
     early, early_path = stored(early.filter("fp <> other").distinct(), "early-links")
@@ -502,7 +518,7 @@ def join(df: DataFrame, key: str, text: str, words: int = WORDS, percent: int =
     named.write.option("compression", "zstd").partitionBy("kind").parquet(path)
     named = spark.read.schema(named.schema).parquet(path)
     frequent = frequent_shingles(named.filter("kind = 'often'"))
-    named = named.filter("kind = 'row'").select("key", "name", "n", "mark")
+    named = named.filter("kind = 'row'").select("key", "name", "n", "low", "mark")
     filled = named.filter("n > 0")
     labels = set_labels(texts, filled.drop("key"), frequent, words, percent)
     least = filled.groupBy("name").agg(F.min("key").alias("least"))

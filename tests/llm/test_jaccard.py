@@ -107,6 +107,8 @@ def test_sets_have_the_shingles_of_the_text():
 
 def test_more_sets_than_a_broadcast_takes(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "PICKED", 0)
+    monkeypatch.setattr(jaccard, "SORTED", 5)
+    monkeypatch.setattr(jaccard, "HOT", 3)
     texts = corpus(8, 4)
     assert found(spark, texts) == plain_join(texts)
 
