@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.operators import layout, lineage, paths
+from tablescope.operators import closure, layout, lineage, paths
 from tablescope.operators.graph import DOWNSTREAM, UPSTREAM, one_root
 from tablescope.plans import inputs
 from tablescope.plans.registry import Tables, query
@@ -335,14 +335,61 @@ PAIRS_SQL = """pairs AS (
     FROM pairs p LEFT JOIN hops h ON h.root = p.source AND h.node = p.target GROUP BY p.source, p.target""",
 )
 def g10(t: Tables) -> DataFrame:
+    with inputs.graph(t) as graph:
+        return paths.lineage_distances(graph, _distance_pairs(t))
+
+
+def _distance_pairs(t: Tables) -> DataFrame:
     line = F.col("l_linenumber")
     own = t["lineitem"].select("l_orderkey", line, F.concat(F.lit("raw.supplier.s"), "l_suppkey").alias("source"))
     after = t["lineitem"].select(
         "l_orderkey", (line - 1).alias("l_linenumber"), F.concat(F.lit("stage.part.p"), "l_partkey").alias("target")
     )
-    pairs = own.join(after, ["l_orderkey", "l_linenumber"]).select("source", "target")
-    with inputs.graph(t) as graph:
-        return paths.lineage_distances(graph, pairs)
+    return own.join(after, ["l_orderkey", "l_linenumber"]).select("source", "target")
+
+
+@query(
+    "g10_distances_by_closure",
+    _with(
+        inputs.EDGES_SQL,
+        PAIRS_SQL,
+        _reach("hops", "edges", "SELECT DISTINCT source AS root, source AS node FROM pairs", "source", "target", 40),
+    )
+    + """ SELECT p.source, p.target, coalesce(min(h.dist), 5)::INTEGER AS distance
+    FROM pairs p LEFT JOIN hops h ON h.root = p.source AND h.node = p.target GROUP BY p.source, p.target""",
+)
+def g10_closure(t: Tables) -> DataFrame:
+    return closure.distances_of_pairs(closure.closure(inputs.edges(t)), _distance_pairs(t))
+
+
+ALL_HOPS_SQL = """
+  hops_all(root, node, dist) AS (
+    SELECT source, target, 1 FROM {edges} UNION
+    SELECT h.root, e.target, h.dist + 1 FROM hops_all h JOIN {edges} e ON e.source = h.node WHERE h.dist < 40
+  ), hops AS (SELECT root, node, min(dist) AS dist FROM hops_all GROUP BY root, node)"""
+
+
+@query(
+    "g6_families_of_all_tables",
+    _with(inputs.FLOW_SQL, ALL_HOPS_SQL.format(edges="flow"))
+    + """ SELECT root, node AS member FROM hops UNION SELECT node, root FROM hops
+    UNION SELECT source, source FROM flow UNION SELECT target, target FROM flow
+    UNION SELECT a.target, b.target FROM flow a JOIN flow b ON a.source = b.source""",
+)
+def g6_all(t: Tables) -> DataFrame:
+    return closure.families_of_all(closure.closure(inputs.flow_edges(t)))
+
+
+@query(
+    "g8_impact_of_all_tables",
+    _with(inputs.EDGES_SQL, ALL_HOPS_SQL.format(edges="edges"))
+    + """, sides AS (SELECT node AS "table", dist AS up, NULL::INTEGER AS down FROM hops
+      UNION ALL SELECT root, NULL, dist FROM hops)
+    SELECT "table", count(up) AS upstream_count, coalesce(max(up), 0)::INTEGER AS upstream_depth,
+      count(down) AS downstream_count, coalesce(max(down), 0)::INTEGER AS downstream_depth FROM sides GROUP BY "table" """,
+)
+def g8_all(t: Tables) -> DataFrame:
+    return closure.impact_of_all(closure.closure(inputs.edges(t)))
 
 
 TARGETS = ["stage.part.p1", "stage.part.p6"]
