@@ -420,14 +420,14 @@ relation_rows AS (
          round(0.45 + l_tax * 4, 4)
   FROM lineitem
 ),
-relations AS (
+relations AS MATERIALIZED (
   SELECT fact || '.' || fact_column AS fk, dimension || '.' || dimension_column AS pk, fact, dimension,
          fact_column, dimension_column, max(confidence) AS confidence
   FROM relation_rows GROUP BY ALL
 )""".replace("GROUP BY ALL", "GROUP BY fact, fact_column, dimension, dimension_column")
 
 TABLE_TYPES_SQL = """
-table_types AS (
+table_types AS MATERIALIZED (
   SELECT 'mart.fact.o' || o_orderkey AS full_name,
          CASE o_orderstatus WHEN 'P' THEN NULL ELSE 'FACT' END AS table_type
   FROM orders

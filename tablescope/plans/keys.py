@@ -491,7 +491,7 @@ def j7(t: Tables) -> DataFrame:
 
 
 DIMENSION, FACT = "mart.dim.p5", "mart.fact.o7"
-AROUND_DIMENSION = f""", facts AS (
+AROUND_DIMENSION = f""", facts AS MATERIALIZED (
   SELECT DISTINCT fact FROM relations JOIN table_types ON full_name = fact AND table_type = 'FACT'
   WHERE dimension = '{DIMENSION}')"""
 
