@@ -11,8 +11,9 @@ from tablescope.operators import keys, upsert
 from tablescope.plans import inputs
 from tablescope.plans.keys import CLASSIFIED, CONFIDENCE, FOREIGN_KEYS_SQL, PROFILE, SCORED_SQL, Scored, Star
 from tablescope.plans.registry import Tables, query
-from tablescope.sources.lineage import column_lineage, table_lineage
+from tablescope.sources.lineage import column_pairs, table_lineage, table_pairs
 from tablescope.streaming.ingest import EdgeLog, ingest_edges
+from tablescope.streaming.keyed import KeyedEdgeLog
 from tablescope.workspace import new_path, written
 
 def at():
@@ -139,8 +140,8 @@ def _line_item_stream(t: Tables) -> DataFrame:
 
 
 def _ingested(t: Tables, rows: DataFrame, schema: str, to_edges) -> DataFrame:
-    log = EdgeLog(t.spark, new_path(t.spark, "edge-log"), schema)
-    ingest_edges(rows, log, new_path(t.spark, "ingest-state"), to_edges).awaitTermination()
+    log = KeyedEdgeLog(t.spark, new_path(t.spark, "edge-log"), schema)
+    log.ingest(rows, to_edges).awaitTermination()
     return log.edges()
 
 
@@ -155,7 +156,7 @@ def _streamed_edges(t: Tables) -> DataFrame:
         F.concat(F.lit("raw.supplier.s"), F.nullif("l_suppkey", F.lit(13))).alias("source_table_full_name"),
         F.concat(F.lit("stage.part.p"), "l_partkey").alias("target_table_full_name"),
     )
-    return _ingested(t, log, "source string, target string", table_lineage)
+    return _ingested(t, log, "source string, target string", table_pairs)
 
 
 @query("s12_batched_table_lineage", STREAMED)
@@ -176,7 +177,7 @@ def s13(t: Tables) -> DataFrame:
         F.lit("supply").alias("target_column_name"),
     )
     schema = "source_table string, source_column string, target_table string, target_column string"
-    return _ingested(t, log, schema, column_lineage)
+    return _ingested(t, log, schema, column_pairs)
 
 
 @query("t1_incremental_ingest", STREAMED)
@@ -195,6 +196,20 @@ def t1(t: Tables) -> DataFrame:
     return log.edges()
 
 
+@query("t1_keyed_ingest", STREAMED)
+def t1_keyed(t: Tables) -> DataFrame:
+    """A stream that stops, goes on with later files, and is delivered all of them a second time."""
+    folder, log = new_path(t.spark, "line-items"), KeyedEdgeLog(t.spark, new_path(t.spark, "edge-log"), EDGE_SCHEMA)
+    for arriving in ("l_linenumber < 4", "l_linenumber >= 4", "true"):
+        t["lineitem"].filter(arriving).repartition(2).write.mode("append").parquet(folder)
+        rows = _stream_of(t, folder).select(
+            F.concat(F.lit("raw.supplier.s"), F.nullif("l_suppkey", F.lit(13))).alias("source"),
+            F.concat(F.lit("stage.part.p"), "l_partkey").alias("target"),
+        )
+        log.ingest(rows).awaitTermination()
+    return log.edges()
+
+
 @query(
     "s14_duplicate_keys",
     """SELECT l_orderkey, l_linenumber, count(*) AS rows FROM lineitem

@@ -19,14 +19,24 @@ GRAPH_SCHEMA = (
 )
 
 
+def table_pairs(log: DataFrame) -> DataFrame:
+    """``(source, target)`` of the rows of a lineage log that give both names; keeps no state."""
+    return log.select(*(F.col(c).alias(n) for c, n in TABLE_LINEAGE.items())).dropna()
+
+
+def column_pairs(log: DataFrame) -> DataFrame:
+    """Column pairs of the rows of a lineage log that give all four names; keeps no state."""
+    return log.select(*(F.col(c).alias(n) for c, n in COLUMN_LINEAGE.items())).dropna()
+
+
 def table_lineage(log: DataFrame) -> DataFrame:
     """Distinct ``(source, target)`` of a lineage log, both names given."""
-    return log.select(*(F.col(c).alias(n) for c, n in TABLE_LINEAGE.items())).dropna().distinct()
+    return table_pairs(log).distinct()
 
 
 def column_lineage(log: DataFrame) -> DataFrame:
     """Distinct column pairs of a lineage log, all four names given."""
-    return log.select(*(F.col(c).alias(n) for c, n in COLUMN_LINEAGE.items())).dropna().distinct()
+    return column_pairs(log).distinct()
 
 
 def graph_edges(documents: DataFrame, graph: str = "graph") -> DataFrame:

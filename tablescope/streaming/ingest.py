@@ -40,13 +40,15 @@ class EdgeLog:
         """Merge the distinct complete edges of one batch."""
         keys = edges.columns
         bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
-        fresh = edges.dropna().distinct().withColumn("bucket", bucket)
+        # Worked out once, and dealt by bucket, so that a bucket is one file of the batch.
+        fresh = edges.dropna().distinct().withColumn("bucket", bucket).repartition("bucket").persist()
         used = [row.bucket for row in fresh.select("bucket").distinct().collect()]  # at most BUCKETS
         earlier = self.read().filter(F.col("bucket").isin(used) & ((F.col("run") != run) | (F.col("batch") < batch)))
-        fresh = fresh.join(earlier.select("bucket", *keys), ["bucket", *keys], "left_anti")
-        fresh.select(*keys, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(
+        new = fresh.join(earlier.select("bucket", *keys), ["bucket", *keys], "left_anti")
+        new.select(*keys, "bucket").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(
             f"{self.path}/run={run}/batch={batch}"
         )
+        fresh.unpersist()
 
 
 def ingest_edges(
