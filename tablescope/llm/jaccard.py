@@ -15,8 +15,8 @@ shingle among their first make a bucket. Inside a bucket sets lie in order of si
 cut into tiles of neighbouring sizes, and only pairs of tiles whose sizes allow a link meet.
 
 1. Texts give (shingle, set) rows for the first shingles only. Sets that share none are done.
-2. The others are sorted by their smallest hash and size, and each is compared with the leaders
-   before it that share its smallest hash. That links most near copies early; it decides nothing,
+2. Of the others, those that share half of their first shingles or more are sorted by their smallest
+   hash and size, and each is compared with the leaders before it that share its smallest hash. That links most near copies early; it decides nothing,
    because
 3. every bucket in which two sets are not yet linked is searched through signatures. Buckets with
    the same members are searched once. A set with a partner that may be linked to it is open.
@@ -126,6 +126,11 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def carried(shingles: np.ndarray) -> bytes:
+    """The signature that travels with a bucket."""
+    return folded(signature(shingles), CARRIED // 64).tobytes()
+
+
 def folded(words: np.ndarray, size: int) -> np.ndarray:
     """Signatures (last axis: 64-bit words) as they would be with ``size`` words."""
     while words.shape[-1] > size:
@@ -151,12 +156,13 @@ def similar(a, b, percent: int) -> bool:
 
 
 def named_sets(rows: DataFrame, words: int) -> DataFrame:
-    """Rows of two kinds. ``row``: key, name, n and mark of every row of (key, mark, text).
+    """Rows of two kinds. ``row``: key, name, n, low and mark of every row of (key, mark, text), and
+    the signature where the task meets the set first.
     ``often``: name is a shingle that stands in n sets of a run of about ``COUNTED`` shingles, at
     least ``OFTEN``; one in more sets than there are runs, ``OFTEN`` times over, is never missed."""
     kind = rows.schema["key"].dataType
     key_type = to_arrow_type(kind)
-    columns = ["kind", "key", "name", "n", "low", "mark"]
+    columns = ["kind", "key", "name", "n", "low", "mark", "sign"]
     # One per task: what was not counted yet.
     held: list[np.ndarray] = []
 
@@ -165,7 +171,8 @@ def named_sets(rows: DataFrame, words: int) -> DataFrame:
         count = len(names)
         yield pa.RecordBatch.from_arrays(
             [pa.array(["row"] * count), keys, pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-            + [pa.array([low_of(s) if len(s) else None for s in sets], pa.int64()), marks],
+            + [pa.array([low_of(s) if len(s) else None for s in sets], pa.int64()), marks]
+            + [pa.array([carried(s) if new and len(s) else None for s, new in zip(sets, first)], pa.binary())],
             names=columns,
         )
         if sum(map(len, held)) >= COUNTED:
@@ -178,7 +185,7 @@ def named_sets(rows: DataFrame, words: int) -> DataFrame:
         found, times = found[keep].astype(np.int64), times[keep].astype(np.int64)
         none, nulls = pa.nulls(len(found), key_type), pa.nulls(len(found), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array(["often"] * len(found), pa.string()), none, pa.array(found), pa.array(times), nulls, nulls], names=columns
+            [pa.array(["often"] * len(found), pa.string()), none, pa.array(found), pa.array(times), nulls, nulls, pa.nulls(len(found), pa.binary())], names=columns
         )
 
     def counted(batches):
@@ -194,7 +201,7 @@ def named_sets(rows: DataFrame, words: int) -> DataFrame:
                 yield from result(part.column(0), part.column(1), sets, names, first)
         yield often()
 
-    return rows.mapInArrow(counted, f"kind string, key {kind.simpleString()}, name long, n long, low long, mark long")
+    return rows.mapInArrow(counted, f"kind string, key {kind.simpleString()}, name long, n long, low long, mark long, sign binary")
 
 
 def frequent_shingles(often: DataFrame) -> np.ndarray:
@@ -274,8 +281,8 @@ def picked_sets(rows: DataFrame, wanted: DataFrame, words: int, parts: bool = Fa
 def with_leaders(sets: DataFrame, percent: int, edges: bool = True) -> DataFrame:
     """Sets (part, low, n, row, shingles), sorted here, next to the leaders before them.
 
-    Sets of one part meet. Gives rows of two kinds. ``set``: a distinct set with its label (its leader's name or its own)
-    and signature. ``leader``: with ``edges``, the leaders of a part's first and last smallest hash,
+    Sets of one part meet. Gives rows of two kinds. ``set``: a set with its label (its leader's name
+    or its own). ``leader``: with ``edges``, the leaders of a part's first and last smallest hash,
     which may go on in another part.
     """
     order = ["part", "low", "n", "row"]
@@ -311,7 +318,7 @@ def with_leaders(sets: DataFrame, percent: int, edges: bool = True) -> DataFrame
                     label = near[0] if near else row
                     if not near:
                         leaders = [(row, own), *leaders[: LEADERS - 1]]
-                    out.append(("set", None, row, label, n, folded(own[1], CARRIED // 64).tobytes()))
+                    out.append(("set", None, row, label, n, None))
                     out += [("set", None, r, label, n, None) for r in near[1:]]
                 yield batch_of(out)
         yield batch_of(edge())
@@ -477,13 +484,17 @@ def set_labels(texts: DataFrame, named: DataFrame, frequent: np.ndarray, words:
     """(fp, label) of the sets that are linked with another one: one label per component."""
     spark = texts.sparkSession
     keys, keys_path = shared_keys(prefix_keys(texts, words, frequent, percent), percent)
-    wanted = named.withColumnRenamed("name", "row").join(keys.select("row").distinct(), "row", "left_semi")
-    wanted = wanted.groupBy("row").agg(*(F.min(c).alias(c) for c in ("n", "low", "mark")))
+    shares = keys.groupBy("row").agg(F.count(F.lit(1)).alias("shared"))
+    wanted = named.withColumnRenamed("name", "row").join(shares, "row").groupBy("row")
+    wanted = wanted.agg(*(F.min(c).alias(c) for c in ("n", "low", "mark", "shared")), F.max("sign").alias("sign"))
+    wanted, wanted_path = stored(wanted, "wanted-sets")
+    # Sets that share half of their first shingles or more are likely linked, and meet their leaders.
     # Parts are cut from the order of names and sizes alone, so that a hot smallest hash is split.
-    wanted = in_order(wanted, ["low", "n", "row"], label="set-order")
-    wanted, wanted_path = stored(wanted.withColumn("part", F.expr(f"position div {SORTED}")).drop("position"), "wanted-sets")
+    likely = wanted.filter(2 * F.col("shared") >= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).drop("sign")
+    likely = in_order(likely, ["low", "n", "row"], label="set-order")
+    likely, likely_path = stored(likely.withColumn("part", F.expr(f"position div {SORTED}")), "likely-sets")
     path = new_path(spark, "dealt")
-    dealt = with_leaders(picked_sets(texts, wanted, words, parts=True), percent)
+    dealt = with_leaders(picked_sets(texts, likely, words, parts=True), percent)
     dealt.write.option("compression", "zstd").partitionBy("kind").parquet(path)
     dealt = spark.read.schema(dealt.schema).parquet(path)
     found, leaders = (dealt.filter(F.col("kind") == kind).drop("kind") for kind in ("set", "leader"))
@@ -493,13 +504,13 @@ def set_labels(texts: DataFrame, named: DataFrame, frequent: np.ndarray, words:
     early = early.unionAll(again.select(F.col("row").alias("fp"), F.col("label").alias("other")))
     early, early_path = stored(early.filter("fp <> other").distinct(), "early-links")
     labels = components(early)
-    chains = components(open_chains(keys, labels, found.filter("data is not null").select("row", "data"), percent))
+    chains = components(open_chains(keys, labels, wanted.select("row", F.col("sign").alias("data")), percent))
     chained = wanted.join(chains.select(F.col("fp").alias("row"), F.col("label").alias("chain")), "row")
     chained = chained.join(labels.select(F.col("fp").alias("row"), "label"), "row", "left")
     open_, open_path = stored(chained.select("row", "n", "mark", "chain", F.coalesce("label", "row").alias("label")), "open-sets")
     late = compared(open_, picked_sets(texts, open_, words), percent)
     labels = components(early.unionAll(late))
-    free(spark, keys_path, wanted_path, path, early_path, open_path)
+    free(spark, keys_path, wanted_path, likely_path, path, early_path, open_path)
     return labels
 
 
@@ -518,7 +529,7 @@ def join(df: DataFrame, key: str, text: str, words: int = WORDS, percent: int =
     named.write.option("compression", "zstd").partitionBy("kind").parquet(path)
     named = spark.read.schema(named.schema).parquet(path)
     frequent = frequent_shingles(named.filter("kind = 'often'"))
-    named = named.filter("kind = 'row'").select("key", "name", "n", "low", "mark")
+    named = named.filter("kind = 'row'").select("key", "name", "n", "low", "mark", "sign")
     filled = named.filter("n > 0")
     labels = set_labels(texts, filled.drop("key"), frequent, words, percent)
     least = filled.groupBy("name").agg(F.min("key").alias("least"))
