@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tablescope.functions.names import NAME_PARTS, full_name
 from tablescope.functions.types import lanes, rule_type
-from tablescope.operators.quantiles import weighted_quantiles
+from tablescope.operators.quantiles import column_quantiles
 from tablescope.workspace import new_path, written
 
 COLUMN_SCHEMA = (
@@ -212,13 +212,9 @@ def distribution_stats(tables: Mapping[str, DataFrame], paths: Mapping[str, str]
             F.max(value).alias("max_val"),
         ]
 
-    # Only numeric cells take the long form, and they are counted before they move.
-    counts = written(value_counts(numeric), "value-counts")
-    value = F.coalesce(F.col("number").cast("double"), "real", F.col("words").try_cast("double"))
-    counts = counts.withColumn("value", value).filter(F.col("value").isNotNull())
-    distinct = counts.groupBy(*COLUMN_KEY).agg(F.count(F.lit(1)).alias("distinct_count"))
+    distinct = distinct_counts(numeric)
     quartiles = (
-        weighted_quantiles(counts.select(*COLUMN_KEY, "value", "n"), COLUMN_KEY, [0.25, 0.5, 0.75])
+        column_quantiles(numeric, [0.25, 0.5, 0.75])
         .groupBy(*COLUMN_KEY)
         .pivot("quantile", [0.25, 0.5, 0.75])
         .agg(F.first("value"))

@@ -1,4 +1,4 @@
-"""Exact quantiles of weighted values, for many keys at once.
+"""Exact quantiles of weighted values for many keys at once, and of all columns of tables.
 
 The value at quantile ``p`` lies between the rows of rank ``floor((N-1)p)`` and
 ``ceil((N-1)p)`` and is interpolated, as ``median`` and ``percentile`` do.
@@ -6,13 +6,21 @@ The value at quantile ``p`` lies between the rows of rank ``floor((N-1)p)`` and
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablescope.workspace import partitions_for, written
 
+SKETCH_SIZE = 1024
+# Sketches of the tasks are merged in this many groups before they become one.
+MERGE_GROUPS = 64
+RANKS = "full_name string, ordinal_position int, quantile double, share double, rank bigint"
+VALUES = "full_name string, ordinal_position int, quantile double, value double"
+
 
 def weighted_quantiles(
     values: DataFrame, keys: Sequence[str], quantiles: Sequence[float], parts: int | None = None
@@ -24,6 +32,20 @@ def weighted_quantiles(
     """
     keys = list(keys)
     parts = parts or partitions_for(values.sparkSession, values.count())
+    ranged, by_part = _ranges(values, keys, parts)
+    position = (F.col("total") - 1) * F.col("quantile")
+    wanted = by_part.select(
+        "*", F.explode(F.array(*(F.lit(float(q)) for q in quantiles))).alias("quantile")
+    ).select(
+        "*",
+        (position - F.floor(position)).alias("share"),
+        F.explode(F.array(F.floor(position), F.ceil(position))).alias("rank"),
+    )
+    return _at_ranks(ranged, wanted, keys)
+
+
+def _ranges(values: DataFrame, keys: list[str], parts: int) -> tuple[DataFrame, DataFrame]:
+    """The values in ranges of key and value, and each range's rows, those below it, and the key's."""
     ranged = written(
         values.repartitionByRange(parts, *keys, "value").withColumn("part", F.spark_partition_id()),
         "ranges",
@@ -32,21 +54,17 @@ def weighted_quantiles(
     by_part = ranged.groupBy(*keys, "part").agg(F.sum("n").alias("n"))
     before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    by_part = by_part.select(
+    return ranged, by_part.select(
         *keys,
         "part",
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("below"),
         F.col("n").alias("inside"),
         F.sum("n").over(whole).alias("total"),
     )
-    position = (F.col("total") - 1) * F.col("quantile")
-    wanted = by_part.select(
-        "*", F.explode(F.array(*(F.lit(float(q)) for q in quantiles))).alias("quantile")
-    ).select(
-        "*",
-        (position - F.floor(position)).alias("share"),
-        F.explode(F.array(F.floor(position), F.ceil(position))).alias("rank"),
-    )
+
+
+def _at_ranks(ranged: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows ``(keys…, quantile, value)`` of the ranks that ``wanted`` asks of the ranges."""
     wanted = wanted.filter(
         (F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("inside"))
     ).distinct()
@@ -64,8 +82,156 @@ def weighted_quantiles(
     )
     # Two ranks per quantile, or one when the position is whole.
     low, high = F.min(F.struct("rank", "value")), F.max(F.struct("rank", "value"))
+    between = F.col("low.value") + (F.col("high.value") - F.col("low.value")) * F.col("share")
     return hits.groupBy(*keys, "quantile", "share").agg(low.alias("low"), high.alias("high")).select(
         *keys,
         "quantile",
-        (F.col("low.value") + (F.col("high.value") - F.col("low.value")) * F.col("share")).alias("value"),
+        # Equal ends need no sum, which infinities would turn into NaN.
+        F.when(F.col("low.value") == F.col("high.value"), F.col("low.value")).otherwise(between).alias("value"),
     )
+
+
+def column_quantiles(
+    tables: Mapping[str, DataFrame], quantiles: Sequence[float], size: int = SKETCH_SIZE
+) -> DataFrame:
+    """Exact quantiles of every column: rows ``(full_name, ordinal_position, quantile, value)``.
+
+    All columns must be numbers; they count as doubles. A mergeable sketch of each column
+    brackets the wanted ranks; a scan counts what lies below and inside each bracket, and only
+    values inside are moved and sorted, about ten rows per ``size``. A bracket that missed its rank
+    is opened to that end, so the sketch never decides a result. A bracket around one value is
+    settled by the counts. The driver holds one row per column and quantile.
+
+    Nulls are left out, NaN is above all numbers, and a column without values has no row.
+    """
+    spark = SparkSession.active()
+    tables = {name: df for name, df in tables.items() if df.columns}
+    if not tables or not quantiles:
+        return spark.createDataFrame([], VALUES)
+    brackets = _brackets(tables, quantiles, size)
+    if not brackets:
+        return spark.createDataFrame([], VALUES)
+    counts = {
+        (row["full_name"], row["ordinal_position"], row["quantile"]): row
+        for row in _per_bracket(tables, brackets, _counts_of).collect()
+    }
+    settled, still_open, ranks, moved = [], [], [], 0
+    for b in brackets:
+        key = (b["full_name"], b["ordinal_position"], b["quantile"])
+        below, inside = counts[key]["below"], counts[key]["inside"]
+        low, high, rows = b["low"], b["high"], inside
+        if b["first"] < below:
+            low, below, rows = -math.inf, 0, rows + below
+        if b["last"] >= counts[key]["below"] + inside:
+            high, rows = math.nan, b["total"] - below
+        if low == high or (math.isnan(low) and math.isnan(high)):
+            settled.append((*key, low))
+            continue
+        moved += rows
+        still_open.append(Row(**(b.asDict() | {"low": low, "high": high})))
+        ranks += [(*key, b["share"], rank - below) for rank in {b["first"], b["last"]}]
+    found = spark.createDataFrame(settled, VALUES)
+    if not still_open:
+        return found
+    keys = ["full_name", "ordinal_position", "quantile"]
+    values = _per_bracket({b["full_name"]: tables[b["full_name"]] for b in still_open}, still_open, None)
+    values = values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    ranged, by_part = _ranges(values, keys, partitions_for(spark, moved))
+    wanted = by_part.join(F.broadcast(spark.createDataFrame(ranks, RANKS)), keys)
+    # The quantile is part of the key here, and is named once in the result.
+    hits = _at_ranks(ranged.withColumnRenamed("quantile", "_q"), wanted.withColumn("_q", F.col("quantile")), [*keys[:2], "_q"])
+    return found.unionByName(hits.drop("_q"))
+
+
+def _number(df: DataFrame, position: int) -> Column:
+    return F.col(f"`{df.columns[position - 1]}`").cast("double")
+
+
+def _brackets(tables: Mapping[str, DataFrame], quantiles: Sequence[float], size: int) -> list[Row]:
+    """Per column and quantile: the ranks wanted, and the values that the sketch puts around them."""
+    # Twice the published error of a rank, as a share of all rows.
+    error = 2 * 2.296 / size**0.9723
+
+    def sketched(name: str, df: DataFrame) -> DataFrame:
+        places = range(1, len(df.columns) + 1)
+        values = df.select(
+            (F.spark_partition_id() % MERGE_GROUPS).alias("_group"),
+            *(_number(df, p).alias(f"v{p}") for p in places),
+        )
+        # Sketches pass over NaN, so it goes in as infinity, its neighbour.
+        known = {p: F.when(F.isnan(f"v{p}"), F.lit(math.inf)).otherwise(F.col(f"v{p}")) for p in places}
+        some = values.groupBy("_group").agg(
+            *(F.kll_sketch_agg_double(known[p], F.lit(size)).alias(f"s{p}") for p in places),
+            *(F.count(f"v{p}").alias(f"n{p}") for p in places),
+        )
+        cells = (
+            F.struct(
+                F.lit(p).alias("ordinal_position"),
+                F.kll_merge_agg_double(f"s{p}", F.lit(size)).alias("sketch"),
+                F.sum(f"n{p}").alias("total"),
+            )
+            for p in places
+        )
+        return some.agg(F.array(*cells).alias("cells")).select(F.lit(name).alias("full_name"), F.inline("cells"))
+
+    sketches = reduce(DataFrame.unionByName, (sketched(name, df) for name, df in tables.items()))
+    found = [
+        F.struct(
+            F.lit(float(q)).alias("quantile"),
+            F.kll_sketch_get_quantile_double("sketch", F.lit(max(0.0, q - error))).alias("low"),
+            F.kll_sketch_get_quantile_double("sketch", F.lit(min(1.0, q + error))).alias("high"),
+        )
+        for q in quantiles
+    ]
+    position = (F.col("total") - 1) * F.col("quantile")
+    return (
+        sketches.filter(F.col("total") > 0)
+        .select("full_name", "ordinal_position", "total", F.inline(F.array(*found)))
+        .select(
+            "full_name",
+            "ordinal_position",
+            "quantile",
+            "total",
+            F.floor(position).alias("first"),
+            F.ceil(position).alias("last"),
+            (position - F.floor(position)).alias("share"),
+            "low",
+            F.when(F.col("high") == math.inf, F.lit(math.nan)).otherwise(F.col("high")).alias("high"),
+        )
+        .collect()
+    )
+
+
+def _inside(df: DataFrame, bracket: Row) -> Column:
+    value = _number(df, bracket["ordinal_position"])
+    return (value >= F.lit(bracket["low"])) & (value <= F.lit(bracket["high"]))
+
+
+def _counts_of(df: DataFrame, bracket: Row) -> list[Column]:
+    below = _number(df, bracket["ordinal_position"]) < F.lit(bracket["low"])
+    return [F.count_if(below).alias("below"), F.count_if(_inside(df, bracket)).alias("inside")]
+
+
+def _per_bracket(tables: Mapping[str, DataFrame], brackets: Sequence[Row], measures) -> DataFrame:
+    """Rows ``(full_name, ordinal_position, quantile, …)``: measures, or each value inside a bracket."""
+    parts = []
+    for name, df in tables.items():
+        own = [b for b in brackets if b["full_name"] == name]
+        if not own:
+            continue
+        cells = []
+        for b in own:
+            value = F.when(_inside(df, b), _number(df, b["ordinal_position"])).alias("value")
+            cells.append(
+                F.struct(
+                    F.lit(b["ordinal_position"]).alias("ordinal_position"),
+                    F.lit(b["quantile"]).alias("quantile"),
+                    *(measures(df, b) if measures else [value]),
+                )
+            )
+        if measures:
+            rows = df.agg(F.array(*cells).alias("cells"))
+        else:
+            rows = df.select(F.filter(F.array(*cells), lambda c: c["value"].isNotNull()).alias("cells"))
+        parts.append(rows.select(F.lit(name).alias("full_name"), F.inline("cells")))
+    return reduce(DataFrame.unionByName, parts)

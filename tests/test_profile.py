@@ -1,4 +1,5 @@
 import datetime
+import math
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from tablescope.operators import profile, signals
-from tablescope.operators.quantiles import weighted_quantiles
+from tablescope.operators.quantiles import column_quantiles, weighted_quantiles
 
 NAN = float("nan")
 DAY = datetime.datetime(2024, 1, 1)
@@ -92,6 +93,46 @@ def test_quantiles_without_keys(spark):
         assert {r.quantile: r.value for r in found.collect()} == {0.5: 1.0, 1.0: 4.0}
 
 
+@pytest.mark.parametrize("size", [8, 200])
+def test_column_quantiles_match_numpy(spark, size):
+    """A sketch of eight misses its ranks, so brackets are opened; the results stay exact."""
+    rng = random.Random(size)
+    rows = [
+        (
+            i,
+            rng.gauss(0, 1) if i % 7 else None,
+            5.0 if i % 3 else float(i),
+            math.nan if i % 4 == 0 else rng.choice([-math.inf, 0.5, 2.5]),
+            None,
+            math.nan,
+        )
+        for i in range(3000)
+    ]
+    wide = spark.createDataFrame(rows, "a int, b double, hot double, c double, nulls double, nans double")
+    one = spark.createDataFrame([(7,)], "only int").selectExpr("cast(only as decimal(30,2)) AS only")
+    tables = {"c.s.wide": wide.repartition(5), "c.s.one": one, "c.s.empty": wide.limit(0), "c.s.bare": one.drop("only")}
+    points = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+    found = {
+        (r.full_name, r.ordinal_position, r.quantile): r.value
+        for r in column_quantiles(tables, points, size).collect()
+    }
+    expected = {("c.s.one", 1, q): 7.0 for q in points}
+    for place in (1, 2, 3, 4, 6):
+        values = sorted((r[place - 1] for r in rows if r[place - 1] is not None), key=lambda v: (v != v, v))
+        for q in points:
+            at = (len(values) - 1) * q
+            low, high = values[math.floor(at)], values[math.ceil(at)]
+            expected["c.s.wide", place, q] = low + (high - low) * (at - math.floor(at)) if low != high else low
+    assert found.keys() == expected.keys()
+    for key, value in expected.items():
+        assert found[key] == pytest.approx(value, nan_ok=True), key
+
+
+def test_column_quantiles_of_nothing(spark):
+    assert column_quantiles({}, [0.5]).count() == 0
+    assert column_quantiles({"c.s.t": spark.createDataFrame([(1,)], "v int")}, []).count() == 0
+
+
 def test_files_and_freshness(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(10).repartition(3).write.parquet(path)
