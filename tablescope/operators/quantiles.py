@@ -105,7 +105,12 @@ def column_quantiles(
     Nulls are left out, NaN is above all numbers, and a column without values has no row.
     """
     spark = SparkSession.active()
-    tables = {name: df for name, df in tables.items() if df.columns}
+    # Each cell is made a double once, however many brackets look at it.
+    tables = {
+        name: df.select(*(F.col(f"`{c}`").cast("double").alias(f"v{p}") for p, c in enumerate(df.columns, 1)))
+        for name, df in tables.items()
+        if df.columns
+    }
     if not tables or not quantiles:
         return spark.createDataFrame([], VALUES)
     brackets = _brackets(tables, quantiles, size)
@@ -113,28 +118,27 @@ def column_quantiles(
         return spark.createDataFrame([], VALUES)
     counts = {
         (row["full_name"], row["ordinal_position"], row["quantile"]): row
-        for row in _per_bracket(tables, brackets, _counts_of).collect()
+        for row in _per_bracket(tables, brackets, counted=True).collect()
     }
     settled, still_open, ranks, moved = [], [], [], 0
     for b in brackets:
         key = (b["full_name"], b["ordinal_position"], b["quantile"])
-        below, inside = counts[key]["below"], counts[key]["inside"]
-        low, high, rows = b["low"], b["high"], inside
+        below, upto, low, high = counts[key]["below"], counts[key]["upto"], b["low"], b["high"]
         if b["first"] < below:
-            low, below, rows = -math.inf, 0, rows + below
-        if b["last"] >= counts[key]["below"] + inside:
-            high, rows = math.nan, b["total"] - below
+            low, below = -math.inf, 0
+        if b["last"] >= upto:
+            high, upto = math.nan, b["total"]
         if low == high or (math.isnan(low) and math.isnan(high)):
             settled.append((*key, low))
             continue
-        moved += rows
+        moved += upto - below
         still_open.append(Row(**(b.asDict() | {"low": low, "high": high})))
         ranks += [(*key, b["share"], rank - below) for rank in {b["first"], b["last"]}]
     found = spark.createDataFrame(settled, VALUES)
     if not still_open:
         return found
     keys = ["full_name", "ordinal_position", "quantile"]
-    values = _per_bracket({b["full_name"]: tables[b["full_name"]] for b in still_open}, still_open, None)
+    values = _per_bracket(tables, still_open, counted=False)
     values = values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
     ranged, by_part = _ranges(values, keys, partitions_for(spark, moved))
     wanted = by_part.join(F.broadcast(spark.createDataFrame(ranks, RANKS)), keys)
@@ -143,10 +147,6 @@ def column_quantiles(
     return found.unionByName(hits.drop("_q"))
 
 
-def _number(df: DataFrame, position: int) -> Column:
-    return F.col(f"`{df.columns[position - 1]}`").cast("double")
-
-
 def _brackets(tables: Mapping[str, DataFrame], quantiles: Sequence[float], size: int) -> list[Row]:
     """Per column and quantile: the ranks wanted, and the values that the sketch puts around them."""
     # Twice the published error of a rank, as a share of all rows.
@@ -154,10 +154,7 @@ def _brackets(tables: Mapping[str, DataFrame], quantiles: Sequence[float], size:
 
     def sketched(name: str, df: DataFrame) -> DataFrame:
         places = range(1, len(df.columns) + 1)
-        values = df.select(
-            (F.spark_partition_id() % MERGE_GROUPS).alias("_group"),
-            *(_number(df, p).alias(f"v{p}") for p in places),
-        )
+        values = df.withColumn("_group", F.spark_partition_id() % MERGE_GROUPS)
         # Sketches pass over NaN, so it goes in as infinity, its neighbour.
         known = {p: F.when(F.isnan(f"v{p}"), F.lit(math.inf)).otherwise(F.col(f"v{p}")) for p in places}
         some = values.groupBy("_group").agg(
@@ -202,34 +199,38 @@ def _brackets(tables: Mapping[str, DataFrame], quantiles: Sequence[float], size:
     )
 
 
-def _inside(df: DataFrame, bracket: Row) -> Column:
-    value = _number(df, bracket["ordinal_position"])
-    return (value >= F.lit(bracket["low"])) & (value <= F.lit(bracket["high"]))
+def _value(bracket: Row) -> Column:
+    return F.col(f"v{bracket['ordinal_position']}")
 
 
-def _counts_of(df: DataFrame, bracket: Row) -> list[Column]:
-    below = _number(df, bracket["ordinal_position"]) < F.lit(bracket["low"])
-    return [F.count_if(below).alias("below"), F.count_if(_inside(df, bracket)).alias("inside")]
+def _counts_of(bracket: Row) -> list[Column]:
+    value = _value(bracket)
+    below, upto = F.count_if(value < F.lit(bracket["low"])), F.count_if(value <= F.lit(bracket["high"]))
+    return [below.alias("below"), upto.alias("upto")]
 
 
-def _per_bracket(tables: Mapping[str, DataFrame], brackets: Sequence[Row], measures) -> DataFrame:
-    """Rows ``(full_name, ordinal_position, quantile, …)``: measures, or each value inside a bracket."""
+def _value_inside(bracket: Row) -> list[Column]:
+    value = _value(bracket)
+    inside = (value >= F.lit(bracket["low"])) & (value <= F.lit(bracket["high"]))
+    return [F.when(inside, value).alias("value")]
+
+
+def _per_bracket(tables: Mapping[str, DataFrame], brackets: Sequence[Row], counted: bool) -> DataFrame:
+    """Rows ``(full_name, ordinal_position, quantile, …)``: the counts, or each value inside a bracket."""
     parts = []
     for name, df in tables.items():
         own = [b for b in brackets if b["full_name"] == name]
         if not own:
             continue
-        cells = []
-        for b in own:
-            value = F.when(_inside(df, b), _number(df, b["ordinal_position"])).alias("value")
-            cells.append(
-                F.struct(
-                    F.lit(b["ordinal_position"]).alias("ordinal_position"),
-                    F.lit(b["quantile"]).alias("quantile"),
-                    *(measures(df, b) if measures else [value]),
-                )
+        cells = [
+            F.struct(
+                F.lit(b["ordinal_position"]).alias("ordinal_position"),
+                F.lit(b["quantile"]).alias("quantile"),
+                *(_counts_of(b) if counted else _value_inside(b)),
             )
-        if measures:
+            for b in own
+        ]
+        if counted:
             rows = df.agg(F.array(*cells).alias("cells"))
         else:
             rows = df.select(F.filter(F.array(*cells), lambda c: c["value"].isNotNull()).alias("cells"))
