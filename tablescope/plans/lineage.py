@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.operators import closure, layout, lineage, paths
+from tablescope.operators import closure, labels, layout, lineage, paths
 from tablescope.operators.graph import DOWNSTREAM, UPSTREAM, one_root
 from tablescope.plans import inputs
 from tablescope.plans.registry import Tables, query
@@ -324,16 +324,18 @@ PAIRS_SQL = """pairs AS (
 )"""
 
 
-@query(
-    "g10_lineage_distance",
+DISTANCES_SQL = (
     _with(
         inputs.EDGES_SQL,
         PAIRS_SQL,
         _reach("hops", "edges", "SELECT DISTINCT source AS root, source AS node FROM pairs", "source", "target", 40),
     )
     + """ SELECT p.source, p.target, coalesce(min(h.dist), 5)::INTEGER AS distance
-    FROM pairs p LEFT JOIN hops h ON h.root = p.source AND h.node = p.target GROUP BY p.source, p.target""",
+    FROM pairs p LEFT JOIN hops h ON h.root = p.source AND h.node = p.target GROUP BY p.source, p.target"""
 )
+
+
+@query("g10_lineage_distance", DISTANCES_SQL)
 def g10(t: Tables) -> DataFrame:
     with inputs.graph(t) as graph:
         return paths.lineage_distances(graph, _distance_pairs(t))
@@ -348,20 +350,16 @@ def _distance_pairs(t: Tables) -> DataFrame:
     return own.join(after, ["l_orderkey", "l_linenumber"]).select("source", "target")
 
 
-@query(
-    "g10_distances_by_closure",
-    _with(
-        inputs.EDGES_SQL,
-        PAIRS_SQL,
-        _reach("hops", "edges", "SELECT DISTINCT source AS root, source AS node FROM pairs", "source", "target", 40),
-    )
-    + """ SELECT p.source, p.target, coalesce(min(h.dist), 5)::INTEGER AS distance
-    FROM pairs p LEFT JOIN hops h ON h.root = p.source AND h.node = p.target GROUP BY p.source, p.target""",
-)
+@query("g10_distances_by_closure", DISTANCES_SQL)
 def g10_closure(t: Tables) -> DataFrame:
     return closure.distances_of_pairs(closure.closure(inputs.edges(t)), _distance_pairs(t))
 
 
+@query("g10_distances_by_labels", DISTANCES_SQL)
+def g10_labels(t: Tables) -> DataFrame:
+    return labels.distances_by_labels(labels.hub_labels(inputs.edges(t)), _distance_pairs(t))
+
+
 ALL_HOPS_SQL = """
   hops_all(root, node, dist) AS (
     SELECT source, target, 1 FROM {edges} UNION
@@ -369,17 +367,39 @@ ALL_HOPS_SQL = """
   ), hops AS (SELECT root, node, min(dist) AS dist FROM hops_all GROUP BY root, node)"""
 
 
-@query(
-    "g6_families_of_all_tables",
-    _with(inputs.FLOW_SQL, ALL_HOPS_SQL.format(edges="flow"))
-    + """ SELECT root, node AS member FROM hops UNION SELECT node, root FROM hops
+FAMILIES_SQL = """ SELECT root, node AS member FROM hops UNION SELECT node, root FROM hops
     UNION SELECT source, source FROM flow UNION SELECT target, target FROM flow
-    UNION SELECT a.target, b.target FROM flow a JOIN flow b ON a.source = b.source""",
-)
+    UNION SELECT a.target, b.target FROM flow a JOIN flow b ON a.source = b.source"""
+
+
+@query("g6_families_of_all_tables", _with(inputs.FLOW_SQL, ALL_HOPS_SQL.format(edges="flow")) + FAMILIES_SQL)
 def g6_all(t: Tables) -> DataFrame:
     return closure.families_of_all(closure.closure(inputs.flow_edges(t)))
 
 
+@query("g6_families_by_labels", _with(inputs.FLOW_SQL, ALL_HOPS_SQL.format(edges="flow")) + FAMILIES_SQL)
+def g6_labels(t: Tables) -> DataFrame:
+    found = labels.hub_labels(inputs.flow_edges(t))
+    return labels.families_by_labels(found, found.nodes.withColumnRenamed("node", "root"))
+
+
+# Are the parts of two neighbouring lines of an order of one family?
+RELATED_SQL = f""", families AS ({FAMILIES_SQL}),
+asked AS (
+  SELECT DISTINCT 'stage.part.p' || a.l_partkey AS root, 'stage.part.p' || b.l_partkey AS member
+  FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
+) SELECT root, member FROM asked JOIN families USING (root, member)"""
+
+
+@query("g6_related_pairs", _with(inputs.FLOW_SQL, ALL_HOPS_SQL.format(edges="flow")) + RELATED_SQL)
+def g6_related(t: Tables) -> DataFrame:
+    part = F.concat(F.lit("stage.part.p"), "l_partkey")
+    own = t["lineitem"].select("l_orderkey", "l_linenumber", part.alias("root"))
+    after = t["lineitem"].select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), part.alias("member"))
+    asked = own.join(after, ["l_orderkey", "l_linenumber"])
+    return labels.related_pairs(labels.hub_labels(inputs.flow_edges(t)), asked)
+
+
 @query(
     "g8_impact_of_all_tables",
     _with(inputs.EDGES_SQL, ALL_HOPS_SQL.format(edges="edges"))
