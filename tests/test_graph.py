@@ -266,6 +266,14 @@ def test_redundant_chains_match_brute_force(spark, seed):
     assert kept == expected
 
 
+def test_opened_chains_are_never_broadcast(spark):
+    # A file of chains is a fraction of the rows opened from it.
+    chains = [("r", [f"n{i}" for i in range(k, 60)]) for k in range(40)] + [("r", ["n1", "n3"]), ("r", ["m", "n3"])]
+    kept = paths.filter_redundant_chains(spark.createDataFrame(chains, "root string, chain array<string>"))
+    assert sorted((r.chain for r in kept.collect()), key=len) == [["m", "n3"], [f"n{i}" for i in range(60)]]
+    assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
 def test_levels_and_removals(spark):
     edges = edges_of(spark, pairs(SAMPLE))
     with LineageGraph(edges) as graph:
