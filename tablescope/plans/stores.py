@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescope.operators import keys, upsert
 from tablescope.plans import inputs
@@ -128,15 +129,33 @@ def s11_tables(t: Tables) -> DataFrame:
 # Streams read the line items where they lie; a stream without end would bring more files.
 
 
-def _stream_of(t: Tables, folder: str) -> DataFrame:
-    """Line items as they arrive in a folder, one file per batch."""
-    return t.spark.readStream.schema(t["lineitem"].schema).option("maxFilesPerTrigger", 1).parquet(folder)
+def _stream_of(t: Tables, folder: str, files: int) -> DataFrame:
+    """Line items as they arrive in a folder, some files per batch."""
+    schema = T.StructType([*t["lineitem"].schema.fields, T.StructField("lot", T.IntegerType())])
+    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+def _arrived(t: Tables, rows: DataFrame, folder: str, lots: int) -> int:
+    """Append rows to a folder and say how many files make a lot of them.
+
+    Each task deals its own rows, so a file is never more than one split of the line items, and
+    the files of a batch are read side by side.
+    """
+    lot = F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(lots)).cast("int")
+    before = _files(t, folder)
+    rows.withColumn("lot", lot).write.mode("append").partitionBy("lot").parquet(folder)
+    return max(1, -(-(_files(t, folder) - before) // lots))
+
+
+def _files(t: Tables, folder: str) -> int:
+    place = t.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/lot=*/*.parquet")
+    found = place.getFileSystem(t.spark._jsc.hadoopConfiguration()).globStatus(place)
+    return len(found) if found else 0
 
 
 def _line_item_stream(t: Tables) -> DataFrame:
     folder = new_path(t.spark, "line-items")
-    t["lineitem"].repartition(3).write.parquet(folder)
-    return _stream_of(t, folder)
+    return _stream_of(t, folder, _arrived(t, t["lineitem"], folder, 3))
 
 
 def _ingested(t: Tables, rows: DataFrame, schema: str, to_edges) -> DataFrame:
@@ -187,8 +206,8 @@ def t1(t: Tables) -> DataFrame:
     first, second = new_path(t.spark, "ingest-state"), new_path(t.spark, "ingest-state")
     for arriving, state in (("l_linenumber < 4", first), ("l_linenumber >= 4", first), (None, second)):
         if arriving:
-            t["lineitem"].filter(arriving).repartition(2).write.mode("append").parquet(folder)
-        rows = _stream_of(t, folder).select(
+            files = _arrived(t, t["lineitem"].filter(arriving), folder, 2)
+        rows = _stream_of(t, folder, files).select(
             F.concat(F.lit("raw.supplier.s"), F.nullif("l_suppkey", F.lit(13))).alias("source_table_full_name"),
             F.concat(F.lit("stage.part.p"), "l_partkey").alias("target_table_full_name"),
         )
@@ -201,8 +220,8 @@ def t1_keyed(t: Tables) -> DataFrame:
     """A stream that stops, goes on with later files, and is delivered all of them a second time."""
     folder, log = new_path(t.spark, "line-items"), KeyedEdgeLog(t.spark, new_path(t.spark, "edge-log"), EDGE_SCHEMA)
     for arriving in ("l_linenumber < 4", "l_linenumber >= 4", "true"):
-        t["lineitem"].filter(arriving).repartition(2).write.mode("append").parquet(folder)
-        rows = _stream_of(t, folder).select(
+        files = _arrived(t, t["lineitem"].filter(arriving), folder, 2)
+        rows = _stream_of(t, folder, files).select(
             F.concat(F.lit("raw.supplier.s"), F.nullif("l_suppkey", F.lit(13))).alias("source"),
             F.concat(F.lit("stage.part.p"), "l_partkey").alias("target"),
         )

@@ -8,9 +8,12 @@ from conftest import rows
 from tablescope import workspace
 from tablescope.operators import catalog, upsert
 from tablescope.operators.profile import columns_of
+from tablescope.plans import stores
+from tablescope.plans.registry import Tables
 from tablescope.sources import catalog as catalog_source
 from tablescope.sources import lineage as lineage_source
 from tablescope.streaming.ingest import EdgeLog, ingest_edges
+from tablescope.streaming.keyed import KeyedEdgeLog
 
 
 def test_upsert_inserts_overwrites_and_keeps(spark):
@@ -172,3 +175,20 @@ def test_shared_folder_comes_from_the_session(spark):
     assert path != workspace.new_path(spark, "x")
     kept = workspace.written(spark.range(3), "numbers")
     assert kept.count() == 3 and "Parquet" in kept._jdf.queryExecution().toString()
+
+
+def test_line_items_arrive_as_a_file_per_task_and_lot(spark, tmp_path):
+    """Tasks deal what they read, so no file and no task of the stream grows with all line items."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    items, folder = t["lineitem"].repartition(5), str(tmp_path / "items")
+    first = stores._arrived(t, items.filter("l_linenumber < 4"), folder, 2)
+    second = stores._arrived(t, items.filter("l_linenumber >= 4"), folder, 2)
+    assert (first, second) == (5, 5)
+    arrived = spark.read.parquet(folder)
+    assert len(arrived.inputFiles()) == 20 and arrived.drop("lot").exceptAll(t["lineitem"]).isEmpty()
+    assert arrived.count() == t["lineitem"].count()
+    log = KeyedEdgeLog(spark, str(tmp_path / "log"), "l_suppkey bigint, l_partkey bigint")
+    query = log.ingest(stores._stream_of(t, folder, 5).select("l_suppkey", "l_partkey"))
+    query.awaitTermination()
+    assert [p["numInputRows"] > 0 for p in query.recentProgress].count(True) == 4
+    assert log.edges().count() == t["lineitem"].select("l_suppkey", "l_partkey").distinct().count()
