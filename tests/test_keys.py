@@ -7,6 +7,7 @@ from conftest import rows
 from tablescope.operators import keys, profile, star, upsert
 from tablescope.operators.graph import LineageGraph
 from tablescope.operators.lineage import families
+from tablescope.plans import inputs
 
 DIM, OTHER, FACT = "l.s.dim", "l.s.other", "l.s.fact"
 
@@ -146,3 +147,57 @@ def test_write_backs(spark, lake):
     classified = keys.classify_tables(prof, relations(spark), owned)
     typed = upsert.write_back_types(upsert.table_nodes(prof), classified)
     assert rows(typed, "full_name", "table_type", "row_count") == [(DIM, "DIM", 40), (FACT, "FACT", 120), (OTHER, "DIM", 40)]
+
+
+def test_connectivity_moves_no_row_twice(spark):
+    """Foreign keys and dimensions are both counted exactly, without a copy of the rows for each count."""
+    found = [("f.a", "d.x", 0.9), ("f.a", "d.x", 0.7), ("f.a", "e.x", 0.9), ("f.b", "d.y", 0.9), ("g.a", "n.x", 0.9)]
+    relations = spark.createDataFrame([*found, ("g.b", "d.x", 0.5)], "fk string, pk string, confidence double")
+    owners = [(i, i[0]) for i in ("f.a", "f.b", "g.a", "g.b", "d.x", "d.y", "e.x")] + [("n.x", None)]
+    counted = keys.fk_connectivity(relations, spark.createDataFrame(owners, "id string, full_name string"))
+    assert rows(counted, "full_name", "fk_columns", "dim_connections") == [("f", 2, 2), ("g", 1, 0)]
+    assert "Expand" not in counted._jdf.queryExecution().toString()
+
+
+def test_star_of_a_table_joins_its_own_columns_only(spark, monkeypatch):
+    kept = {}
+
+    def written(df, label, **_):
+        kept[label] = max(kept.get(label, 0), df.count())
+        return df
+
+    monkeypatch.setattr(star, "written", written)
+    many = [(f"f{i}.a", f"d{i}.k", 0.9) for i in range(200)]
+    relations = spark.createDataFrame(many, "fk string, pk string, confidence double")
+    columns = spark.createDataFrame([(c, c.split(".")[0]) for r in many for c in r[:2]], "id string, full_name string")
+    types = [(f"{kind}{i}", name) for i in range(200) for kind, name in (("f", "FACT"), ("d", "DIM"))]
+    types = spark.createDataFrame(types, "full_name string, table_type string")
+    assert rows(star.star_tables(relations, columns, types, "d7"), "dimension", "fact_column") == [("d7", "a"), ("f7", None)]
+    assert rows(star.star_tables(relations, columns, types, "f7"), "dimension", "fact_column") == [("d7", "a")]
+    assert kept["star-owners"] == 2
+
+
+def test_relations_are_merged_by_number(spark):
+    """The same rows as by name: a line without its order or number has no foreign key, whatever the other is."""
+    lines = [(1, 1, 5, 9, 0.1, 0.0), (1, 1, 5, 9, 0.2, 0.0), (1, 1, 6, 9, 0.1, 0.2), (11, 1, 5, 9, 0.1, 0.0)]
+    lines += [(None, 1, 5, 9, 0.1, 0.0), (None, 2, 5, 9, 0.3, None), (3, None, 5, 9, 0.2, 0.0), (2, 1, None, 8, None, 0.0)]
+    lines += [(2, 1, None, 8, 0.4, 0.0)]
+    schema = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_discount double, l_tax double"
+    tables = {"lineitem": spark.createDataFrame(lines, schema)}
+    best = {}
+    for order, number, part, supplier, discount, tax in lines:
+        for kind, name, key, score in (
+            ("part", "p{}.partkey", part, None if discount is None else 0.5 + discount * 4),
+            ("supp", "s{}.suppkey", supplier, None if tax is None else 0.45 + tax * 4),
+        ):
+            fk = None if None in (order, number) else f"mart.fact.o{order}.{kind}_{number}"
+            pk = None if key is None else "mart.dim." + name.format(key)
+            best.setdefault((fk, pk), []).append(score)
+    expected = [(*k, max((round(s, 4) for s in v if s is not None), default=None)) for k, v in best.items()]
+    merged = inputs.relations(tables)
+    assert rows(merged, "fk", "pk", "confidence") == sorted(expected, key=repr)
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [l_orderkey" in plan
+    kept, columns = inputs.relations_and_columns(type("T", (dict,), {})(tables))
+    ids = {i for r in expected for i in r[:2] if i is not None}
+    assert rows(columns, "id", "full_name") == sorted(((i, i.rsplit(".", 1)[0]) for i in ids), key=repr)
