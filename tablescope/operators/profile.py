@@ -1,8 +1,9 @@
 """Data profiles, quality and distribution statistics, freshness, signals.
 
-Rows, nulls, zeros, extremes, means and fingerprints come from one aggregation per table that
-sends one row per task. Only distinct values take a long form, one row per cell, combined
-before it moves, so a value in a third of all rows costs one row per task; texts go as digests.
+Rows, nulls, zeros, extremes and means come from one aggregation per table that
+sends one row per task; fingerprints are added up from distinct values. Only distinct values take a
+long form, one row per cell, combined before it moves, so a value in a third of all rows costs one
+row per task; texts go as digests.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescope.functions.names import NAME_PARTS, full_name
-from tablescope.functions.types import lanes, rule_type
+from tablescope.functions.types import lane_of, lanes, rule_type
 from tablescope.operators.quantiles import column_quantiles
 from tablescope.workspace import new_path, written
 
@@ -72,10 +73,6 @@ def value_counts(
     return long_values(tables, only).groupBy(*COLUMN_KEY, *LANE_NAMES).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _as_text(lanes_of_value: Sequence[Column]) -> Column:
-    return F.coalesce(*(lane.cast("string") for lane in lanes_of_value))
-
-
 def wide_stats(tables: Mapping[str, DataFrame], measures: Callable[[T.StructField], list[Column]]) -> DataFrame:
     """Rows ``(full_name, ordinal_position, measures…)`` from one aggregation per table.
 
@@ -94,18 +91,68 @@ def wide_stats(tables: Mapping[str, DataFrame], measures: Callable[[T.StructFiel
     return reduce(DataFrame.unionByName, parts)
 
 
+def _counted_values(tables: Mapping[str, DataFrame], only: Mapping[str, Collection[str]] | None) -> list[DataFrame]:
+    """Per lane: rows ``(full_name, ordinal_position, value, n)`` for each distinct value of a column, not null.
+
+    While they are grouped, columns go by a number, and each lane has values of one type. Texts of 16
+    bytes and more go as their 128-bit digests, shorter ones, which no digest equals, as they are.
+    """
+    places: list[tuple[int, str, int]] = []
+    by_lane: dict[str, list[DataFrame]] = {}
+    for name, df in tables.items():
+        cells: dict[str, list[Column]] = {}
+        for position, field in enumerate(df.schema.fields, start=1):
+            if only is None or field.name in only.get(name, ()):
+                places.append((len(places), name, position))
+                lane, value = lane_of(field)
+                if lane == "words":
+                    value = F.when(F.octet_length(value) < 16, value.cast("binary")).otherwise(F.unhex(F.md5(value)))
+                cells.setdefault(lane, []).extend((F.lit(places[-1][0]), value))
+        for lane, own in cells.items():
+            long_form = df.select(F.stack(F.lit(len(own) // 2), *own).alias("place", "value"))
+            by_lane.setdefault(lane, []).append(long_form.filter(F.col("value").isNotNull()))
+    named = SparkSession.active().createDataFrame(places, "place int, full_name string, ordinal_position int")
+    counted = []
+    for parts in by_lane.values():
+        values = reduce(DataFrame.unionByName, parts).groupBy("place", "value").agg(F.count(F.lit(1)).alias("n"))
+        counted.append(values.join(F.broadcast(named), "place").drop("place"))
+    return counted
+
+
+def _bits(lane: str) -> Column:
+    """60 bits of the MD5 of a counted value's text."""
+    value = F.col("value")
+    if lane == "binary":
+        digest = F.when(F.octet_length(value) < 16, F.md5(value)).otherwise(F.lower(F.hex(value)))
+    else:
+        digest = F.md5(value.cast("string"))
+    return _first_bits(digest)
+
+
+def _first_bits(digest: Column) -> Column:
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(20,0)")
+
+
 def distinct_counts(
-    tables: Mapping[str, DataFrame], only: Mapping[str, Collection[str]] | None = None
+    tables: Mapping[str, DataFrame], only: Mapping[str, Collection[str]] | None = None, bits: bool = False
 ) -> DataFrame:
     """Rows ``(full_name, ordinal_position, distinct_count)``; nulls are not counted.
 
-    Texts go as 128-bit digests, so what is shuffled does not grow with their length.
+    Texts go as 128-bit digests, so what is shuffled does not grow with their length. With ``bits``,
+    a column ``bits`` adds up, over all rows, 60 bits of the MD5 of the value's text; -0.0 counts as 0.0.
     """
-    short = F.unhex(F.md5(F.col("words")))
-    cells = long_values(tables, only).withColumn("words", short)
-    some = reduce(Column.__or__, (F.col(lane).isNotNull() for lane in LANE_NAMES))
-    distinct = cells.filter(some).select(*COLUMN_KEY, *LANE_NAMES).distinct()
-    return distinct.groupBy(*COLUMN_KEY).agg(F.count(F.lit(1)).alias("distinct_count"))
+    parts = []
+    for values in _counted_values(tables, only):
+        measures = [F.count(F.lit(1)).alias("distinct_count")]
+        if bits:
+            own = _bits(values.schema["value"].dataType.simpleString()) * F.col("n").cast("decimal(20,0)")
+            measures.append(F.sum(own.cast("decimal(38,0)")).alias("bits"))
+        parts.append(values.groupBy(*COLUMN_KEY).agg(*measures))
+    if not parts:
+        return SparkSession.active().createDataFrame(
+            [], "full_name string, ordinal_position int, distinct_count bigint" + ", bits decimal(38,0)" * bits
+        )
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _with_columns(tables: Mapping[str, DataFrame], stats: DataFrame) -> DataFrame:
@@ -150,26 +197,35 @@ def quality_stats(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per column: nulls, distinct values, zeros, rows and a fingerprint.
 
     The fingerprint does not depend on row order: it adds up, over all rows, 60 bits of
-    the MD5 of the value's text. Zeros are counted in numeric columns only.
+    the MD5 of the value's text. Each distinct value is digested once. Zeros are counted in numeric
+    columns only.
     """
+    # Grouping makes 0.0 of -0.0, whose text differs, so those are counted and put right.
+    plain, signed = (_first_bits(F.md5(F.lit(text))) for text in ("0.0", "-0.0"))
 
     def measures(field: T.StructField) -> list[Column]:
         column = F.col(f"`{field.name}`")
         rows, values = F.count(F.lit(1)), F.count(column)
-        bits = F.conv(F.substring(F.md5(_as_text(lanes(field))), 1, 15), 16, 10).cast("decimal(38,0)")
         zeros = F.lit(None).cast("bigint")
         if isinstance(field.dataType, T.NumericType):
             zeros = F.count_if(column == 0)
+        below = F.lit(0).cast("bigint")
+        lane, value = lane_of(field)
+        if lane == "real":
+            below = F.count_if((value == 0) & (value.cast("string") == "-0.0"))
         return [
             rows.alias("total_rows"),
             (rows - values).alias("null_count"),
             zeros.alias("zero_count"),
-            F.sum(bits).cast("string").alias("fingerprint"),
+            below.alias("signed_zeros"),
         ]
 
+    put_right = F.col("signed_zeros").cast("decimal(16,0)") * (signed - plain)
+    fingerprint = (F.col("bits") + put_right).cast("decimal(38,0)").cast("string")
+
     return (
         _with_columns(tables, wide_stats(tables, measures))
-        .join(distinct_counts(tables), COLUMN_KEY, "left")
+        .join(distinct_counts(tables, bits=True), COLUMN_KEY, "left")
         .fillna(0, ["total_rows", "distinct_count", "null_count"])
         .select(
             "full_name",
@@ -181,7 +237,7 @@ def quality_stats(tables: Mapping[str, DataFrame]) -> DataFrame:
             "distinct_count",
             "zero_count",
             "total_rows",
-            "fingerprint",
+            fingerprint.alias("fingerprint"),
         )
     )
 

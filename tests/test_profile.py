@@ -1,4 +1,5 @@
 import datetime
+import hashlib
 import math
 import random
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from tablescope.functions.types import lanes
 from tablescope.operators import profile, signals
 from tablescope.operators.quantiles import column_quantiles, weighted_quantiles
 
@@ -263,3 +265,30 @@ def test_clean_scalars(spark):
         (None, None, "2024-01-02T03:04:05", "2024-01-02", "a", 1),
         (1.5, 2.0, "2024-01-02T03:04:05.000120", None, None, None),
     ]
+
+
+def test_fingerprints_of_every_type_are_sums_over_rows(spark, tables):
+    """Fingerprints are added up from distinct values; -0.0 and long texts keep their own digests."""
+    long_text = "x" * 40
+    words = spark.createDataFrame([(w,) for w in ["", "a", "a", long_text, long_text, "fifteen bytes..", "sixteen bytes..."] + [None]], "w string")
+    with_words = tables | {"c.s.words": words}
+    found = {(r.table_name, r.column_name): r.fingerprint for r in profile.quality_stats(with_words).collect()}
+
+    def plain(df, column):
+        field = df.schema[column]
+        text = F.coalesce(*(lane.cast("string") for lane in lanes(field)))
+        return [None if r[0] is None else int(hashlib.md5(r[0].encode()).hexdigest()[:15], 16) for r in df.select(text).collect()]
+
+    for name, df in with_words.items():
+        for column in df.columns:
+            bits = [b for b in plain(df, column) if b is not None]
+            assert found[name.split(".")[2], column] == (str(sum(bits)) if bits else None), (name, column)
+
+
+def test_texts_are_digested_once_per_value_and_keys_are_narrow(spark):
+    """Rows on their way to the counts are a column's number and one value."""
+    df = spark.createDataFrame([(1, "a")], "k bigint, s string")
+    plan = profile.distinct_counts({"c.s.t": df}, bits=True)._jdf.queryExecution().optimizedPlan().toString()
+    grouped = [line for line in plan.splitlines() if "Aggregate [place" in line]
+    assert grouped and all("full_name" not in line for line in grouped)
+    assert profile.distinct_counts({}).collect() == []
