@@ -309,3 +309,60 @@ def test_upstream_trust(spark):
     found = layout.upstream_trust(edges_of(spark, pairs(SAMPLE)), states)
     assert ("D", "R", "critical") in rows(found) and ("D", "M", "warning") in rows(found)
     assert not [r for r in rows(found) if r[1] == "S"]
+
+
+def test_small_levels_are_not_compared_with_all_that_was_reached(spark, monkeypatch):
+    """A bush with a long tail that leads back: the tail's levels are compared at depths that double."""
+    edges = [("r", f"b{i}") for i in range(200)] + [("b0", "t0")] + [(f"t{i}", f"t{i + 1}") for i in range(11)]
+    edges += [("t11", "r"), ("t5", "t4"), ("t7", "b3")]
+    reads = []
+    read = graph_module._Reached.read
+    monkeypatch.setattr(graph_module._Reached, "read", lambda self: reads.append(1) or read(self))
+    with LineageGraph(edges_of(spark, edges)) as graph:
+        walk = graph.walk(one_root(graph, "r"), DOWNSTREAM)
+    found = walk.reached.collect()
+    assert {r.node: r.dist for r in found} == brute_distances(edges, "r", DOWNSTREAM) and len(found) == 213
+    assert walk.depth == 13
+    # Each level reads its frontier; those that double and the ones after the bush read all as well.
+    assert len(reads) <= 16 + 8
+
+
+def test_distances_walk_by_number_and_end_on_cycles(spark, monkeypatch):
+    edges = random_edges(9, 30, 60)
+    names = sorted({n for e in edges for n in e} | {"nowhere"})
+    asked = spark.createDataFrame([(a, b) for a in names for b in names] + [(None, "n1"), ("n1", None)], "source string, target string")
+    kinds = []
+    walk = LineageGraph.walk
+    monkeypatch.setattr(
+        LineageGraph, "walk", lambda self, roots, *a, **k: kinds.append(roots.schema["root"].dataType.simpleString()) or walk(self, roots, *a, **k)
+    )
+    with LineageGraph(edges_of(spark, edges)) as graph:
+        found = {(r.source, r.target): r.distance for r in paths.lineage_distances(graph, asked).collect()}
+    assert kinds == ["bigint"]
+    for a in names[:-1]:
+        near = brute_distances(edges, a, DOWNSTREAM)
+        known = {n: near.get(n, paths.FAR) for n in names}
+        assert {b: found[a, b] for b in names} == known
+    assert found["nowhere", "nowhere"] == found[None, "n1"] == found["n1", None] == paths.FAR
+
+
+def test_edges_stay_where_a_walk_has_put_them(spark):
+    chain = [(f"t{i}", f"t{i + 1}") for i in range(6)]
+    with LineageGraph(edges_of(spark, chain)) as graph:
+        up = graph.walk(one_root(graph, "t6"), UPSTREAM).reached
+        down = graph.walk(one_root(graph, "t6"), DOWNSTREAM)
+        # Nothing leads on from there, so no copy of the edges was made for it.
+        assert rows(down.reached, "node") == [("t6",)] and set(graph._steps) == {UPSTREAM}
+        met = graph.edges_of(up, UPSTREAM)
+        assert rows(met, "root", "source", "target") == [("t6", a, b) for a, b in chain]
+        assert "InMemoryTableScan" in met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_edge_of_a_cycle_is_listed_once(spark):
+    edges = CYCLE + [("x", "a"), ("b", "y")]
+    with LineageGraph(edges_of(spark, edges)) as graph:
+        roots = spark.createDataFrame([("a",), ("x",), ("y",)], "root string")
+        up, down = graph.walk(roots, UPSTREAM).reached, graph.walk(roots, DOWNSTREAM).reached
+        found = rows(lineage._path_edges(graph, up, down, None))
+    whole = sorted(edges)
+    assert found == sorted([("a", *e) for e in whole] + [("x", *e) for e in whole] + [("y", *e) for e in whole])
