@@ -201,3 +201,13 @@ def test_relations_are_merged_by_number(spark):
     kept, columns = inputs.relations_and_columns(type("T", (dict,), {})(tables))
     ids = {i for r in expected for i in r[:2] if i is not None}
     assert rows(columns, "id", "full_name") == sorted(((i, i.rsplit(".", 1)[0]) for i in ids), key=repr)
+
+
+def test_pairs_of_a_frequent_pair_of_names_stay_where_they_are(spark, lake):
+    """Whether names count as frequent changes no row, and frequent ones move no pairs to one task."""
+    _, prof, found = lake
+    marked = keys.detect_primary_keys(prof)
+    few, usual = (keys.fk_candidates(prof, marked, found, n) for n in (0, 1_000_000))
+    assert rows(few, *sorted(few.columns)) == rows(usual, *sorted(few.columns)) != []
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
