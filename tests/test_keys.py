@@ -211,3 +211,27 @@ def test_pairs_of_a_frequent_pair_of_names_stay_where_they_are(spark, lake):
     assert rows(few, *sorted(few.columns)) == rows(usual, *sorted(few.columns)) != []
     plan = few._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in plan
+
+
+def test_facts_meet_pairs_and_not_all_columns(spark, table, tmp_path):
+    relations = [(f"f{i}.a", f"d{i % 3}.k", 0.5) for i in range(9)] + [("f0.b", "d0.k", 0.6), ("nowhere.a", "d0.k", 0.6)]
+    columns = [(f"f{i}.{c}", f"f{i}") for i in range(9) for c in "ab"] + [(f"d{i}.k", f"d{i}") for i in range(3)]
+    types = [(f"f{i}", "FACT" if i % 2 else None) for i in range(9)] + [("f1", "FACT"), ("d0", "DIM")]
+    frames = {
+        "relations": spark.createDataFrame(relations, "fk string, pk string, confidence double"),
+        "columns": spark.createDataFrame(columns + [("f1.c", None)], "id string, full_name string"),
+        "types": spark.createDataFrame(types, "full_name string, table_type string"),
+    }
+    for name, frame in frames.items():
+        frame.write.parquet(f"{tmp_path}/{name}")
+    stored = {name: spark.read.parquet(f"{tmp_path}/{name}") for name in frames}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = star.related_facts(star.fact_dimensions(stored["relations"], stored["columns"]), stored["types"])
+        assert table(found, "dimension", "fact") == [(f"d{i % 3}", f"f{i}") for i in sorted((1, 3, 5, 7), key=lambda i: (i % 3, i))]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # The facts come after the joins with the owners, and the distinct rows need no shuffle of their own.
+    assert "LeftSemi" not in plan and "hashpartitioning(dimension" not in plan
